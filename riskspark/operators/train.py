@@ -182,7 +182,7 @@ def training_frame(
     return stage(stratified_folds(prepared, cfg, k, seed), "training")
 
 
-def test_scores(model: FittedModel, frame: DataFrame, cfg: RiskConfig, name: str | None = None) -> DataFrame:
+def holdout_scores(model: FittedModel, frame: DataFrame, cfg: RiskConfig, name: str | None = None) -> DataFrame:
     """``(model, label, pred, p0, p1, p2)`` of the test rows."""
     return model.score(frame.filter("split = 'test'")).select(
         F.lit(name or model.name).alias("model"), F.col(cfg.label_col).alias("label"), "pred", *PROBS
@@ -271,7 +271,7 @@ def train_all(
         parallelism,
     )
     models = dict(zip(names, fitted))
-    scored = [test_scores(m, frame, cfg) for m in fitted]
+    scored = [holdout_scores(m, frame, cfg) for m in fitted]
     test = scored[0]
     for s in scored[1:]:
         test = test.unionByName(s)
