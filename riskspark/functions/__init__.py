@@ -1,6 +1,8 @@
 from .expressions import (
     argmax_class,
+    case_map,
     class_label,
+    clean,
     clean_number,
     confidence,
     display_name,
@@ -9,13 +11,16 @@ from .expressions import (
     hash_order_key,
     ordinal_code,
     pearson,
+    q,
     risk_band,
     round_percent,
+    stack,
+    text,
     weighted_total,
 )
 
 __all__ = [
-    "argmax_class", "class_label", "clean_number", "confidence", "display_name", "entity_name",
-    "half_up", "hash_order_key", "ordinal_code", "pearson", "risk_band", "round_percent",
-    "weighted_total",
+    "argmax_class", "case_map", "class_label", "clean", "clean_number", "confidence", "display_name",
+    "entity_name", "half_up", "hash_order_key", "ordinal_code", "pearson", "q", "risk_band",
+    "round_percent", "stack", "text", "weighted_total",
 ]

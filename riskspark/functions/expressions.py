@@ -1,4 +1,8 @@
-"""Column expressions. All are JVM built-ins, so they stay inside whole-stage codegen."""
+"""Column expressions. All are JVM built-ins, so they stay inside whole-stage codegen.
+
+They are written as SQL text: one parsed expression costs one call to the JVM however long it is, while
+the same tree built from Python column operators costs one call per node.
+"""
 
 from __future__ import annotations
 
@@ -10,95 +14,128 @@ from pyspark.sql import functions as F
 from ..config import RiskConfig
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def q(name: str) -> str:
+    """Quoted column name, dots separating struct fields left alone in already quoted names."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """String literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal(value: object) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return str(value) if isinstance(value, int) else text(str(value))
+
+
+def clean(name: str) -> str:
+    """NaN becomes null, so comparisons and aggregates treat both as missing (SQL text)."""
+    return f"nanvl(cast({q(name)} as double), cast(null as double))"
 
 
-def clean_number(c: Column | str) -> Column:
-    """NaN becomes null, so comparisons and aggregates treat both as missing."""
-    return F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
+def clean_number(name: str) -> Column:
+    return F.expr(clean(name))
 
 
-def half_up(c: Column | str, decimals: int) -> Column:
+def stack(rows: Sequence[Sequence[str]], names: Sequence[str]) -> str:
+    """``stack`` call turning one input row into ``rows`` output rows; entries are SQL text."""
+    cells = ", ".join(c for row in rows for c in row)
+    return f"stack({len(rows)}, {cells}) as ({', '.join(q(n) for n in names)})"
+
+
+def half_up_sql(expression: str, decimals: int) -> str:
+    scale = f"{float(10**decimals)!r}D"
+    return f"(floor(({expression}) * {scale} + 0.5D) / {scale})"
+
+
+def half_up(expression: str, decimals: int) -> Column:
     """Half-up rounding in plain double arithmetic.
 
     ``round`` goes through BigDecimal for every row; this is one multiply, floor and divide, and any
     IEEE engine gives the same bits.
     """
-    scale = float(10**decimals)
-    return F.floor(_col(c) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.expr(half_up_sql(expression, decimals))
 
 
-def risk_band(score: Column | str, cfg: RiskConfig) -> Column:
+def risk_band(score: str, cfg: RiskConfig) -> Column:
     """2 above the high cut, 1 from the low cut up, else 0. A missing score is class 0."""
-    s = clean_number(score)
-    return F.when(s > cfg.high_cut, 2).when(s >= cfg.low_cut, 1).otherwise(0)
+    s = clean(score)
+    return F.expr(f"case when {s} > {cfg.high_cut!r}D then 2 when {s} >= {cfg.low_cut!r}D then 1 else 0 end")
 
 
-def _literal_map(mapping: Mapping) -> Column:
-    return F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair])
+def case_map(name: str, mapping: Mapping, default: object) -> str:
+    """Fixed lookup table as a CASE expression (SQL text)."""
+    whens = " ".join(f"when {literal(k)} then {literal(v)}" for k, v in mapping.items())
+    return f"case {q(name)} {whens} else {default} end"
 
 
-def ordinal_code(c: Column | str, mapping: Mapping[str, int]) -> Column:
+def ordinal_code(name: str, mapping: Mapping[str, int]) -> Column:
     """Fixed integer per category; unknown and missing categories are code 0."""
-    return F.coalesce(F.try_element_at(_literal_map(mapping), _col(c)), F.lit(0))
+    return F.expr(case_map(name, mapping, 0))
 
 
-def class_label(pred: Column | str, cfg: RiskConfig) -> Column:
-    return F.try_element_at(_literal_map(dict(enumerate(cfg.labels))), _col(pred))
+def class_label(pred: str, cfg: RiskConfig) -> Column:
+    return F.expr(case_map(pred, dict(enumerate(cfg.labels)), "null"))
 
 
-def display_name(c: Column | str, cfg: RiskConfig) -> Column:
+def display_name(name: str, cfg: RiskConfig) -> Column:
     """Readable feature name, or the id itself when none is configured."""
-    c = _col(c)
-    return F.coalesce(F.try_element_at(_literal_map(cfg.display), c), c) if cfg.display else c
+    return F.expr(case_map(name, cfg.display, q(name))) if cfg.display else F.col(q(name))
 
 
-def weighted_total(weights: Mapping[str, float]) -> Column:
-    terms = [F.lit(float(w)) * F.col(c) for c, w in weights.items()]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
+def weighted_total(weights: Mapping[str, float]) -> str:
+    """Weighted sum of columns (SQL text)."""
+    return " + ".join(f"{float(w)!r}D * {q(c)}" for c, w in weights.items())
 
 
-def entity_name(columns: Sequence[str], cfg: RiskConfig, position: Column | None = None) -> Column:
+def entity_name(columns: Sequence[str], cfg: RiskConfig, position: str | None = None) -> Column:
     """First and last name, else ``ID-<id>``, else the row's position in the shown list."""
     if cfg.first_name in columns and cfg.last_name in columns:
-        return F.concat(F.col(cfg.first_name), F.lit(" "), F.col(cfg.last_name))
+        return F.expr(f"concat({q(cfg.first_name)}, ' ', {q(cfg.last_name)})")
     if cfg.id_col in columns:
-        return F.concat(F.lit("ID-"), F.col(cfg.id_col).cast("string"))
+        return F.expr(f"concat('ID-', cast({q(cfg.id_col)} as string))")
     if position is None:
         raise ValueError("no name or id column: a position is needed to name the rows")
-    return F.concat(F.lit("Est. "), position.cast("string"))
+    return F.expr(f"concat('Est. ', cast({q(position)} as string))")
+
+
+def percent_sql(p: str) -> str:
+    return half_up_sql(f"{p} * 100D", 1)
 
 
-def round_percent(p: Column | str) -> Column:
-    """Probability -> percent with one decimal."""
-    return half_up(_col(p) * F.lit(100.0), 1)
+def round_percent(p: str) -> Column:
+    """Probability column -> percent with one decimal."""
+    return F.expr(percent_sql(q(p)))
 
 
-def confidence(*probs: Column | str) -> Column:
-    return round_percent(F.greatest(*[_col(p) for p in probs]))
+def confidence(*probs: str) -> Column:
+    return F.expr(percent_sql(f"greatest({', '.join(q(p) for p in probs)})"))
 
 
-def argmax_class(*weights: Column) -> Column:
+def argmax_class(*names: str) -> Column:
     """Index of the first largest value."""
-    best = F.greatest(*weights)
-    expr = F.lit(len(weights) - 1)
-    for k in reversed(range(len(weights) - 1)):
-        expr = F.when(weights[k] == best, k).otherwise(expr)
-    return expr
+    best = f"greatest({', '.join(q(n) for n in names)})"
+    whens = " ".join(f"when {q(n)} = {best} then {k}" for k, n in enumerate(names[:-1]))
+    return F.expr(f"case {whens} else {len(names) - 1} end")
 
 
-def pearson(x: Column | str, y: Column | str) -> Column:
-    """Correlation aggregate over the pairs with both values; null when a side is constant."""
-    x, y = _col(x), _col(y)
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+def pearson(x: str, y: str) -> str:
+    """Correlation aggregate over the pairs with both values (SQL text); null when a side is constant."""
+    x, y = q(x), q(y)
+    if x == y:
+        return f"covar_pop({x}, {x}) / nullif(var_pop({x}), 0D)"
+    spread = (
+        f"stddev_pop(case when {y} is not null then {x} end) * stddev_pop(case when {x} is not null then {y} end)"
+    )
+    return f"covar_pop({x}, {y}) / nullif({spread}, 0D)"
 
 
-def hash_order_key(id_col: Column | str, seed: int) -> Column:
+def hash_order_key(id_col: str, seed: int) -> Column:
     """Seeded pseudo-random sort key: independent of partitioning and of the engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), _col(id_col).cast("string")))
+    return F.expr(f"md5(concat('{seed}:', cast({q(id_col)} as string)))")

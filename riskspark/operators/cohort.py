@@ -8,20 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import N_CLASSES, RiskConfig
-from ..functions import clean_number, display_name, half_up, pearson
+from ..functions import clean, display_name, pearson, q, stack, text
+from ..functions.expressions import half_up_sql, literal
 
 
-def _share(part: Column, whole: Column, decimals: int = 1) -> Column:
-    return half_up(F.lit(100.0) * part / F.nullif(whole, F.lit(0)), decimals)
-
-
-def _class_counts(label: Column | str, names: Sequence[str], total: Column) -> list[Column]:
+def _class_counts(label: str, names: Sequence[str], total: str) -> list[str]:
     """Count and percent per class; percents are null on an empty table."""
-    label = F.col(label) if isinstance(label, str) else label
     out = []
     for k, name in enumerate(names):
-        n = F.count_if(label == k)
-        out += [n.alias(f"n_{name}"), _share(n, total).alias(f"pct_{name}")]
+        n = f"count_if({label} = {k})"
+        share = half_up_sql(f"100D * {n} / nullif({total}, 0)", 1)
+        out += [f"{n} as n_{name}", f"{share} as pct_{name}"]
     return out
 
 
@@ -61,31 +58,31 @@ def alert_filter(
 
 
 def high_stress_filter(df: DataFrame, stress_col: str, threshold: float = 7.0) -> DataFrame:
-    return df.filter(clean_number(stress_col) > threshold)
+    return df.filter(f"{clean(stress_col)} > {float(threshold)!r}D")
 
 
 # --- summaries -------------------------------------------------------------------------------------
 
 def eda_summary(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Size, class balance, score mean and deviation, and the configured feature means; one row."""
-    score, total = clean_number(cfg.score_col), F.count(F.lit(1))
-    return df.agg(
-        total.alias("n_total"),
-        *_class_counts(cfg.label_col, LEVELS, total),
-        F.round(F.avg(score), 2).alias("avg_total"),
-        F.round(F.stddev_samp(score), 2).alias("std_total"),
-        *[F.round(F.avg(clean_number(c)), 2).alias(a) for a, c in cfg.summary_means.items()],
+    score = clean(cfg.score_col)
+    return df.selectExpr(
+        "count(1) as n_total",
+        *_class_counts(q(cfg.label_col), LEVELS, "count(1)"),
+        f"round(avg({score}), 2) as avg_total",
+        f"round(stddev_samp({score}), 2) as std_total",
+        *[f"round(avg({clean(c)}), 2) as {q(a)}" for a, c in cfg.summary_means.items()],
     )
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per value for several category columns in one pass; missing values are not counted."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns])
+    pairs = stack([(text(c), q(c)) for c in columns], ("column_name", "value"))
     return (
-        df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull())
+        df.selectExpr(pairs)
+        .filter("value is not null")
         .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.expr("count(1) as n"))
         .orderBy("column_name", F.desc("n"), "value")
     )
 
@@ -102,26 +99,23 @@ def cohort_kpis(
     The cohort is a condition inside the aggregates rather than a filter, so the whole-table count comes
     from the same pass. An empty cohort has zero counts and null ratios.
     """
-    inside = F.lit(True)
-    for c, v in (equals or {}).items():
-        if v is not None:
-            inside = inside & (F.col(c) == v)
+    tests = [f"{q(c)} = {literal(v)}" for c, v in (equals or {}).items() if v is not None]
     if age is not None:
-        inside = inside & F.col(cfg.age_col).between(*age)
-    label = F.when(inside, F.col(cfg.label_col))
-    n = F.count_if(inside)
+        tests.append(f"{q(cfg.age_col)} between {age[0]} and {age[1]}")
+    inside = " and ".join(tests) or "true"
+    n = f"count_if({inside})"
     means = {"avg_total": cfg.score_col, **(cfg.summary_means if means is None else means)}
-    return df.agg(
-        n.alias("n"),
-        F.count(F.lit(1)).alias("n_total"),
-        *_class_counts(label, LEVELS, n),
-        *[F.round(F.avg(F.when(inside, clean_number(c))), 1).alias(a) for a, c in means.items()],
+    return df.selectExpr(
+        f"{n} as n",
+        "count(1) as n_total",
+        *_class_counts(f"(case when {inside} then {q(cfg.label_col)} end)", LEVELS, n),
+        *[f"round(avg(case when {inside} then {clean(c)} end), 1) as {q(a)}" for a, c in means.items()],
     )
 
 
 def alert_kpis(view: DataFrame) -> DataFrame:
-    total = F.count(F.lit(1))
-    return view.agg(total.alias("n"), *_class_counts("pred", LEVELS, total))
+    """Size of an alert view and count and percent per predicted class."""
+    return view.selectExpr("count(1) as n", *_class_counts("pred", LEVELS, "count(1)"))
 
 
 def group_risk_count(
@@ -129,72 +123,62 @@ def group_risk_count(
 ) -> DataFrame:
     """Rows per (group, class); missing groups are dropped. ``order`` fixes the order of the groups."""
     counts = (
-        df.filter(F.col(group).isNotNull() & F.col(risk).isNotNull())
+        df.filter(f"{q(group)} is not null and {q(risk)} is not null")
         .groupBy(group, risk)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.expr("count(1) as n"))
     )
     if order is None:
         return counts.orderBy(group, risk)
-    position = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(group))
-    return counts.orderBy(F.when(position > 0, position).asc_nulls_last(), group, risk)
+    position = f"nullif(array_position(array({', '.join(literal(v) for v in order)}), {q(group)}), 0)"
+    return counts.orderBy(F.expr(position).asc_nulls_last(), group, risk)
 
 
 def risk_share(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Count and share per class, classes without rows included."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_all"),
-        *[F.count_if(F.col(cfg.label_col) == k).alias(f"_n{k}") for k in range(N_CLASSES)],
+    counts = df.selectExpr(
+        "count(1) as _all", *[f"count_if({q(cfg.label_col)} = {k}) as _n{k}" for k in range(N_CLASSES)]
     )
-    rows = F.array(*[
-        F.struct(
-            F.lit(k).alias("label"),
-            F.lit(cfg.labels[k]).alias("risk_label"),
-            F.col(f"_n{k}").alias("n"),
-            F.round(F.col(f"_n{k}") / F.nullif(F.col("_all"), F.lit(0)), 6).alias("share"),
-        )
-        for k in range(N_CLASSES)
-    ])
-    return counts.select(F.inline(rows))
+    return counts.selectExpr(stack(
+        [
+            (str(k), text(cfg.labels[k]), f"_n{k}", f"round(_n{k} / nullif(_all, 0), 6)")
+            for k in range(N_CLASSES)
+        ],
+        ("label", "risk_label", "n", "share"),
+    ))
 
 
 def cohort_contrast(
-    df: DataFrame, cfg: RiskConfig, contrasts: Mapping[str, Column], by: str
+    df: DataFrame, cfg: RiskConfig, contrasts: Mapping[str, str], by: str
 ) -> DataFrame:
-    """For each named condition: high-risk rate and mean score inside and outside it.
+    """For each named condition (SQL text): high-risk rate and mean score inside and outside it.
 
     One pass gives the whole table (``cohort`` null) and every value of ``by``. ``relative_risk`` is the ratio
     of the two rates, ``score_gap`` the difference of the two means. Rows where the condition is unknown
     belong to neither side.
     """
-    score = clean_number(cfg.score_col)
-    high = (F.col(cfg.label_col) == 0).cast("double")
+    score = clean(cfg.score_col)
+    high = f"cast({q(cfg.label_col)} = 0 as double)"
     aggs = []
     for i, cond in enumerate(contrasts.values()):
-        for side, test in (("in", cond), ("out", ~cond)):
+        for side, test in (("in", f"({cond})"), ("out", f"not ({cond})")):
             aggs += [
-                F.count_if(test).alias(f"_n_{side}{i}"),
-                F.avg(F.when(test, high)).alias(f"_r_{side}{i}"),
-                F.avg(F.when(test, score)).alias(f"_m_{side}{i}"),
+                f"count_if({test}) as _n_{side}{i}",
+                f"avg(case when {test} then {high} end) as _r_{side}{i}",
+                f"avg(case when {test} then {score} end) as _m_{side}{i}",
             ]
     grouped = (
-        df.filter(F.col(by).isNotNull())
-        .groupingSets([[], [by]], by)
-        .agg(*aggs)
+        df.filter(f"{q(by)} is not null").groupingSets([[], [by]], by).agg(*[F.expr(a) for a in aggs])
     )
-    rows = F.array(*[
-        F.struct(
-            F.lit(name).alias("contrast"),
-            F.col(by).alias("cohort"),
-            F.col(f"_n_in{i}").alias("n_in"),
-            F.col(f"_n_out{i}").alias("n_out"),
-            F.round(F.col(f"_r_in{i}"), 6).alias("high_rate_in"),
-            F.round(F.col(f"_r_out{i}"), 6).alias("high_rate_out"),
-            F.round(F.col(f"_r_in{i}") / F.nullif(F.col(f"_r_out{i}"), F.lit(0.0)), 4).alias("relative_risk"),
-            F.round(F.col(f"_m_in{i}") - F.col(f"_m_out{i}"), 4).alias("score_gap"),
-        )
-        for i, name in enumerate(contrasts)
-    ])
-    return grouped.select(F.inline(rows))
+    return grouped.selectExpr(stack(
+        [
+            (
+                text(name), q(by), f"_n_in{i}", f"_n_out{i}", f"round(_r_in{i}, 6)", f"round(_r_out{i}, 6)",
+                f"round(_r_in{i} / nullif(_r_out{i}, 0D), 4)", f"round(_m_in{i} - _m_out{i}, 4)",
+            )
+            for i, name in enumerate(contrasts)
+        ],
+        ("contrast", "cohort", "n_in", "n_out", "high_rate_in", "high_rate_out", "relative_risk", "score_gap"),
+    ))
 
 
 # --- correlations ----------------------------------------------------------------------------------
@@ -202,14 +186,11 @@ def cohort_contrast(
 def target_correlation(df: DataFrame, cfg: RiskConfig, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson of each column with the score over rows complete in all of them; 0.0 when constant."""
     cols = [c for c in (columns or cfg.correlation_cols) if c in df.columns]
-    clean = df.select(*[clean_number(c).alias(c) for c in [*cols, cfg.score_col]]).dropna()
-    wide = clean.agg(*[
-        F.coalesce(F.round(pearson(c, cfg.score_col), 3), F.lit(0.0)).alias(f"_r{i}")
-        for i, c in enumerate(cols)
+    complete = df.selectExpr(*[f"{clean(c)} as {q(c)}" for c in [*cols, cfg.score_col]]).dropna()
+    wide = complete.selectExpr(*[
+        f"coalesce(round({pearson(c, cfg.score_col)}, 3), 0D) as _r{i}" for i, c in enumerate(cols)
     ])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("r")) for i, c in enumerate(cols)
-    ])))
+    return wide.selectExpr(stack([(text(c), f"_r{i}") for i, c in enumerate(cols)], ("feature", "r")))
 
 
 def correlation_rank(correlations: DataFrame, cfg: RiskConfig) -> DataFrame:
@@ -225,18 +206,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], decimals: int = 2)
     Only the upper triangle is aggregated, all in one pass.
     """
     cols = [c for c in columns if c in df.columns]
-    clean = df.select(*[clean_number(c).alias(c) for c in cols])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    wide = clean.agg(*[
-        F.round(pearson(cols[i], cols[j]), decimals).alias(f"_r{i}_{j}") for i, j in pairs
+    numbers = df.selectExpr(*[f"{clean(c)} as {q(c)}" for c in cols])
+    wide = numbers.selectExpr(*[
+        f"round({pearson(cols[i], cols[j])}, {decimals}) as _r{i}_{j}"
+        for i in range(len(cols)) for j in range(i, len(cols))
     ])
-    return wide.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(cols[a]).alias("x"), F.lit(cols[b]).alias("y"),
-            F.col(f"_r{min(a, b)}_{max(a, b)}").alias("r"),
-        )
-        for a in range(len(cols)) for b in range(len(cols))
-    ])))
+    return wide.selectExpr(stack(
+        [
+            (text(cols[a]), text(cols[b]), f"_r{min(a, b)}_{max(a, b)}")
+            for a in range(len(cols)) for b in range(len(cols))
+        ],
+        ("x", "y", "r"),
+    ))
 
 
 # --- rankings --------------------------------------------------------------------------------------
@@ -274,5 +255,5 @@ def best_metric_flag(metrics: DataFrame, metric_columns: Sequence[str] | None =
     # best: one row per metric.
     return rows.join(F.broadcast(best), "metric").select(
         "model", "metric", "value",
-        F.coalesce(F.col("value") == F.col("_best"), F.lit(False)).alias("is_best"),
+        F.expr("coalesce(value = _best, false) as is_best"),
     )

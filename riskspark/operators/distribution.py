@@ -5,71 +5,58 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clean_number, hash_order_key
-from .ordered import exact_quantiles
+from ..functions import clean, hash_order_key, q
+from .ordered import exact_quantiles, long_values
 
 
 def histogram_by_class(df: DataFrame, value: str, label: str, bins: int = 30) -> DataFrame:
     """Rows per (class, equal-width bin) between the overall minimum and maximum."""
-    x = clean_number(value)
-    span = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
-    width = (F.col("_s.hi") - F.col("_s.lo")) / bins
-    slot = F.coalesce(F.floor((F.col("_x") - F.col("_s.lo")) / F.nullif(width, F.lit(0.0))), F.lit(0))
+    x = clean(value)
+    span = df.selectExpr(f"struct(min({x}) as lo, max({x}) as hi) as s").scalar()
+    width = f"((_s.hi - _s.lo) / {bins})"
+    slot = f"coalesce(floor((_x - _s.lo) / nullif({width}, 0D)), 0)"
     return (
-        df.select(F.col(label).alias("label"), x.alias("_x"))
-        .filter(F.col("_x").isNotNull())
+        df.selectExpr(f"{q(label)} as label", f"{x} as _x")
+        .filter("_x is not null")
         .withColumn("_s", span)
-        .select("label", F.least(slot, F.lit(bins - 1)).cast("int").alias("bin"))
+        .selectExpr("label", f"cast(least({slot}, {bins - 1}) as int) as bin")
         .groupBy("label", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.expr("count(1) as n"))
     )
 
 
 def _fences(df: DataFrame, values: Sequence[str], label: str) -> DataFrame:
     """Quartiles and 1.5 IQR fences per (class, feature): one row for each, so safe to broadcast."""
-    q = exact_quantiles(df, values, (0.25, 0.5, 0.75), by=[label])
-    reach = 1.5 * (F.col("p75") - F.col("p25"))
-    return q.withColumns({"fence_lo": F.col("p25") - reach, "fence_hi": F.col("p75") + reach})
+    quartiles = exact_quantiles(df, values, (0.25, 0.5, 0.75), by=[label])
+    return quartiles.selectExpr("*", "p25 - 1.5D * (p75 - p25) as fence_lo", "p75 + 1.5D * (p75 - p25) as fence_hi")
 
 
 def _long(df: DataFrame, values: Sequence[str], label: str, *keep: str) -> DataFrame:
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("feature"), clean_number(c).alias("value")) for c in values
-    ])
-    return df.select(*keep, label, F.inline(pairs)).filter(F.col("value").isNotNull())
+    return long_values(df, values, [*keep, label])
 
 
 def box_stats_by_class(df: DataFrame, values: Sequence[str], label: str) -> DataFrame:
     """Quartiles, mean, extremes and whiskers (outermost points within the fences) per class."""
     points = _long(df, values, label).join(F.broadcast(_fences(df, values, label)), [label, "feature"])
-    inside = F.col("value").between(F.col("fence_lo"), F.col("fence_hi"))
-    stats = points.groupBy(label, "feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("min"),
-        F.max("p25").alias("p25"),
-        F.max("p50").alias("p50"),
-        F.max("p75").alias("p75"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-    )
+    inside = "case when value between fence_lo and fence_hi then value end"
+    stats = points.groupBy(label, "feature").agg(*[F.expr(e) for e in (
+        "count(1) as n", "min(value) as min", "max(p25) as p25", "max(p50) as p50", "max(p75) as p75",
+        "max(value) as max", "avg(value) as mean", f"min({inside}) as whisker_lo", f"max({inside}) as whisker_hi",
+    )])
     numbers = ("min", "p25", "p50", "p75", "max", "mean", "whisker_lo", "whisker_hi")
-    return stats.select(
-        F.col(label).alias("label"), "feature", "n", *[F.round(c, 4).alias(c) for c in numbers]
-    )
+    return stats.selectExpr(f"{q(label)} as label", "feature", "n", *[f"round({c}, 4) as {c}" for c in numbers])
 
 
 def outliers_by_class(df: DataFrame, values: Sequence[str], label: str, id_col: str) -> DataFrame:
     """Points outside their class's fences."""
     fences = _fences(df, values, label).select(label, "feature", "fence_lo", "fence_hi")
     points = _long(df, values, label, id_col).join(F.broadcast(fences), [label, "feature"])
-    return points.filter(
-        (F.col("value") < F.col("fence_lo")) | (F.col("value") > F.col("fence_hi"))
-    ).select(id_col, F.col(label).alias("label"), "feature", "value")
+    return points.filter("value < fence_lo or value > fence_hi").selectExpr(
+        q(id_col), f"{q(label)} as label", "feature", "value"
+    )
 
 
 def density_by_class(
@@ -81,39 +68,32 @@ def density_by_class(
     map-side, so at most ``points`` rows per class and feature are shuffled from each task. ``silverman``
     uses 1.059 * min(std, iqr / 1.349) instead of std.
     """
-    counts = _long(df, values, label).groupBy(label, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    moments = _long(df, values, label).groupBy(label, "feature").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.stddev_samp("value").alias("_std"),
-        F.min("value").alias("_lo"),
-        F.max("value").alias("_hi"),
-    )
+    counts = _long(df, values, label).groupBy(label, "feature", "value").agg(F.expr("count(1) as n"))
+    moments = _long(df, values, label).groupBy(label, "feature").agg(*[F.expr(e) for e in (
+        "count(1) as _n", "stddev_samp(value) as _std", "min(value) as _lo", "max(value) as _hi",
+    )])
     if bandwidth == "silverman":
-        q = exact_quantiles(df, values, (0.25, 0.75), by=[label])
-        moments = moments.join(F.broadcast(q.drop("n_values")), [label, "feature"])
-        spread = 1.059 * F.least(F.col("_std"), (F.col("p75") - F.col("p25")) / 1.349)
+        quartiles = exact_quantiles(df, values, (0.25, 0.75), by=[label])
+        moments = moments.join(F.broadcast(quartiles.drop("n_values")), [label, "feature"])
+        spread = "1.059D * least(_std, (p75 - p25) / 1.349D)"
     elif bandwidth == "scott":
-        spread = F.col("_std")
+        spread = "_std"
     else:
         raise ValueError(f"unknown bandwidth rule: {bandwidth}")
-    moments = moments.select(
-        label, "feature", "_n", "_lo", "_hi",
-        F.nullif(spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2)), F.lit(0.0)).alias("_h"),
+    moments = moments.selectExpr(
+        q(label), "feature", "_n", "_lo", "_hi", f"nullif({spread} * pow(_n, -0.2D), 0D) as _h"
     )
     # moments: one row per class and feature.
     spread_out = (
         counts.join(F.broadcast(moments), [label, "feature"])
-        .withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("grid") / (points - 1))
+        .selectExpr("*", f"explode(sequence(0, {points - 1})) as grid")
+        .selectExpr("*", f"_lo + (_hi - _lo) * grid / {points - 1} as x")
+        .selectExpr("*", "(x - value) / _h as _u")
     )
-    u = (F.col("x") - F.col("value")) / F.col("_h")
-    kernel = F.exp(F.lit(-0.5) * u * u) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    kernel = f"n * exp(-0.5D * _u * _u) / (_n * _h * {math.sqrt(2 * math.pi)!r}D)"
     return spread_out.groupBy(label, "feature", "grid").agg(
-        F.max("x").alias("x"), F.sum(F.col("n") * kernel).alias("density")
-    ).select(
-        F.col(label).alias("label"), "feature", "grid",
-        F.round("x", 6).alias("x"), F.round("density", 6).alias("density"),
-    )
+        F.expr("max(x) as x"), F.expr(f"sum({kernel}) as density")
+    ).selectExpr(f"{q(label)} as label", "feature", "grid", "round(x, 6) as x", "round(density, 6) as density")
 
 
 def sample_rows(df: DataFrame, k: int, id_col: str, seed: int) -> DataFrame:
@@ -129,8 +109,8 @@ def sample_rows(df: DataFrame, k: int, id_col: str, seed: int) -> DataFrame:
 def scatter_points(
     df: DataFrame, x: str, y: str, label: str, id_col: str, k: int, seed: int
 ) -> DataFrame:
-    return sample_rows(df.select(id_col, x, y, label), k, id_col, seed).select(
-        id_col, F.col(x).alias("x"), F.col(y).alias("y"), F.col(label).alias("label")
+    return sample_rows(df.select(id_col, x, y, label), k, id_col, seed).selectExpr(
+        q(id_col), f"{q(x)} as x", f"{q(y)} as y", f"{q(label)} as label"
     )
 
 
@@ -150,67 +130,43 @@ def lowess_trend(
     share of the points lies; cells get tricube weights and a closed-form line is fitted. After the cell
     aggregate the work no longer depends on the number of rows.
     """
-    by_cols = [by] if by else []
-    rows = df.select(*by_cols, clean_number(x).alias("_x"), clean_number(y).alias("_y")).dropna()
-    span = rows.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("s")).scalar()
-    place = (F.col("_x") - F.col("_s.lo")) / F.nullif(F.col("_s.hi") - F.col("_s.lo"), F.lit(0.0)) * cells
+    keep = [by] if by else []
+    names = [q(c) for c in keep]
+    rows = df.selectExpr(*names, f"{clean(x)} as _x", f"{clean(y)} as _y").filter("_x is not null and _y is not null")
+    span = rows.selectExpr("struct(min(_x) as lo, max(_x) as hi) as s").scalar()
+    place = f"(_x - _s.lo) / nullif(_s.hi - _s.lo, 0D) * {cells}"
     cell_rows = (
         rows.withColumn("_s", span)
-        .withColumn("_cell", F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(cells - 1)))
-        .groupBy(*by_cols, "_cell")
-        .agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("_x").alias("x"), F.avg("_y").alias("y"))
+        .selectExpr(*names, "_x", "_y", f"least(coalesce(floor({place}), 0), {cells - 1}) as _cell")
+        .groupBy(*keep, "_cell")
+        .agg(F.expr("cast(count(1) as double) as n"), F.expr("avg(_x) as x"), F.expr("avg(_y) as y"))
     )
     # At most `cells` structs per group.
-    packed = cell_rows.groupBy(*by_cols).agg(
-        F.collect_list(F.struct("x", "n", "y")).alias("_cells"),
-        F.sum("n").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"),
-    )
-    at = (
-        packed.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("grid") / (points - 1))
+    packed = cell_rows.groupBy(*keep).agg(*[F.expr(e) for e in (
+        "collect_list(struct(x, n, y)) as _cells", "sum(n) as _n", "min(x) as _lo", "max(x) as _hi",
+    )])
+    at = packed.selectExpr("*", f"explode(sequence(0, {points - 1})) as grid").selectExpr(
+        "*", f"_lo + (_hi - _lo) * grid / {points - 1} as x"
+    ).selectExpr(
+        *names, "grid", "x", f"floor({frac!r}D * _n + 1e-10D) as _need",
+        "array_sort(transform(_cells, c -> struct(abs(c.x - x) as d, c.n as n, c.x - x as u, c.y as y))) as _near",
+    )
+    reach = (
+        "aggregate(_near, struct(0D as seen, 0D as h), (a, c) -> struct(a.seen + c.n as seen, "
+        "if(a.seen < _need, c.d, a.h) as h), a -> a.h)"
+    )
+    tricube = "if(_h > 0, if(c.d < _h, pow(1D - pow(c.d / _h, 3D), 3D), 0D), if(c.d = 0, 1D, 0D))"
+    weighted = at.selectExpr("*", f"{reach} as _h").selectExpr(
+        *names, "grid", "x", f"transform(_near, c -> struct(c.n * {tricube} as w, c.u as u, c.y as y)) as _near"
     )
-    ordered = F.array_sort(F.transform(
-        "_cells", lambda c: F.struct(F.abs(c["x"] - F.col("x")).alias("d"), c["n"].alias("n"), c["x"].alias("x"), c["y"].alias("y"))
-    ))
-    near = at.withColumn("_near", ordered)
-    needed = F.floor(F.lit(frac) * F.col("_n") + F.lit(1e-10))
-    reach = F.aggregate(
-        "_near",
-        F.struct(F.lit(0.0).alias("seen"), F.lit(0.0).alias("h")),
-        lambda acc, c: F.struct(
-            (acc["seen"] + c["n"]).alias("seen"),
-            F.when(acc["seen"] < needed, c["d"]).otherwise(acc["h"]).alias("h"),
-        ),
-        lambda acc: acc["h"],
-    )
-    with_h = near.withColumn("_h", reach)
-
-    def weight(c: Column) -> Column:
-        u = c["d"] / F.nullif(F.col("_h"), F.lit(0.0))
-        tricube = F.pow(F.lit(1.0) - F.pow(u, F.lit(3.0)), F.lit(3.0))
-        return c["n"] * F.when(F.col("_h") == 0, F.when(c["d"] == 0, 1.0).otherwise(0.0)).when(
-            u < 1, tricube
-        ).otherwise(0.0)
-
-    zero = F.struct(*[F.lit(0.0).alias(s) for s in ("w", "wx", "wy", "wxx", "wxy")])
     # Sums of the centred x keep the normal equations well conditioned.
-    fit = F.aggregate(
-        "_near",
-        zero,
-        lambda a, c: F.struct(
-            (a["w"] + weight(c)).alias("w"),
-            (a["wx"] + weight(c) * (c["x"] - F.col("x"))).alias("wx"),
-            (a["wy"] + weight(c) * c["y"]).alias("wy"),
-            (a["wxx"] + weight(c) * (c["x"] - F.col("x")) * (c["x"] - F.col("x"))).alias("wxx"),
-            (a["wxy"] + weight(c) * (c["x"] - F.col("x")) * c["y"]).alias("wxy"),
-        ),
-    )
-    f = with_h.withColumn("_f", fit)
-    det = F.col("_f.w") * F.col("_f.wxx") - F.col("_f.wx") * F.col("_f.wx")
-    line = (F.col("_f.wxx") * F.col("_f.wy") - F.col("_f.wx") * F.col("_f.wxy")) / F.nullif(
-        F.when(F.abs(det) > 1e-12 * F.col("_f.w") * F.col("_f.w"), det), F.lit(0.0)
-    )
-    level = F.col("_f.wy") / F.nullif(F.col("_f.w"), F.lit(0.0))
-    return f.select(
-        *by_cols, "grid", F.round("x", 6).alias("x"), F.round(F.coalesce(line, level), 4).alias("y")
+    fit = (
+        "aggregate(_near, struct(0D as w, 0D as wx, 0D as wy, 0D as wxx, 0D as wxy), (a, c) -> struct("
+        "a.w + c.w as w, a.wx + c.w * c.u as wx, a.wy + c.w * c.y as wy, "
+        "a.wxx + c.w * c.u * c.u as wxx, a.wxy + c.w * c.u * c.y as wxy))"
+    )
+    det = "(_f.w * _f.wxx - _f.wx * _f.wx)"
+    line = f"(_f.wxx * _f.wy - _f.wx * _f.wxy) / nullif(if(abs({det}) > 1e-12D * _f.w * _f.w, {det}, 0D), 0D)"
+    return weighted.selectExpr(*names, "grid", "x", f"{fit} as _f").selectExpr(
+        *names, "grid", "round(x, 6) as x", f"round(coalesce({line}, _f.wy / nullif(_f.w, 0D)), 4) as y"
     )

@@ -7,100 +7,81 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import N_CLASSES, RiskConfig
+from ..functions import q, stack
 from .ordered import running_totals
 
 CLASSES = range(N_CLASSES)
 
 
-def _sum_of(terms: Sequence[Column]) -> Column:
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
-
-
 def _cells(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key with the nine cell counts ``_c<label><pred>``."""
     return scored.groupBy(*keys).agg(*[
-        F.count_if((F.col("label") == i) & (F.col("pred") == j)).alias(f"_c{i}{j}")
-        for i in CLASSES for j in CLASSES
+        F.expr(f"count_if(label = {i} and pred = {j}) as _c{i}{j}") for i in CLASSES for j in CLASSES
     ])
 
 
 def confusion_matrix(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All nine ``(label, pred, n)`` cells per key, empty ones included."""
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("label"), F.lit(j).alias("pred"), F.col(f"_c{i}{j}").alias("n"))
-        for i in CLASSES for j in CLASSES
-    ])
-    return _cells(scored, keys).select(*keys, F.inline(rows))
+    rows = [(str(i), str(j), f"_c{i}{j}") for i in CLASSES for j in CLASSES]
+    return _cells(scored, keys).selectExpr(*[q(k) for k in keys], stack(rows, ("label", "pred", "n")))
 
 
 def confusion_normalised(confusion: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Share of each predicted class within its real class."""
-    row_total = F.sum("n").over(Window.partitionBy(*keys, "label"))  # nine rows per key
-    return confusion.select(*keys, "label", "pred", "n", F.round(F.col("n") / (row_total + F.lit(1e-9)), 6).alias("share"))
+    names = [q(k) for k in keys]
+    row = f"sum(n) over (partition by {', '.join([*names, 'label'])})"  # nine rows per key
+    return confusion.selectExpr(*names, "label", "pred", "n", f"round(n / ({row} + 1e-9D), 6) as share")
 
 
 def macro_metrics(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Accuracy and macro precision, recall and F1 over the classes seen in truth or prediction."""
-    c = {(i, j): F.col(f"_c{i}{j}") for i in CLASSES for j in CLASSES}
-    total = _sum_of(list(c.values()))
-    real = [_sum_of([c[k, j] for j in CLASSES]) for k in CLASSES]
-    said = [_sum_of([c[i, k] for i in CLASSES]) for k in CLASSES]
-    seen = _sum_of([F.when(real[k] + said[k] > 0, 1).otherwise(0) for k in CLASSES])
-
-    def mean_over_seen(values: list[Column]) -> Column:
-        return F.round(_sum_of([F.coalesce(v, F.lit(0.0)) for v in values]) / F.nullif(seen, F.lit(0)), 4)
-
-    def ratio(a: Column, b: Column) -> Column:
-        return a / F.nullif(b, F.lit(0))
-
-    return _cells(scored, keys).select(
-        *keys,
-        total.alias("n"),
-        F.round(ratio(_sum_of([c[k, k] for k in CLASSES]), total), 4).alias("accuracy"),
-        mean_over_seen([ratio(c[k, k], said[k]) for k in CLASSES]).alias("precision"),
-        mean_over_seen([ratio(c[k, k], real[k]) for k in CLASSES]).alias("recall"),
-        mean_over_seen([ratio(2 * c[k, k], real[k] + said[k]) for k in CLASSES]).alias("f1"),
+    hit = [f"_c{k}{k}" for k in CLASSES]
+    real = ["(" + " + ".join(f"_c{k}{j}" for j in CLASSES) + ")" for k in CLASSES]
+    said = ["(" + " + ".join(f"_c{i}{k}" for i in CLASSES) + ")" for k in CLASSES]
+    total = "(" + " + ".join(real) + ")"
+    seen = "(" + " + ".join(f"if({real[k]} + {said[k]} > 0, 1, 0)" for k in CLASSES) + ")"
+
+    def mean_over_seen(parts: list[tuple[str, str]]) -> str:
+        ratios = " + ".join(f"coalesce({a} / nullif({b}, 0), 0D)" for a, b in parts)
+        return f"round(({ratios}) / nullif({seen}, 0), 4)"
+
+    return _cells(scored, keys).selectExpr(
+        *[q(k) for k in keys],
+        f"{total} as n",
+        f"round(({' + '.join(hit)}) / nullif({total}, 0), 4) as accuracy",
+        f"{mean_over_seen(list(zip(hit, said)))} as precision",
+        f"{mean_over_seen(list(zip(hit, real)))} as recall",
+        f"{mean_over_seen([(f'2 * {hit[k]}', f'{real[k]} + {said[k]}') for k in CLASSES])} as f1",
     )
 
 
 def _ranked_scores(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct scores per (key, class) with positives and negatives at and below each score."""
-    per_class = F.array(*[
-        F.struct(
-            F.lit(k).alias("class"),
-            F.col(f"p{k}").alias("score"),
-            (F.col("label") == k).cast("long").alias("_pos"),
-        )
-        for k in CLASSES
-    ])
+    per_class = stack([(str(k), f"p{k}", f"label = {k}") for k in CLASSES], ("class", "score", "_hit"))
     counts = (
-        scored.select(*keys, F.inline(per_class))
+        scored.selectExpr(*[q(k) for k in keys], per_class)
         .groupBy(*keys, "class", "score")
-        .agg(F.sum("_pos").alias("pos"), F.sum(1 - F.col("_pos")).alias("neg"))
+        .agg(F.expr("count_if(_hit) as pos"), F.expr("count_if(not _hit) as neg"))
     )
     return running_totals(counts, [*keys, "class"], "score", ["pos", "neg"])
 
 
 def auc_ovr(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One-vs-rest AUC per class from rank sums, ties counted half; null when a side is empty."""
-    wins = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)
     return _ranked_scores(scored, keys).groupBy(*keys, "class").agg(
-        F.sum(wins).alias("_wins"),
-        F.max(F.col("total_pos").cast("double") * F.col("total_neg")).alias("_pairs"),
-    ).select(*keys, "class", (F.col("_wins") / F.nullif(F.col("_pairs"), F.lit(0.0))).alias("auc"))
+        F.expr("sum(pos * (before_neg + neg / 2D)) as _wins"),
+        F.expr("max(cast(total_pos as double) * total_neg) as _pairs"),
+    ).selectExpr(*[q(k) for k in keys], "class", "_wins / nullif(_pairs, 0D) as auc")
 
 
 def auc_ovr_macro(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean of the per-class AUCs; null when any class is absent from the truth."""
     return auc_ovr(scored, keys).groupBy(*keys).agg(
-        F.round(F.when(F.count("auc") == N_CLASSES, F.avg("auc")), 4).alias("roc_auc")
+        F.expr(f"round(if(count(auc) = {N_CLASSES}, avg(auc), null), 4) as roc_auc")
     )
 
 
@@ -111,37 +92,30 @@ def roc_curve_macro(scored: DataFrame, keys: Sequence[str] = (), points: int = 2
     the counts above it to the counts including it. A segment emits exactly the grid points it covers, found
     with integer arithmetic; no range join is needed. At a repeated rate the last point counts.
     """
-    steps = points - 1
-    ranked = _ranked_scores(scored, keys).select(
-        *keys, "class",
-        F.col("total_pos").alias("_P"), F.col("total_neg").alias("_N"), "pos", "neg",
-        (F.col("total_pos") - F.col("before_pos") - F.col("pos")).alias("_tp"),
-        (F.col("total_neg") - F.col("before_neg") - F.col("neg")).alias("_fp"),
-    ).filter((F.col("neg") > 0) & (F.col("_P") > 0))
-    first = F.expr(f"cast((_fp * {steps} + _N - 1) div _N as int)")
-    last = F.expr(f"cast(((_fp + neg) * {steps} - 1) div _N as int)")
-    along = (F.col("grid") * F.col("_N") / float(steps) - F.col("_fp")) / F.col("neg")
-    inner = (
-        ranked.withColumn("_first", first).withColumn("_last", last)
-        .filter(F.col("_first") <= F.col("_last"))
-        .withColumn("grid", F.explode(F.sequence("_first", "_last")))
-        .select(*keys, "class", "grid", ((F.col("_tp") + F.col("pos") * along) / F.col("_P")).alias("tpr"))
+    steps, names = points - 1, [q(k) for k in keys]
+    segments = _ranked_scores(scored, keys).filter("neg > 0 and total_pos > 0").selectExpr(
+        *names, "class", "pos", "neg", "total_pos as _P", "total_neg as _N",
+        "total_pos - before_pos - pos as _tp", "total_neg - before_neg - neg as _fp",
+    ).selectExpr(
+        "*",
+        f"cast((_fp * {steps} + _N - 1) div _N as int) as _first",
+        f"cast(((_fp + neg) * {steps} - 1) div _N as int) as _last",
     )
-    # The curve ends at (1, 1); the lowest score of each class supplies that grid point.
-    end = ranked.filter(F.col("_fp") + F.col("neg") == F.col("_N")).select(
-        *keys, "class", F.lit(steps).alias("grid"), F.lit(1.0).alias("tpr")
+    inner = segments.filter("_first <= _last").selectExpr("*", "explode(sequence(_first, _last)) as grid").selectExpr(
+        *names, "class", "grid", f"(_tp + pos * ((grid * _N / {steps}D - _fp) / neg)) / _P as tpr"
     )
+    # The curve ends at (1, 1); the lowest score of each class supplies that grid point.
+    end = segments.filter("_fp + neg = _N").selectExpr(*names, "class", f"{steps} as grid", "1D as tpr")
     curve = inner.unionByName(end).groupBy(*keys, "grid").agg(
-        (F.sum("tpr") / N_CLASSES).alias("tpr"), F.count(F.lit(1)).alias("_classes")
-    ).filter(F.col("_classes") == N_CLASSES)
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # `points` rows per key
-    ends = F.sum(F.when(F.col("grid").isin(0, steps), F.col("tpr") / 2).otherwise(F.col("tpr")))
-    return curve.select(
-        *keys,
+        F.expr(f"sum(tpr) / {N_CLASSES} as tpr"), F.expr("count(1) as _classes")
+    ).filter(f"_classes = {N_CLASSES}")
+    whole = f"partition by {', '.join(names)}" if names else ""  # `points` rows per key
+    return curve.selectExpr(
+        *names,
         "grid",
-        F.round(F.col("grid") / float(steps), 6).alias("fpr"),
-        F.round("tpr", 6).alias("tpr"),
-        F.round(ends.over(whole) / steps, 6).alias("auc"),
+        f"round(grid / {steps}D, 6) as fpr",
+        "round(tpr, 6) as tpr",
+        f"round(sum(if(grid in (0, {steps}), tpr / 2, tpr)) over ({whole}) / {steps}, 6) as auc",
     )
 
 
@@ -165,7 +139,7 @@ def fold_scores(scored: DataFrame, keys: Sequence[str] = ("model",)) -> DataFram
 def cv_summary(folds: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Mean and population deviation of the fold scores."""
     return folds.groupBy(*keys).agg(
-        F.round(F.avg("f1_macro"), 4).alias("cv_mean"), F.round(F.stddev_pop("f1_macro"), 4).alias("cv_std")
+        F.expr("round(avg(f1_macro), 4) as cv_mean"), F.expr("round(stddev_pop(f1_macro), 4) as cv_std")
     )
 
 
@@ -191,15 +165,14 @@ def leakage_delta(long_metrics: DataFrame, full: str, reduced: str, n_features:
         F.max(F.when(F.col("model") == full, F.col("value"))).alias("full_value"),
         F.max(F.when(F.col("model") == reduced, F.col("value"))).alias("reduced_value"),
     )
-    delta = F.round(F.col("reduced_value") - F.col("full_value"), 4)
-    return sides.select(
-        "metric", "full_value", "reduced_value", delta.alias("delta"), F.abs(delta).alias("gap"),
-        F.lit(n_features).alias("n_features"),
+    delta = "round(reduced_value - full_value, 4)"
+    return sides.selectExpr(
+        "metric", "full_value", "reduced_value", f"{delta} as delta", f"abs({delta}) as gap",
+        f"{n_features} as n_features",
     )
 
 
 def success_gate(metrics: DataFrame, cfg: RiskConfig) -> DataFrame:
-    return metrics.select(
-        "model", "f1", F.lit(cfg.f1_target).alias("target"),
-        F.coalesce(F.col("f1") >= cfg.f1_target, F.lit(False)).alias("reached"),
-    )
+    """Whether each model's macro F1 reaches the target."""
+    target = f"{cfg.f1_target!r}D"
+    return metrics.selectExpr("model", "f1", f"{target} as target", f"coalesce(f1 >= {target}, false) as reached")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Override, RiskConfig
-from ..functions import clean_number, round_percent
+from ..functions import clean, q, stack, text
+from ..functions.expressions import percent_sql
 from .score import PROBS, Scorer
 
 
@@ -17,14 +18,13 @@ from .score import PROBS, Scorer
 
 def linear_contributions(df: DataFrame, weights: Mapping[str, float], id_col: str) -> DataFrame:
     """Exact contributions of an additive score: weight * (value - column mean). One row per entity."""
-    means = df.agg(F.struct(*[F.avg(clean_number(c)).alias(c) for c in weights]).alias("m")).scalar()
-    return df.withColumn("_m", means).select(
-        id_col,
-        *[clean_number(c).alias(c) for c in weights],
-        *[
-            (F.lit(float(w)) * (clean_number(c) - F.col("_m")[c])).alias(f"contribution_{c}")
-            for c, w in weights.items()
-        ],
+    means = df.selectExpr(
+        f"struct({', '.join(f'avg({clean(c)}) as {q(c)}' for c in weights)}) as m"
+    ).scalar()
+    return df.withColumn("_m", means).selectExpr(
+        q(id_col),
+        *[f"{clean(c)} as {q(c)}" for c in weights],
+        *[f"{float(w)!r}D * ({clean(c)} - _m.{q(c)}) as {q('contribution_' + c)}" for c, w in weights.items()],
     )
 
 
@@ -58,30 +58,27 @@ def sampled_contributions(
     """
     d = len(features)
     orders = _permutations(d, pairs, seed)
-    own = scorer(df.select(id_col, *[F.col(c).cast("double").alias(c) for c in features]))
-    own = own.select(id_col, *[F.col(c).alias(f"_own_{i}") for i, c in enumerate(features)], F.col("pred").alias("_pred"))
+    own = scorer(df.selectExpr(q(id_col), *[f"cast({q(c)} as double) as {q(c)}" for c in features]))
+    own = own.selectExpr(q(id_col), *[f"{q(c)} as _own_{i}" for i, c in enumerate(features)], "pred as _pred")
+    positions = ", ".join(f"array({', '.join(map(str, o))})" for o in orders)
     mixed = (
-        own.withColumn("_pos", F.explode(F.lit(orders)))
-        .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
-        .withColumns({
-            c: F.when(F.get("_pos", F.lit(i)) <= F.col("_step"), F.col(f"_own_{i}")).otherwise(
-                F.lit(float(background[c]))
-            )
+        own.selectExpr("*", f"explode(array({positions})) as _pos")
+        .selectExpr("*", f"explode(sequence(0, {d})) as _step")
+        .selectExpr("*", *[
+            f"if(get(_pos, {i}) <= _step, _own_{i}, {float(background[c])!r}D) as {q(c)}"
             for i, c in enumerate(features)
-        })
+        ])
     )
-    value = F.get(F.array(*[F.col(p) for p in PROBS]), F.col("_pred"))
-    scored = scorer(mixed).withColumn("_v", value)
+    scored = scorer(mixed).withColumn("_v", F.expr(f"get(array({', '.join(PROBS)}), _pred)"))
 
-    def change(i: int) -> Column:
-        position = F.get("_pos", F.lit(i))
-        sign = F.when(position == F.col("_step"), 1.0).when(position == F.col("_step") + 1, -1.0).otherwise(0.0)
-        return F.sum(sign * F.col("_v")) / len(orders)
+    def change(i: int) -> str:
+        sign = f"case when get(_pos, {i}) = _step then 1D when get(_pos, {i}) = _step + 1 then -1D else 0D end"
+        return f"sum({sign} * _v) / {len(orders)}"
 
     return scored.groupBy(id_col).agg(
-        F.any_value("_pred").alias("pred"),
-        *[F.any_value(f"_own_{i}").alias(c) for i, c in enumerate(features)],
-        *[change(i).alias(f"contribution_{c}") for i, c in enumerate(features)],
+        F.expr("any_value(_pred) as pred"),
+        *[F.expr(f"any_value(_own_{i}) as {q(c)}") for i, c in enumerate(features)],
+        *[F.expr(f"{change(i)} as {q('contribution_' + c)}") for i, c in enumerate(features)],
     )
 
 
@@ -93,42 +90,35 @@ def attribution(
     Sorting and cutting to ``top`` happen inside each row's array, so nothing is shuffled. The direction
     says whether the feature raises or lowers the explained class.
     """
-    items = F.array(*[
-        F.struct(
-            (-F.abs(F.round(f"contribution_{c}", decimals))).alias("order"),
-            F.lit(c).alias("feature"),
-            F.col(c).alias("value"),
-            F.round(f"contribution_{c}", decimals).alias("contribution"),
-        )
+    items = ", ".join(
+        f"struct(-abs(round({q('contribution_' + c)}, {decimals})) as order, {text(c)} as feature, "
+        f"cast({q(c)} as double) as value, round({q('contribution_' + c)}, {decimals}) as contribution)"
         for c in features
-    ])
-    known = F.filter(items, lambda s: s["contribution"].isNotNull())
-    ordered = F.array_sort(known)
+    )
+    ordered = f"array_sort(filter(array({items}), s -> s.contribution is not null))"
     if top is not None:
-        ordered = F.slice(ordered, 1, top)
-    return contributions.select(id_col, F.posexplode(ordered).alias("_i", "_s")).select(
-        id_col,
-        (F.col("_i") + 1).alias("rank"),
-        "_s.feature",
-        "_s.value",
-        "_s.contribution",
-        attribution_direction(F.col("_s.contribution")).alias("direction"),
+        ordered = f"slice({ordered}, 1, {top})"
+    return contributions.selectExpr(q(id_col), f"posexplode({ordered}) as (_i, _s)").selectExpr(
+        q(id_col), "_i + 1 as rank", "_s.feature", "_s.value", "_s.contribution",
+        f"{attribution_direction('_s.contribution')} as direction",
     )
 
 
-def attribution_direction(contribution: Column) -> Column:
-    return F.when(contribution > 0, "raises").otherwise("lowers")
+def attribution_direction(contribution: str) -> str:
+    """Whether a contribution raises or lowers the explained class (SQL text)."""
+    return f"if({contribution} > 0, 'raises', 'lowers')"
 
 
 # --- what-if ---------------------------------------------------------------------------------------
 
-def _changed(o: Override) -> Column:
-    new = F.col(o.feature) + F.lit(float(o.delta))
+def _changed(o: Override) -> str:
+    """New value of a feature; a missing value stays missing (SQL text)."""
+    new = f"cast({q(o.feature)} as double) + {float(o.delta)!r}D"
     if o.lo is not None:
-        new = F.greatest(F.lit(float(o.lo)), new)
+        new = f"greatest({float(o.lo)!r}D, {new})"
     if o.hi is not None:
-        new = F.least(F.lit(float(o.hi)), new)
-    return F.when(F.col(o.feature).isNotNull(), new)
+        new = f"least({float(o.hi)!r}D, {new})"
+    return f"if({q(o.feature)} is not null, {new}, null)"
 
 
 def what_if(
@@ -144,51 +134,34 @@ def what_if(
     scoring passes, so there is no join back.
     """
     features = [c for c in (features or cfg.features) if c in df.columns]
-    before = scorer(df)
-    kept = before.select(
-        cfg.id_col,
-        *features,
-        F.col("pred").alias("pred_before"),
-        *[F.col(p).alias(f"{p}_before") for p in PROBS],
+    kept = scorer(df).selectExpr(
+        q(cfg.id_col), *[q(f) for f in features], "pred as pred_before", *[f"{p} as {p}_before" for p in PROBS]
     )
-    variants = F.array(*[
-        F.struct(
-            F.lit(name).alias("scenario"),
+    rows = [
+        (
+            text(name),
             *[
-                next((_changed(o) for o in overrides if o.feature == f), F.col(f)).cast("double").alias(f)
+                next((_changed(o) for o in overrides if o.feature == f), f"cast({q(f)} as double)")
                 for f in features
             ],
         )
         for name, overrides in scenarios.items()
-    ])
-    changed = kept.withColumn("_v", F.explode(variants)).select(
-        cfg.id_col, "pred_before", *[f"{p}_before" for p in PROBS], "_v.*"
-    )
-    after = scorer(changed)
-    verdict = (
-        F.when(F.col("pred") > F.col("pred_before"), "better")
-        .when(F.col("pred") < F.col("pred_before"), "worse")
-        .otherwise("no change")
+    ]
+    changed = kept.selectExpr(
+        q(cfg.id_col), "pred_before", *[f"{p}_before" for p in PROBS], stack(rows, ("scenario", *features))
     )
-    return after.select(
-        cfg.id_col,
-        "scenario",
-        "pred_before",
-        F.col("pred").alias("pred_after"),
-        verdict.alias("change"),
-        *[f"{p}_before" for p in PROBS],
-        *[F.col(p).alias(f"{p}_after") for p in PROBS],
+    verdict = "case when pred > pred_before then 'better' when pred < pred_before then 'worse' else 'no change' end"
+    return scorer(changed).selectExpr(
+        q(cfg.id_col), "scenario", "pred_before", "pred as pred_after", f"{verdict} as change",
+        *[f"{p}_before" for p in PROBS], *[f"{p} as {p}_after" for p in PROBS],
     )
 
 
 def what_if_compare(compared: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Before and after percent per class, one row per (entity, scenario, class)."""
-    rows = F.array(*[
-        F.struct(
-            F.lit(cfg.labels[k]).alias("risk_label"),
-            round_percent(f"{p}_before").alias("pct_before"),
-            round_percent(f"{p}_after").alias("pct_after"),
-        )
-        for k, p in enumerate(PROBS)
-    ])
-    return compared.select(cfg.id_col, "scenario", F.inline(rows))
+    rows = [
+        (text(cfg.labels[k]), percent_sql(f"{p}_before"), percent_sql(f"{p}_after")) for k, p in enumerate(PROBS)
+    ]
+    return compared.selectExpr(
+        q(cfg.id_col), "scenario", stack(rows, ("risk_label", "pct_before", "pct_after"))
+    )

@@ -10,36 +10,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clean_number
+from ..functions import clean, q, stack, text
 
 EDGES = 64
 CELLS_PER_EDGE = 32
 
 
+def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``(keep..., feature, value)`` with missing values left out."""
+    pairs = stack([(text(c), clean(c)) for c in columns], ("feature", "value"))
+    return df.selectExpr(*[q(c) for c in keep], pairs).filter("value is not null")
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(by..., feature, value, n)``: how often each non-null value of each column occurs."""
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("feature"), clean_number(c).alias("value")) for c in columns
-    ])
-    return (
-        df.select(*by, F.explode(pairs).alias("_p"))
-        .select(*by, "_p.feature", "_p.value")
-        .filter(F.col("value").isNotNull())
-        .groupBy(*by, "feature", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return long_values(df, columns, by).groupBy(*by, "feature", "value").agg(F.expr("count(1) as n"))
 
 
-def _bucket(value: Column, edges: Column) -> Column:
+def _bucket(value: str) -> str:
     """Non-decreasing in ``value``: the slot between approximate quantiles, split evenly inside."""
-    slot = F.size(F.filter(edges, lambda e: e <= value))
-    lo, hi = F.get(edges, slot - 1), F.get(edges, slot)
-    inside = F.floor((value - lo) / F.nullif(hi - lo, F.lit(0.0)) * CELLS_PER_EDGE)
-    cell = F.least(F.greatest(F.coalesce(inside, F.lit(0)), F.lit(0)), F.lit(CELLS_PER_EDGE - 1))
-    return slot.cast("long") * CELLS_PER_EDGE + cell
+    v, last = q(value), CELLS_PER_EDGE - 1
+    slot = f"size(filter(_edges, e -> e <= {v}))"
+    lo, hi = f"get(_edges, {slot} - 1)", f"get(_edges, {slot})"
+    inside = f"floor(({v} - {lo}) / nullif({hi} - {lo}, 0D) * {CELLS_PER_EDGE})"
+    return f"cast({slot} as bigint) * {CELLS_PER_EDGE} + least(greatest(coalesce({inside}, 0), 0), {last})"
 
 
 def running_totals(
@@ -51,39 +48,30 @@ def running_totals(
     the edge and bucket tables are broadcast and hold at most ``(EDGES + 2) * CELLS_PER_EDGE`` rows per key
     combination, whatever the number of values.
     """
+    names = [q(k) for k in keys]
     # Keeping the measures alive lets this branch reuse the exchange that produced df.
-    alive = df.filter(F.coalesce(*[F.col(m) for m in measures]) >= 0)
-    fractions = [i / EDGES for i in range(EDGES + 1)]
+    alive = df.filter(f"coalesce({', '.join(q(m) for m in measures)}) >= 0")
+    fractions = ", ".join(repr(i / EDGES) for i in range(EDGES + 1))
     edges = alive.groupBy(*keys).agg(
-        F.percentile_approx(value, fractions, 20 * EDGES).alias("_edges")
+        F.expr(f"percentile_approx({q(value)}, array({fractions}), {20 * EDGES}) as _edges")
     )
-    bucketed = df.join(F.broadcast(edges), list(keys)).withColumn(
-        "_bucket", _bucket(F.col(value), F.col("_edges"))
-    ).drop("_edges")
-
-    totals = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_{m}").over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures],
-        *[F.sum(f"_{m}").over(whole).alias(f"total_{m}") for m in measures],
+    bucketed = df.join(F.broadcast(edges), list(keys)).selectExpr(
+        *[q(c) for c in df.columns], f"{_bucket(value)} as _bucket"
     )
-
-    within = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    totals = bucketed.groupBy(*keys, "_bucket").agg(*[F.expr(f"sum({q(m)}) as {q('_' + m)}") for m in measures])
+    whole = f"partition by {', '.join(names)}"
+    earlier = "rows between unbounded preceding and 1 preceding"
+    offsets = totals.selectExpr(
+        *names,
+        "_bucket",
+        *[f"coalesce(sum({q('_' + m)}) over ({whole} order by _bucket {earlier}), 0) as {q('_off_' + m)}" for m in measures],
+        *[f"sum({q('_' + m)}) over ({whole}) as {q('total_' + m)}" for m in measures],
     )
-    out = bucketed.join(F.broadcast(offsets), [*keys, "_bucket"])
-    return out.select(
-        *[c for c in df.columns],
-        *[
-            (F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(within), F.lit(0))).alias(f"before_{m}")
-            for m in measures
-        ],
-        *[f"total_{m}" for m in measures],
+    within = f"partition by {', '.join(names)}, _bucket order by {q(value)} {earlier}"
+    return bucketed.join(F.broadcast(offsets), [*keys, "_bucket"]).selectExpr(
+        *[q(c) for c in df.columns],
+        *[f"{q('_off_' + m)} + coalesce(sum({q(m)}) over ({within}), 0) as {q('before_' + m)}" for m in measures],
+        *[q("total_" + m) for m in measures],
     )
 
 
@@ -101,26 +89,19 @@ def exact_quantiles(
     """
     keys = [*by, "feature"]
     ranked = running_totals(value_counts(df, columns, by), keys, "value", ["n"])
-    start, stop = F.col("before_n"), F.col("before_n") + F.col("n")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < stop), F.col("value")))
+    def at(rank: str) -> str:
+        return f"max(case when before_n <= {rank} and {rank} < before_n + n then value end)"
 
-    aggs = [F.max("total_n").alias("n_values")]
-    for p in probs:
-        position = F.lit(float(p)) * (F.col("total_n") - 1)
-        aggs += [
-            at(F.floor(position)).alias(f"_lo_{quantile_name(p)}"),
-            at(F.ceil(position)).alias(f"_hi_{quantile_name(p)}"),
-        ]
-    picked = ranked.groupBy(*keys).agg(*aggs)
-    out = [*keys, "n_values"]
+    aggs, out = ["max(total_n) as n_values"], []
     for p in probs:
         name = quantile_name(p)
-        position = F.lit(float(p)) * (F.col("n_values") - 1)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
-    return picked.select(*out)
+        position = f"{float(p)!r}D * (total_n - 1)"
+        aggs += [f"{at(f'floor({position})')} as _lo_{name}", f"{at(f'ceil({position})')} as _hi_{name}"]
+        position = f"{float(p)!r}D * (n_values - 1)"
+        out.append(f"_lo_{name} + (_hi_{name} - _lo_{name}) * ({position} - floor({position})) as {name}")
+    picked = ranked.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    return picked.selectExpr(*[q(k) for k in keys], "n_values", *out)
 
 
 def rank_cuts(
@@ -132,22 +113,25 @@ def rank_cuts(
     wanted rank; only rows of those prefixes are ranked. The result is ``(by, chunk, cut)`` where ``cut``
     is a comparable struct of key and tie-breaker.
     """
-    keyed = df.select(by, key, tie).withColumn("_prefix", F.substring(key, 1, prefix_digits))
-    counts = keyed.groupBy(by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    # ranks: groups x chunks rows, fixed by the caller's class and fold counts.
-    hits = offsets.join(F.broadcast(ranks), by).filter(
-        (F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_before") + F.col("_n"))
+    g, k, t = q(by), q(key), q(tie)
+    keyed = df.selectExpr(g, k, t, f"substring({k}, 1, {prefix_digits}) as _prefix")
+    counts = keyed.groupBy(by, "_prefix").agg(F.expr("count(1) as _n"))
+    offsets = counts.selectExpr(
+        g, "_prefix", "_n",
+        f"coalesce(sum(_n) over (partition by {g} order by _prefix rows between unbounded preceding and 1 preceding), 0) as _before",
     )
+    # ranks: groups x chunks rows, fixed by the caller's class and fold counts.
+    hits = offsets.join(F.broadcast(ranks), by).filter("_before < rank and rank <= _before + _n")
     wanted = hits.groupBy(by, "_prefix", "_before").agg(
-        F.collect_list(F.struct("rank", "chunk")).alias("_wanted")
+        F.expr("collect_list(struct(rank, chunk)) as _wanted")
     )
-    order = Window.partitionBy(by, "_prefix").orderBy(key, tie)
     return (
         keyed.join(F.broadcast(wanted), [by, "_prefix"])
-        .withColumn("_rank", F.row_number().over(order) + F.col("_before"))
-        .select(by, key, tie, "_rank", F.explode("_wanted").alias("_w"))
-        .filter(F.col("_rank") == F.col("_w.rank"))
-        .select(by, F.col("_w.chunk").alias("chunk"), F.struct(key, tie).alias("cut"))
+        .selectExpr(
+            g, k, t, "_wanted",
+            f"row_number() over (partition by {g}, _prefix order by {k}, {t}) + _before as _rank",
+        )
+        .selectExpr(g, k, t, "_rank", "explode(_wanted) as _w")
+        .filter("_rank = _w.rank")
+        .selectExpr(g, "_w.chunk as chunk", f"struct({k}, {t}) as cut")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..functions import clean_number, ordinal_code, risk_band
+from ..functions import clean, clean_number, ordinal_code, q, risk_band, stack, text
 from .ordered import exact_quantiles
 
 log = logging.getLogger(__name__)
@@ -31,7 +31,7 @@ def add_label(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Class label, plus a flag for rows that are class 0 only because their score is missing."""
     return df.withColumns({
         cfg.label_col: risk_band(cfg.score_col, cfg),
-        "is_unscored": clean_number(cfg.score_col).isNull(),
+        "is_unscored": F.expr(f"{clean(cfg.score_col)} is null"),
     })
 
 
@@ -52,18 +52,15 @@ def medians(df: DataFrame, columns: Sequence[str], approximate: bool = False) ->
     """``(feature, p50)``. The approximate mode is one mergeable sketch per column."""
     if not approximate:
         return exact_quantiles(df, columns, (0.5,)).select("feature", "p50")
-    sketches = df.agg(*[
-        F.percentile_approx(clean_number(c), 0.5, 10000).alias(f"_q{i}") for i, c in enumerate(columns)
+    sketches = df.selectExpr(*[
+        f"percentile_approx({clean(c)}, 0.5, 10000) as _q{i}" for i, c in enumerate(columns)
     ])
-    return sketches.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"_q{i}").alias("p50")) for i, c in enumerate(columns)
-    ])))
+    return sketches.selectExpr(stack([(text(c), f"_q{i}") for i, c in enumerate(columns)], ("feature", "p50")))
 
 
 def _lookup(table: DataFrame, value: str) -> Column:
     """A small ``(feature, value)`` table as one map, computed once per query as a scalar subquery."""
-    entries = F.collect_list(F.struct("feature", value))
-    return table.agg(F.map_from_entries(entries)).scalar()
+    return table.selectExpr(f"map_from_entries(collect_list(struct(feature, {value})))").scalar()
 
 
 def median_impute(
@@ -75,7 +72,7 @@ def median_impute(
     """
     cols = list(columns)
     centre = _lookup(medians(fit_on if fit_on is not None else df, cols, approximate), "p50")
-    filled = {c: F.coalesce(clean_number(c), F.try_element_at(F.col("_medians"), F.lit(c))) for c in cols}
+    filled = {c: F.expr(f"coalesce({clean(c)}, try_element_at(_medians, {text(c)}))") for c in cols}
     return df.withColumn("_medians", centre).withColumns(filled).drop("_medians")
 
 
@@ -94,19 +91,22 @@ def select_features(df: DataFrame, cfg: RiskConfig, wanted: Sequence[str] | None
     """Key, label and the available features in configured order, all as doubles."""
     kept = available_features(df, wanted or cfg.features)
     label = [cfg.label_col] if cfg.label_col in df.columns else []
-    return df.select(cfg.id_col, *label, *[F.col(c).cast("double").alias(c) for c in kept])
-
-
-def standard_scale(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
-    """``<c>_z``: centred and divided by the population deviation of the train rows (1 when it is zero)."""
-    stats = df.agg(F.struct(*[
-        s
-        for c in columns
-        for s in (
-            F.avg(F.when(train, clean_number(c))).alias(f"m_{c}"),
-            F.stddev_pop(F.when(train, clean_number(c))).alias(f"s_{c}"),
-        )
-    ])).scalar()
-    spread = {c: F.coalesce(F.nullif(F.col("_stats")[f"s_{c}"], F.lit(0.0)), F.lit(1.0)) for c in columns}
-    scaled = {f"{c}_z": (clean_number(c) - F.col("_stats")[f"m_{c}"]) / spread[c] for c in columns}
-    return df.withColumn("_stats", stats).withColumns(scaled).drop("_stats")
+    return df.selectExpr(
+        q(cfg.id_col), *[q(c) for c in label], *[f"cast({q(c)} as double) as {q(c)}" for c in kept]
+    )
+
+
+def standard_scale(df: DataFrame, columns: Sequence[str], train: str) -> DataFrame:
+    """``<c>_z``: centred and divided by the population deviation of the ``train`` rows (1 when it is zero).
+
+    ``train`` is a row condition in SQL.
+    """
+    stats = df.selectExpr("struct(" + ", ".join(
+        f"avg(case when {train} then {clean(c)} end) as m{i}, stddev_pop(case when {train} then {clean(c)} end) as s{i}"
+        for i, c in enumerate(columns)
+    ) + ") as stats").scalar()
+    scaled = [
+        f"({clean(c)} - _stats.m{i}) / coalesce(nullif(_stats.s{i}, 0D), 1D) as {q(c + '_z')}"
+        for i, c in enumerate(columns)
+    ]
+    return df.withColumn("_stats", stats).selectExpr(*[q(c) for c in df.columns], *scaled)

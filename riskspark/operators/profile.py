@@ -4,55 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..functions import clean_number, display_name
+from ..functions import clean, display_name, q, stack, text
+from ..functions.expressions import literal
 from .ordered import exact_quantiles
 
 
-def _is_missing(df: DataFrame, name: str) -> Column:
+def _missing(df: DataFrame, name: str) -> str:
     kind = df.schema[name].dataType.typeName()
-    missing = F.col(name).isNull()
-    return missing | F.isnan(name) if kind in ("double", "float") else missing
+    test = f"{q(name)} is null"
+    return f"{test} or isnan({q(name)})" if kind in ("double", "float") else test
 
 
-def _as_rows(columns: Sequence[str], fields: dict[str, str]) -> Column:
-    """Array with one struct per column, gathering ``<prefix><i>`` aggregates into named fields."""
-    return F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"),
-            *[F.col(f"{prefix}{i}").alias(name) for name, prefix in fields.items()],
-        )
-        for i, c in enumerate(columns)
-    ])
+def _missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: ``_rows`` and ``_m<i>`` missing cells per column, from one scan."""
+    return df.selectExpr(
+        "count(1) as _rows", *[f"count_if({_missing(df, c)}) as _m{i}" for i, c in enumerate(columns)]
+    )
 
 
 def table_profile(df: DataFrame) -> DataFrame:
     """Row, column and missing-cell counts, in one scan."""
-    missing = [F.count_if(_is_missing(df, c)) for c in df.columns]
-    total = missing[0]
-    for m in missing[1:]:
-        total = total + m
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.lit(len(df.columns)).cast("long").alias("n_columns"),
-        total.alias("n_nulls"),
+    total = " + ".join(f"count_if({_missing(df, c)})" for c in df.columns)
+    return df.selectExpr(
+        "count(1) as n_rows", f"cast({len(df.columns)} as bigint) as n_columns", f"{total} as n_nulls"
     )
 
 
 def null_audit(df: DataFrame) -> DataFrame:
     """Missing cells and their share per column, in one scan."""
-    one_row = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(_is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(df.columns)],
-    )
-    return one_row.select("_rows", F.inline(_as_rows(df.columns, {"n_null": "_m"}))).select(
-        "column_name",
-        "n_null",
-        F.round(F.col("n_null") / F.nullif(F.col("_rows"), F.lit(0)), 6).alias("null_rate"),
-    )
+    rows = [(text(c), f"_m{i}") for i, c in enumerate(df.columns)]
+    return _missing_counts(df, df.columns).selectExpr(
+        "_rows", stack(rows, ("column_name", "n_null"))
+    ).selectExpr("column_name", "n_null", "round(n_null / nullif(_rows, 0), 6) as null_rate")
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -63,34 +50,28 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     """
     columns = df.columns
     hashed = df.withColumn("_h", F.xxhash64(*columns))
-    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_h")
+    repeated = hashed.groupBy("_h").agg(F.expr("count(1) as _c")).filter("_c > 1").select("_h")
     suspects = hashed.join(repeated, "_h", "left_semi")
-    groups = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicates")
-    )
+    groups = suspects.groupBy(*columns).agg(F.expr("count(1) as _n"))
+    return groups.selectExpr("cast(coalesce(sum(_n - 1), 0) as bigint) as n_duplicates")
 
 
 def filter_domains(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Selectable values per category, and the numeric range of the age column (as text)."""
-    cats = list(cfg.filter_cols)
+    pairs = stack([(text(c), q(c)) for c in cfg.filter_cols], ("column_name", "value"))
     values = (
-        df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in cats
-        ])))
-        .filter(F.col("value").isNotNull())
+        df.selectExpr(pairs)
+        .filter("value is not null")
         .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.expr("count(1) as n"))
     )
     if cfg.age_col is None:
         return values
-    age = F.col(cfg.age_col).cast("long")
-    bounds = df.agg(
-        F.min(age).alias("lo"), F.max(age).alias("hi"), F.count(age).alias("n")
-    ).select(F.inline(F.array(
-        F.struct(F.lit(f"{cfg.age_col}.min").alias("column_name"), F.col("lo").cast("string").alias("value"), F.col("n").alias("n")),
-        F.struct(F.lit(f"{cfg.age_col}.max").alias("column_name"), F.col("hi").cast("string").alias("value"), F.col("n").alias("n")),
-    )))
+    age = f"cast({q(cfg.age_col)} as bigint)"
+    bounds = df.selectExpr(f"min({age}) as lo", f"max({age}) as hi", f"count({age}) as n").selectExpr(stack(
+        [(text(f"{cfg.age_col}.{end}"), f"cast({c} as string)", "n") for end, c in (("min", "lo"), ("max", "hi"))],
+        ("column_name", "value", "n"),
+    ))
     return values.unionByName(bounds)
 
 
@@ -99,53 +80,39 @@ def describe_table(
 ) -> DataFrame:
     """count, mean, sample std, min, quartiles and max; one row per column. Quartiles are exact."""
     cols = list(columns)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = clean_number(c)
-        aggs += [
-            F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_a{i}"), F.stddev_samp(x).alias(f"_s{i}"),
-            F.min(x).alias(f"_l{i}"), F.max(x).alias(f"_h{i}"),
-        ]
-    moments = df.agg(*aggs).select(F.inline(_as_rows(
-        cols, {"n": "_n", "mean": "_a", "std": "_s", "min": "_l", "max": "_h"}
-    )))
+    parts = {"n": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    moments = df.selectExpr(*[
+        f"{fn}({clean(c)}) as _{name}{i}" for i, c in enumerate(cols) for name, fn in parts.items()
+    ]).selectExpr(stack(
+        [(text(c), *[f"_{name}{i}" for name in parts]) for i, c in enumerate(cols)], ("column_name", *parts)
+    ))
     quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75)).withColumnRenamed("feature", "column_name")
     # quartiles: one row per described column.
     out = moments.join(F.broadcast(quartiles), "column_name", "left")
     name = display_name("column_name", cfg) if cfg else F.col("column_name")
-    return out.select(
-        name.alias("column_name"),
-        "n",
-        *[F.round(c, decimals).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")],
-    )
+    numbers = ("mean", "std", "min", "p25", "p50", "p75", "max")
+    return out.select(name.alias("column_name"), "n", *[F.expr(f"round({c}, {decimals}) as {c}") for c in numbers])
 
 
 def data_dictionary(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Configured variable catalogue checked against the table: presence, type and missing cells."""
-    entries = list(cfg.dictionary)
-    present = {c: df.schema[c].dataType.simpleString() for c in df.columns}
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[
-            F.count_if(_is_missing(df, e[0])).alias(f"_m{i}")
-            for i, e in enumerate(entries) if e[0] in present
-        ],
-    )
-    rows = F.array(*[
-        F.struct(
-            F.lit(variable).alias("variable"),
-            F.lit(kind).alias("kind"),
-            F.lit(text).alias("description"),
-            F.lit(category).alias("category"),
-            F.lit(use).alias("model_use"),
-            F.lit("leakage" in use.lower()).alias("is_leakage"),
-            F.lit(present.get(variable)).cast("string").alias("stored_type"),
-            (F.col(f"_m{i}") if variable in present else F.lit(None).cast("long")).alias("n_null"),
-            F.col("_rows").alias("n_rows"),
+    entries = [e for e in cfg.dictionary]
+    stored = {c: df.schema[c].dataType.simpleString() for c in df.columns}
+    known = [e[0] for e in entries if e[0] in stored]
+    rows = [
+        (
+            *[text(v) for v in entry],
+            literal("leakage" in entry[4].lower()),
+            f"cast({literal(stored.get(entry[0]))} as string)",
+            f"_m{known.index(entry[0])}" if entry[0] in stored else "cast(null as bigint)",
+            "_rows",
         )
-        for i, (variable, kind, text, category, use) in enumerate(entries)
-    ])
-    return counts.select(F.inline(rows))
+        for entry in entries
+    ]
+    names = (
+        "variable", "kind", "description", "category", "model_use", "is_leakage", "stored_type", "n_null", "n_rows"
+    )
+    return _missing_counts(df, known).selectExpr(stack(rows, names))
 
 
 def preview(df: DataFrame, order: str | None = None, n: int = 10) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import N_CLASSES, RiskConfig
-from ..functions import class_label, clean_number, confidence, ordinal_code, round_percent
+from ..functions import class_label, clean, confidence, q, round_percent, stack, text
+from ..functions.expressions import case_map, literal, percent_sql
 
 Scorer = Callable[[DataFrame], DataFrame]
 PROBS = tuple(f"p{k}" for k in range(N_CLASSES))
@@ -32,7 +33,7 @@ def add_percentages(scored: DataFrame, cfg: RiskConfig) -> DataFrame:
 def score_table(prepared: DataFrame, scorer: Scorer, cfg: RiskConfig) -> DataFrame:
     """Score every row, training rows included; ``is_train`` tells them apart when a split is known."""
     out = add_percentages(scorer(prepared), cfg)
-    return out.withColumn("is_train", F.col("split") == "train") if "split" in prepared.columns else out
+    return out.withColumn("is_train", F.expr("split = 'train'")) if "split" in prepared.columns else out
 
 
 def complete_record(df: DataFrame, cfg: RiskConfig, features: Sequence[str]) -> DataFrame:
@@ -41,9 +42,9 @@ def complete_record(df: DataFrame, cfg: RiskConfig, features: Sequence[str]) ->
     values = {}
     for f in features:
         if f in df.columns:
-            values[f] = F.coalesce(clean_number(f), F.lit(0.0))
+            values[f] = F.expr(f"coalesce({clean(f)}, 0D)")
         elif source.get(f) in df.columns:
-            values[f] = ordinal_code(source[f], cfg.categories[source[f]]).cast("double")
+            values[f] = F.expr(f"cast({case_map(source[f], cfg.categories[source[f]], 0)} as double)")
         else:
             values[f] = F.lit(0.0)
     return df.withColumns(values)
@@ -58,17 +59,12 @@ def score_partial(
 
 def class_probabilities(scored: DataFrame, cfg: RiskConfig, id_col: str | None = None) -> DataFrame:
     """One row per (entity, class)."""
-    rows = F.array(*[
-        F.struct(
-            F.lit(k).alias("class"),
-            F.lit(cfg.labels[k]).alias("risk_label"),
-            F.col(p).alias("probability"),
-            round_percent(p).alias("percent"),
-            (F.col("pred") == k).alias("is_predicted"),
-        )
-        for k, p in enumerate(PROBS)
-    ])
-    return scored.select(id_col or cfg.id_col, F.inline(rows))
+    rows = [
+        (str(k), text(cfg.labels[k]), p, percent_sql(p), f"pred = {k}") for k, p in enumerate(PROBS)
+    ]
+    return scored.selectExpr(
+        q(id_col or cfg.id_col), stack(rows, ("class", "risk_label", "probability", "percent", "is_predicted"))
+    )
 
 
 def profile_presets(
@@ -77,8 +73,5 @@ def profile_presets(
     """Named input records of the configuration, one row each."""
     presets = cfg.presets if presets is None else presets
     columns = sorted({c for record in presets.values() for c in record})
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("preset"), *[F.lit(record.get(c)).alias(c) for c in columns])
-        for name, record in presets.items()
-    ])
-    return spark.range(1).select(F.inline(rows))
+    rows = [(text(name), *[literal(record.get(c)) for c in columns]) for name, record in presets.items()]
+    return spark.range(1).selectExpr(stack(rows, ("preset", *columns)))

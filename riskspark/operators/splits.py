@@ -7,16 +7,16 @@ compares its own hash with a handful of cut values. Assigning a split is therefo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..functions import hash_order_key
+from ..functions import hash_order_key, q
 from .ordered import rank_cuts
 
 
 def _class_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(label).agg(F.expr("count(1) as n"))
 
 
 def _assign_chunks(df: DataFrame, cfg: RiskConfig, ranks: DataFrame, seed: int, name: str) -> DataFrame:
@@ -25,16 +25,12 @@ def _assign_chunks(df: DataFrame, cfg: RiskConfig, ranks: DataFrame, seed: int,
     keyed = df.withColumn("_key", hash_order_key(key_id, seed))
     cuts = rank_cuts(keyed, label, "_key", key_id, ranks.filter("rank > 0"))
     # One row per class, one array entry per chunk: bounded by the class and fold counts.
-    per_class = cuts.groupBy(label).agg(F.collect_list("cut").alias("_cuts"))
-    empty = ranks.groupBy(label).agg(F.count_if(F.col("rank") <= 0).alias("_empty"))
+    per_class = cuts.groupBy(label).agg(F.expr("collect_list(cut) as _cuts"))
+    empty = ranks.groupBy(label).agg(F.expr("count_if(rank <= 0) as _empty"))
     table = empty.join(F.broadcast(per_class), label, "left")
-    passed = F.size(F.filter(
-        F.coalesce(F.col("_cuts"), F.array()), lambda c: c < F.struct(F.col("_key"), F.col(key_id))
-    ))
-    return (
-        keyed.join(F.broadcast(table), label)
-        .withColumn(name, F.col("_empty").cast("int") + passed)
-        .drop("_key", "_cuts", "_empty")
+    passed = f"size(filter(_cuts, c -> c < struct(_key, {q(key_id)})))"
+    return keyed.join(F.broadcast(table), label).selectExpr(
+        *[q(c) for c in df.columns], f"cast(_empty as int) + coalesce({passed}, 0) as {q(name)}"
     )
 
 
@@ -42,30 +38,18 @@ def stratified_split(
     df: DataFrame, cfg: RiskConfig, test_fraction: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add ``split``. The test set has ceil(fraction * n) rows, shared out by largest remainder."""
-    sizes = _class_sizes(df, cfg.label_col)
+    label = q(cfg.label_col)
     # Windows over the class table: one row per class.
-    everything = Window.partitionBy(F.lit(0))
-    total = F.sum("n").over(everything)
-    shares = sizes.select(
-        cfg.label_col, "n", total.alias("_total"),
-        F.ceil(F.lit(test_fraction) * total).cast("long").alias("_test"),
-    ).select(
-        cfg.label_col,
-        "_test",
-        F.expr("(_test * n) div _total").alias("_base"),
-        F.expr("(_test * n) % _total").alias("_rest"),
-    )
-    spare = F.col("_test") - F.sum("_base").over(everything)
-    turn = F.row_number().over(everything.orderBy(F.desc("_rest"), cfg.label_col))
-    ranks = shares.select(
-        cfg.label_col,
-        F.lit(0).alias("chunk"),
-        (F.col("_base") + F.when(turn <= spare, 1).otherwise(0)).alias("rank"),
+    shares = _class_sizes(df, cfg.label_col).selectExpr(
+        label, "n", "sum(n) over () as _total", f"cast(ceil({test_fraction!r}D * sum(n) over ()) as bigint) as _test"
+    ).selectExpr(label, "_test", "(_test * n) div _total as _base", "(_test * n) % _total as _rest")
+    ranks = shares.selectExpr(
+        label,
+        "0 as chunk",
+        f"_base + if(row_number() over (order by _rest desc, {label}) <= _test - sum(_base) over (), 1, 0) as rank",
     )
     chunked = _assign_chunks(df, cfg, ranks, seed, "_chunk")
-    return chunked.withColumn(
-        "split", F.when(F.col("_chunk") == 0, "test").otherwise("train")
-    ).drop("_chunk")
+    return chunked.selectExpr(*[q(c) for c in df.columns], "if(_chunk = 0, 'test', 'train') as split")
 
 
 def stratified_folds(df: DataFrame, cfg: RiskConfig, k: int = 5, seed: int = 42) -> DataFrame:
@@ -74,29 +58,22 @@ def stratified_folds(df: DataFrame, cfg: RiskConfig, k: int = 5, seed: int = 42)
     Fold sizes per class are those of dealing the class-sorted rows out in turn, so sizes differ by at most
     one both per class and overall.
     """
-    sizes = _class_sizes(df, cfg.label_col)
-    start = F.coalesce(
-        F.sum("n").over(
-            Window.partitionBy(F.lit(0)).orderBy(cfg.label_col)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    placed = sizes.withColumn("_start", start).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    label = q(cfg.label_col)
+    placed = _class_sizes(df, cfg.label_col).selectExpr(
+        label, "n",
+        f"coalesce(sum(n) over (order by {label} rows between unbounded preceding and 1 preceding), 0) as _start",
+    ).selectExpr("*", f"explode(sequence(0, {k - 1})) as chunk")
     # Positions start..start+n-1 with position % k = chunk.
-    quota = F.expr(f"((_start + n - chunk + {k - 1}) div {k}) - ((_start - chunk + {k - 1}) div {k})")
-    running = Window.partitionBy(cfg.label_col).orderBy("chunk")
-    ranks = placed.withColumn("_q", quota).select(
-        cfg.label_col, "chunk", F.sum("_q").over(running).alias("rank")
-    ).filter(F.col("chunk") < k - 1)
+    quota = f"((_start + n - chunk + {k - 1}) div {k}) - ((_start - chunk + {k - 1}) div {k})"
+    ranks = placed.selectExpr(
+        label, "chunk", f"sum({quota}) over (partition by {label} order by chunk) as rank"
+    ).filter(f"chunk < {k - 1}")
     return _assign_chunks(df, cfg, ranks, seed, "fold")
 
 
 def balanced_weights(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Add ``weight`` = rows / (classes * rows of the class)."""
-    everything = Window.partitionBy(F.lit(0))
-    weights = _class_sizes(df, cfg.label_col).select(
-        cfg.label_col,
-        (F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n"))).alias("weight"),
+    weights = _class_sizes(df, cfg.label_col).selectExpr(
+        q(cfg.label_col), "sum(n) over () / (count(1) over () * n) as weight"
     )
     return df.join(F.broadcast(weights), cfg.label_col)  # one row per class

@@ -16,11 +16,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import N_CLASSES, RiskConfig
-from ..functions import argmax_class, clean_number
+from ..functions import argmax_class, clean, q, stack, text
 from ..sources.staging import stage
 from . import evaluate
 from .prepare import available_features, prepare
@@ -65,7 +65,7 @@ class FittedModel:
         return out.select(
             *[c for c in df.columns if c not in (*PROBS, "pred")],
             *PROBS,
-            argmax_class(*[F.col(p) for p in PROBS]).alias("pred"),
+            argmax_class(*PROBS).alias("pred"),
         )
 
     @property
@@ -81,9 +81,8 @@ class FittedModel:
 
 def fit_scaler(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per feature: one aggregate, one row to the driver."""
-    row = train.agg(*[
-        a for i, c in enumerate(features)
-        for a in (F.avg(clean_number(c)).alias(f"m{i}"), F.stddev_pop(clean_number(c)).alias(f"s{i}"))
+    row = train.selectExpr(*[
+        f"{fn}({clean(c)}) as {a}{i}" for i, c in enumerate(features) for a, fn in (("m", "avg"), ("s", "stddev_pop"))
     ]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(features)}
 
@@ -93,12 +92,11 @@ def class_counts(df: DataFrame, label: str) -> dict[int, int]:
     return {int(r[label]): r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _weight(label: str, counts: Mapping[int, int]) -> Column:
+def _weight(label: str, counts: Mapping[int, int]) -> str:
+    """Rows / (classes * rows of the class), from known counts (SQL text)."""
     n, k = sum(counts.values()), len(counts)
-    expr = F.lit(0.0)
-    for c, m in counts.items():
-        expr = F.when(F.col(label) == c, n / (k * m)).otherwise(expr)
-    return expr
+    whens = " ".join(f"when {c} then {n / (k * m)!r}D" for c, m in counts.items())
+    return f"case {q(label)} {whens} else 0D end"
 
 
 def fit_model(
@@ -114,10 +112,10 @@ def fit_model(
     """Fit one model. Class weights are balanced on the rows being fitted, except for the boosted model."""
     settings = {**DEFAULTS[name], **(params or {})}
     counts = counts or class_counts(train, cfg.label_col)
-    rows = train.select(
-        *[F.col(c).cast("double").alias(c) for c in features],
-        F.col(cfg.label_col).cast("double").alias("_label"),
-        _weight(cfg.label_col, counts).alias("_weight"),
+    rows = train.selectExpr(
+        *[f"cast({q(c)} as double) as {q(c)}" for c in features],
+        f"cast({q(cfg.label_col)} as double) as _label",
+        f"{_weight(cfg.label_col, counts)} as _weight",
     )
     head: list = []
     inputs = list(features)
@@ -230,11 +228,10 @@ def cross_validate(
 
 def feature_importance(model: FittedModel, frame: DataFrame, cfg: RiskConfig, name: str | None = None) -> DataFrame:
     """``(model, feature, importance)``; one row per feature, so it is built from a literal array."""
-    items = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(round(v, 4)).alias("importance"))
-        for c, v in model.importances
-    ])
-    return frame.sparkSession.range(1).select(F.lit(name or model.name).alias("model"), F.inline(items))
+    rows = [(text(c), f"{round(v, 4)!r}D") for c, v in model.importances]
+    return frame.sparkSession.range(1).selectExpr(
+        f"{text(name or model.name)} as model", stack(rows, ("feature", "importance"))
+    )
 
 
 @dataclass

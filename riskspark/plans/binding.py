@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Override, RiskConfig
-from ..functions import argmax_class, half_up, risk_band
+from ..functions import argmax_class, q, risk_band, stack, text, weighted_total
+from ..functions.expressions import half_up_sql
 from ..operators.score import add_percentages
 
 PRIORITIES = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 3, "5-LOW": 4}
@@ -77,9 +78,24 @@ ENTITY = RiskConfig(
 )
 
 
-def _cents(c: str) -> Column:
-    """Whole hundredths, so that sums do not depend on row order."""
-    return F.sum(F.round(F.col(c) * 100, 0).cast("bigint"))
+# Declared schemas of the columns in use: no footer is opened to plan a query.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _cents(c: str, alias: str) -> str:
+    """Sum of whole hundredths, so that it does not depend on row order."""
+    return f"sum(cast(floor({c} * 100D + 0.5D) as bigint)) as {alias}"
 
 
 def entity_table(spark: SparkSession, sf_dir: str, context: bool = True) -> DataFrame:
@@ -89,62 +105,51 @@ def entity_table(spark: SparkSession, sf_dir: str, context: bool = True) -> Data
     Dimension sides carry no broadcast hint: the planner broadcasts them only below its size threshold, and
     a customer holding a large share of the orders is split by adaptive skew handling.
     """
-    lines = (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_orderkey")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("l_quantity").alias("qty"),
-            _cents("l_discount").alias("disc"),
-            _cents("l_tax").alias("tax"),
-            _cents("l_extendedprice").alias("price"),
-            F.count_if(F.col("l_returnflag") == "R").alias("ret"),
-        )
-    )
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
-    n = F.col("n")
-    parts = joined.select(
-        F.col("o_orderkey").alias("entity_id"),
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.expr(e) for e in (
+        "count(1) as n",
+        "sum(l_quantity) as qty",
+        _cents("l_discount", "disc"),
+        _cents("l_tax", "tax"),
+        _cents("l_extendedprice", "price"),
+        "count_if(l_returnflag = 'R') as ret",
+    )])
+    orders = table(spark, sf_dir, "orders")
+    parts = orders.join(lines, F.expr("o_orderkey = l_orderkey")).selectExpr(
+        "o_orderkey as entity_id",
         "o_custkey",
-        (F.col("qty") / n * 2.0).alias("a1"),
-        (F.col("disc") / n * 10.0).alias("a2"),
-        (F.col("tax") / n * 12.5).alias("a3"),
-        (F.col("price") / 100.0 / n / 1050.0).alias("a4"),
-        (100.0 * F.col("ret") / n).alias("a5"),
-        (F.col("o_totalprice") / 5000.0).alias("a6"),
-        F.when(F.col("o_orderkey") % 19 != 0, F.col("o_orderpriority")).alias("prio"),
-        F.col("o_orderstatus").alias("status"),
-        n.alias("n_lines"),
-    )
-    total = (
-        0.15 * F.col("a1") + 0.25 * F.col("a6") + 0.15 * F.col("a2")
-        + 0.10 * F.col("a3") + 0.05 * F.col("a5") + 0.30 * F.col("a4")
+        "qty / n * 2D as a1",
+        "disc / n * 10D as a2",
+        "tax / n * 12.5D as a3",
+        "price / 100D / n / 1050D as a4",
+        "100D * ret / n as a5",
+        "o_totalprice / 5000D as a6",
+        "if(o_orderkey % 19 <> 0, o_orderpriority, null) as prio",
+        "o_orderstatus as status",
+        "n as n_lines",
     )
-    key = F.col("entity_id")
-    table = parts.select(
+    total = weighted_total({f"a{c[1]}": w for c, w in ENTITY.weights.items()})
+    entities = parts.selectExpr(
         "entity_id",
-        F.when(key % 13 != 0, half_up("a1", 2)).alias("s1"),
-        F.when(key % 17 != 0, half_up("a2", 2)).alias("s2"),
-        *[half_up(f"a{i}", 2).alias(f"s{i}") for i in range(3, 7)],
-        F.when(key % 97 != 0, half_up(total, 2)).alias("score"),
+        f"if(entity_id % 13 <> 0, {half_up_sql('a1', 2)}, null) as s1",
+        f"if(entity_id % 17 <> 0, {half_up_sql('a2', 2)}, null) as s2",
+        *[f"{half_up_sql(f'a{i}', 2)} as s{i}" for i in range(3, 7)],
+        f"if(entity_id % 97 <> 0, {half_up_sql(total, 2)}, null) as score",
         "prio",
         "status",
         "n_lines",
         *(["o_custkey"] if context else []),
     )
     if not context:
-        return table
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        return entities
+    places = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"), "left"
+    )
     return (
-        table.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .select(
-            "entity_id", "s1", "s2", "s3", "s4", "s5", "s6", "score", "prio",
-            F.col("c_mktsegment").alias("seg"), "status", F.col("r_name").alias("region"), "n_lines",
+        entities.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"), "left")
+        .join(places, F.expr("c_nationkey = n_nationkey"), "left")
+        .selectExpr(
+            "entity_id", "s1", "s2", "s3", "s4", "s5", "s6", "score", "prio", "c_mktsegment as seg", "status",
+            "r_name as region", "n_lines",
         )
     )
 
@@ -165,27 +170,23 @@ OFFSETS = {"Full score": 7.5, "Early score": 7.5, "Price score": 5.0}
 FILL = 50.0  # stands in for a missing component
 
 
-def linear_score(name: str) -> Column:
-    terms = [F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(FILL)) for w, c in SCORERS[name]]
-    z = terms[0]
-    for t in terms[1:]:
-        z = z + t
-    return z + F.lit(OFFSETS[name])
+def linear_score(name: str) -> str:
+    terms = [f"{w!r}D * coalesce(cast({c} as double), {FILL!r}D)" for w, c in SCORERS[name]]
+    return " + ".join([*terms, f"{OFFSETS[name]!r}D"])
 
 
 def fixed_scorer(name: str = "Full score"):
     """Scorer whose class weights fall with the distance of a linear score from three centres."""
 
     def score(df: DataFrame) -> DataFrame:
-        kept = [c for c in df.columns if c not in ("p0", "p1", "p2", "pred")]
-        near = df.select(*kept, linear_score(name).alias("_z")).select(
-            *kept, *[(1.0 / (1.0 + F.abs(F.col("_z") - c))).alias(f"_w{k}") for k, c in enumerate(CENTRES)]
-        )
-        w = [F.col(f"_w{k}") for k in range(3)]
-        total = w[0] + w[1] + w[2]
-        return near.select(
-            *kept, *[half_up(w[k] / total, 4).alias(f"p{k}") for k in range(3)], argmax_class(*w).alias("pred")
+        kept = [q(c) for c in df.columns if c not in ("p0", "p1", "p2", "pred")]
+        near = df.selectExpr(*kept, f"{linear_score(name)} as _z").selectExpr(
+            *kept, *[f"1D / (1D + abs(_z - {c!r}D)) as _w{k}" for k, c in enumerate(CENTRES)]
         )
+        shares = [half_up_sql(f"_w{k} / (_w0 + _w1 + _w2)", 4) + f" as p{k}" for k in range(3)]
+        return near.selectExpr(*kept, "_w0", "_w1", "_w2", *shares).withColumn(
+            "pred", argmax_class("_w0", "_w1", "_w2")
+        ).drop("_w0", "_w1", "_w2")
 
     return score
 
@@ -198,13 +199,12 @@ def all_scorers(df: DataFrame, *keep: str) -> DataFrame:
     """``(model, keep..., label, pred, p0, p1, p2)`` for every fixed scorer, in one pass over the table."""
     out = df
     for i, name in enumerate(SCORERS):
-        out = fixed_scorer(name)(out)
-        out = out.withColumn(
-            f"_m{i}", F.struct(F.lit(name).alias("model"), "pred", "p0", "p1", "p2")
-        ).drop("pred", "p0", "p1", "p2")
-    return out.select(
-        *keep, "label", F.inline(F.array(*[f"_m{i}" for i in range(len(SCORERS))]))
-    )
+        kept = [q(c) for c in out.columns]
+        out = fixed_scorer(name)(out).selectExpr(*kept, *[f"{c} as {c}_{i}" for c in ("pred", "p0", "p1", "p2")])
+    rows = [
+        (text(name), f"pred_{i}", f"p0_{i}", f"p1_{i}", f"p2_{i}") for i, name in enumerate(SCORERS)
+    ]
+    return out.selectExpr(*keep, "label", stack(rows, ("model", "pred", "p0", "p1", "p2")))
 
 
 # --- the same tables in SQL, used as the head of the checking queries ---------------------------------
@@ -218,9 +218,9 @@ def r(expr: str, decimals: int) -> str:
 ENTITY_SQL = f"""
 lines as (
   select l_orderkey, count(*) as n, sum(l_quantity) as qty,
-         sum(cast(round(l_discount * 100, 0) as bigint)) as disc,
-         sum(cast(round(l_tax * 100, 0) as bigint)) as tax,
-         sum(cast(round(l_extendedprice * 100, 0) as bigint)) as price,
+         sum(cast(floor(l_discount * 100e0 + 0.5e0) as bigint)) as disc,
+         sum(cast(floor(l_tax * 100e0 + 0.5e0) as bigint)) as tax,
+         sum(cast(floor(l_extendedprice * 100e0 + 0.5e0) as bigint)) as price,
          count(*) filter (where l_returnflag = 'R') as ret
   from lineitem group by l_orderkey
 ), parts as (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import confidence, entity_name, round_percent
+from ..functions import confidence, entity_name, round_percent, stack, text
 from ..operators import cohort, distribution, evaluate, explain, score, splits, train
 from ..operators.prepare import available_features
 from ..sources import model_store
@@ -17,6 +17,7 @@ from .binding import (
     ENTITY,
     ENTITY_SQL,
     LABELS_SQL,
+    SCHEMAS,
     SCORED_SQL,
     SCORERS,
     all_scorers,
@@ -293,9 +294,8 @@ def _score_partial(spark, d):
 {scorer_sql('arriving', 'streamed', keep='entity_id')} select entity_id, pred, p0, p1, p2, {LABELS_SQL} as risk_label from streamed""")
 def _score_stream(spark, d):
     """Orders arriving as a stream, with the order value as the only known feature."""
-    schema = spark.read.parquet(f"{d}/orders.parquet").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{d}/orders.parque[t]").select(
-        F.col("o_orderkey").alias("entity_id"), (F.col("o_totalprice") / 5000.0).alias("s6")
+    arriving = spark.readStream.schema(SCHEMAS["orders"]).parquet(f"{d}/orders.parque[t]").selectExpr(
+        "o_orderkey as entity_id", "o_totalprice / 5000D as s6"
     )
     sink, marks = work_path(spark, "scored"), work_path(spark, "offsets")
     run = score_stream(
@@ -327,14 +327,14 @@ def _profile_presets(spark, d):
     presets = score.profile_presets(spark, ENTITY)
     scored = score.score_partial(presets, fixed_scorer(), ENTITY, ("s1", "s2", "s3", "s4", "s5", "s6"))
     mine = scored.select("preset", "pred", "p0", "p1", "p2", "confidence")
-    limits = mine.agg(F.map_from_entries(F.collect_list(F.struct("preset", "p0")))).scalar()  # one entry per preset
+    limits = mine.selectExpr("map_from_entries(collect_list(struct(preset, p0)))").scalar()  # one entry per preset
     population = fixed_scorer()(entity_table(spark, d, context=False)).select("p0").withColumn("_limits", limits)
-    counted = population.agg(
-        F.count(F.lit(1)).alias("n_entities"),
-        *[F.count_if(F.col("p0") > F.col("_limits")[n]).alias(f"_n{i}") for i, n in enumerate(ENTITY.presets)],
-    ).select("n_entities", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("preset"), F.col(f"_n{i}").alias("n_riskier")) for i, n in enumerate(ENTITY.presets)
-    ])))
+    counted = population.selectExpr(
+        "count(1) as n_entities",
+        *[f"count_if(p0 > _limits[{text(n)}]) as _n{i}" for i, n in enumerate(ENTITY.presets)],
+    ).selectExpr("n_entities", stack(
+        [(text(n), f"_n{i}") for i, n in enumerate(ENTITY.presets)], ("preset", "n_riskier")
+    ))
     return mine.join(F.broadcast(counted), "preset")  # one row per preset
 
 
@@ -368,12 +368,13 @@ def _attribution_topk(spark, d):
 @query("attribution_direction", f"{LINEAR_SQL} select feature, direction, count(*) as n from ordered group by feature, direction")
 def _attribution_direction(spark, d):
     rows = explain.attribution(_linear(spark, d), list(WEIGHTS), "entity_id")
-    return rows.groupBy("feature", "direction").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("feature", "direction").agg(F.expr("count(1) as n"))
 
 
 SCENARIOS = {"intervention": ENTITY.overrides, "order value only": ENTITY.overrides[2:3]}
+# SQL least and greatest skip a missing argument, so s1, the one component with gaps, is guarded.
 _CHANGED = {
-    "intervention": "least(100e0, s1 + 5e0) as s1, greatest(1e0, s3 - 20e0) as s3, least(100e0, s4 + 10e0) as s4, s5, least(100e0, s6 + 10e0) as s6",
+    "intervention": "case when s1 is not null then least(100e0, s1 + 5e0) end as s1, greatest(1e0, s3 - 20e0) as s3, least(100e0, s4 + 10e0) as s4, s5, least(100e0, s6 + 10e0) as s6",
     "order value only": "s1, s3, s4, s5, least(100e0, s6 + 10e0) as s6",
 }
 WHAT_IF_SQL = f"""{WITH}, changed as ({sql_union(f"select entity_id, '{n}' as scenario, {e} from entity" for n, e in _CHANGED.items())}),
@@ -385,12 +386,8 @@ compared as (select a.entity_id, a.scenario, b.pred as pred_before, a.pred as pr
 
 
 def _what_if_rows(spark, d):
-    table = entity_table(spark, d, context=False)
-    return explain.what_if(table, fixed_scorer(), SCENARIOS, ENTITY, ("s1", "s3", "s4", "s5", "s6"))
-
-
-def _greatest_null_note() -> None:
-    """SQL ``least``/``greatest`` skip nulls, so the checking query keeps a missing value missing itself."""
+    entities = entity_table(spark, d, context=False)
+    return explain.what_if(entities, fixed_scorer(), SCENARIOS, ENTITY, ("s1", "s3", "s4", "s5", "s6"))
 
 
 @query("what_if", f"{WHAT_IF_SQL} select * from compared")

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import class_label, display_name, entity_name, half_up, round_percent, weighted_total
+from ..functions import class_label, display_name, half_up, stack, text, weighted_total
 from ..operators import cohort, distribution, prepare, profile, splits
 from ..sources.staging import work_path
 from ..sources.tables import csv_ingest
-from .binding import ENTITY, ENTITY_SQL, entity_table, labelled, r
+from .binding import ENTITY, ENTITY_SQL, entity_table, labelled, r, table
 from .registry import query
 
 COMPONENTS = ("s1", "s2", "s3", "s4", "s5", "s6")
@@ -32,16 +32,16 @@ CSV_COLUMNS = ("entity_id", "s1", "s2", "score", "prio", "status", "n_lines")
 def _csv_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Write the table as CSV with three different missing-value tokens and read it back."""
     path = work_path(spark, "csv")
-    text = entity_table(spark, d, context=False).select(
+    rows = entity_table(spark, d, context=False).selectExpr(
         "entity_id",
-        F.coalesce(F.col("s1").cast("string"), F.lit("NA")).alias("s1"),
-        F.coalesce(F.col("s2").cast("string"), F.lit("nan")).alias("s2"),
-        F.col("score").cast("string").alias("score"),
-        F.coalesce("prio", F.lit("None")).alias("prio"),
+        "coalesce(cast(s1 as string), 'NA') as s1",
+        "coalesce(cast(s2 as string), 'nan') as s2",
+        "cast(score as string) as score",
+        "coalesce(prio, 'None') as prio",
         "status",
         "n_lines",
     )
-    text.write.option("header", True).csv(path)
+    rows.write.option("header", True).csv(path)
     return csv_ingest(spark, path, ENTITY.column_types)
 
 
@@ -60,14 +60,16 @@ def _table_profile(spark, d):
     return profile.table_profile(entity_table(spark, d))
 
 
-_AUDITED = {c: (f"count(*) filter (where {c} is null)", "0") for c in (*COMPONENTS, "score", "prio")}
+_AUDITED = (*COMPONENTS, "score", "prio")
 
 
-@query("null_audit", f"{WITH} " + sql_union(
-    f"select '{c}' as column_name, '{step}' as step, {n if step == 'before' or c in ('score', 'prio') else 'cast(0 as bigint)'} as n_null, "
-    f"round({n if step == 'before' or c in ('score', 'prio') else '0'} / count(*), 6) as null_rate from entity"
-    for c, (n, _) in _AUDITED.items() for step in ("before", "after")
-))
+def _audit_sql(c: str, step: str) -> str:
+    """Imputed components have no missing cells left; the other columns are unchanged."""
+    n = "cast(0 as bigint)" if step == "after" and c in COMPONENTS else f"count(*) filter (where {c} is null)"
+    return f"select '{c}' as column_name, '{step}' as step, {n} as n_null, round({n} / count(*), 6) as null_rate from entity"
+
+
+@query("null_audit", f"{WITH} " + sql_union(_audit_sql(c, step) for c in _AUDITED for step in ("before", "after")))
 def _null_audit(spark, d):
     """Missing cells per column before and after preparation."""
     raw = entity_table(spark, d, context=False).select(*_AUDITED)
@@ -81,7 +83,7 @@ def _null_audit(spark, d):
 select cast(count(*) - (select count(*) from (select distinct l_orderkey, l_linenumber from lineitem)) as bigint)
   as n_duplicates from lineitem""")
 def _duplicate_count(spark, d):
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     return profile.duplicate_count(lines)
 
 
@@ -139,15 +141,11 @@ def _ordinal_encode(spark, d):
     )
 
 
-_FILLED = ", ".join(f"coalesce({c}, (select quantile_cont({c}, 0.5) from entity)) as {c}" for c in COMPONENTS)
-
-
 @query("median_impute", f"{WITH} select entity_id, " + ", ".join(
     f"round(coalesce({c}, (select quantile_cont({c}, 0.5) from entity)), 4) as {c}" for c in COMPONENTS) + " from entity")
 def _median_impute(spark, d):
-    table = entity_table(spark, d, context=False)
-    filled = prepare.median_impute(table, COMPONENTS)
-    return filled.select("entity_id", *[F.round(c, 4).alias(c) for c in COMPONENTS])
+    filled = prepare.median_impute(entity_table(spark, d, context=False), COMPONENTS)
+    return filled.selectExpr("entity_id", *[f"round({c}, 4) as {c}" for c in COMPONENTS])
 
 
 @query("select_features", f"""{WITH}, coded as (select *, {', '.join(_code_sql(c) for c in ENTITY.categories)} from labelled)
@@ -171,7 +169,7 @@ def _class_label(spark, d):
     for c in ENTITY.describe_cols
 ))
 def _display_name(spark, d):
-    counts = entity_table(spark, d, context=False).agg(*[F.count(c).alias(c) for c in ENTITY.describe_cols])
+    counts = entity_table(spark, d, context=False).selectExpr(*[f"count({c}) as {c}" for c in ENTITY.describe_cols])
     long = counts.unpivot([], list(ENTITY.describe_cols), "feature", "n_values")
     return long.select("feature", display_name("feature", ENTITY).alias("display"), "n_values")
 
@@ -192,9 +190,8 @@ select entity_id, {', '.join(f'round(({c} - m_{c}) / coalesce(nullif(d_{c}, 0),
 from entity, stats""")
 def _standard_scale(spark, d):
     """Fitted on the closed and open orders, applied to all."""
-    table = entity_table(spark, d, context=False)
-    scaled = prepare.standard_scale(table, COMPONENTS, F.col("status") != "P")
-    return scaled.select("entity_id", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in COMPONENTS])
+    scaled = prepare.standard_scale(entity_table(spark, d, context=False), COMPONENTS, "status <> 'P'")
+    return scaled.selectExpr("entity_id", *[f"round({c}_z, 6) as {c}_z" for c in COMPONENTS])
 
 
 # --- filters ---------------------------------------------------------------------------------------
@@ -255,8 +252,8 @@ def _target_correlation(spark, d):
 case feature {' '.join(f"when '{c}' then '{ENTITY.display[c]}'" for c in COMPONENTS)} end as display,
 r, abs(r) as strength from corr order by strength desc, feature""")
 def _correlation_rank(spark, d):
-    table = entity_table(spark, d, context=False)
-    return cohort.correlation_rank(cohort.target_correlation(table, ENTITY), ENTITY)
+    entities = entity_table(spark, d, context=False)
+    return cohort.correlation_rank(cohort.target_correlation(entities, ENTITY), ENTITY)
 
 
 @query("correlation_matrix", f"{WITH} " + sql_union(
@@ -282,11 +279,11 @@ def _cohort_kpis(spark, d):
     for g in ("seg", "region", "prio")
 ))
 def _group_risk_count(spark, d):
-    table = labelled(entity_table(spark, d))
-    long = table.select("label", F.inline(F.array(*[
-        F.struct(F.lit(g).alias("dimension"), F.col(g).alias("value")) for g in ("seg", "region", "prio")
-    ])))
-    return long.filter("value is not null").groupBy("dimension", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+    """Three groupings in one pass."""
+    long = labelled(entity_table(spark, d)).selectExpr("label", stack(
+        [(text(g), g) for g in ("seg", "region", "prio")], ("dimension", "value")
+    ))
+    return long.filter("value is not null").groupBy("dimension", "value", "label").agg(F.expr("count(1) as n"))
 
 
 @query("risk_share", f"""{WITH}, cells as (select * from (values (0, 'High risk'), (1, 'Medium risk'), (2, 'Low risk')) t(label, risk_label))
@@ -297,11 +294,7 @@ def _risk_share(spark, d):
     return cohort.risk_share(labelled(entity_table(spark, d, context=False)), ENTITY)
 
 
-CONTRASTS = {
-    "region AFRICA": ("region = 'AFRICA'", lambda: F.col("region") == "AFRICA"),
-    "status F": ("status = 'F'", lambda: F.col("status") == "F"),
-    "s3 above 70": ("s3 > 70e0", lambda: F.col("s3") > 70.0),
-}
+CONTRASTS = {"region AFRICA": "region = 'AFRICA'", "status F": "status = 'F'", "s3 above 70": "s3 > 70e0"}
 
 
 def _contrast_sql(name: str, cond: str, total: bool) -> str:
@@ -318,12 +311,10 @@ def _contrast_sql(name: str, cond: str, total: bool) -> str:
 
 
 @query("cohort_contrast", f"{WITH} " + sql_union(
-    _contrast_sql(n, c, total) for n, (c, _) in CONTRASTS.items() for total in (True, False)
+    _contrast_sql(n, c, total) for n, c in CONTRASTS.items() for total in (True, False)
 ))
 def _cohort_contrast(spark, d):
-    return cohort.cohort_contrast(
-        labelled(entity_table(spark, d)), ENTITY, {n: make() for n, (_, make) in CONTRASTS.items()}, "seg"
-    )
+    return cohort.cohort_contrast(labelled(entity_table(spark, d)), ENTITY, CONTRASTS, "seg")
 
 
 # --- distributions ---------------------------------------------------------------------------------
