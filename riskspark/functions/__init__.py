@@ -4,6 +4,7 @@ from .expressions import (
     class_label,
     clean,
     clean_number,
+    compute_once,
     confidence,
     display_name,
     entity_name,
@@ -20,7 +21,7 @@ from .expressions import (
 )
 
 __all__ = [
-    "argmax_class", "case_map", "class_label", "clean", "clean_number", "confidence", "display_name",
+    "argmax_class", "case_map", "class_label", "clean", "clean_number", "compute_once", "confidence", "display_name",
     "entity_name", "half_up", "hash_order_key", "ordinal_code", "pearson", "q", "risk_band",
     "round_percent", "stack", "text", "weighted_total",
 ]

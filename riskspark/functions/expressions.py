@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
@@ -118,11 +118,11 @@ def confidence(*probs: str) -> Column:
     return F.expr(percent_sql(f"greatest({', '.join(q(p) for p in probs)})"))
 
 
-def argmax_class(*names: str) -> Column:
-    """Index of the first largest value."""
+def argmax_class(*names: str) -> str:
+    """Index of the first largest value (SQL text)."""
     best = f"greatest({', '.join(q(n) for n in names)})"
     whens = " ".join(f"when {q(n)} = {best} then {k}" for k, n in enumerate(names[:-1]))
-    return F.expr(f"case {whens} else {len(names) - 1} end")
+    return f"case {whens} else {len(names) - 1} end"
 
 
 def pearson(x: str, y: str) -> str:
@@ -139,3 +139,14 @@ def pearson(x: str, y: str) -> str:
 def hash_order_key(id_col: str, seed: int) -> Column:
     """Seeded pseudo-random sort key: independent of partitioning and of the engine."""
     return F.expr(f"md5(concat('{seed}:', cast({q(id_col)} as string)))")
+
+
+def compute_once(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    Filters and projections above are not merged through a generator, so an expensive expression (a model
+    prediction) is evaluated once per row instead of again in every predicate that mentions it.
+    """
+    fields = ", ".join(f"{text(name)}, {expression}" for name, expression in columns.items())
+    kept = [q(c) for c in df.columns if c not in columns]
+    return df.selectExpr(*kept, f"inline(array(named_struct({fields})))")

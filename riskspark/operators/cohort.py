@@ -251,9 +251,5 @@ def importance_topk(importance: DataFrame, k: int = 15) -> DataFrame:
 def best_metric_flag(metrics: DataFrame, metric_columns: Sequence[str] | None = None) -> DataFrame:
     """Mark each metric's maximum over models (ties all marked) in a long ``(model, metric, value)`` table."""
     rows = metrics.filter(F.col("metric").isin(list(metric_columns))) if metric_columns else metrics
-    best = rows.groupBy("metric").agg(F.max("value").alias("_best"))
-    # best: one row per metric.
-    return rows.join(F.broadcast(best), "metric").select(
-        "model", "metric", "value",
-        F.expr("coalesce(value = _best, false) as is_best"),
-    )
+    best = "max(value) over (partition by metric)"  # one row per model and metric
+    return rows.selectExpr("model", "metric", "value", f"coalesce(value = {best}, false) as is_best")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, q, stack, text
 
-EDGES = 64
+EDGES = 64  # a power of two
 CELLS_PER_EDGE = 32
 
 
@@ -30,23 +30,37 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     return long_values(df, columns, by).groupBy(*by, "feature", "value").agg(F.expr("count(1) as n"))
 
 
-def _bucket(value: str) -> str:
-    """Non-decreasing in ``value``: the slot between approximate quantiles, split evenly inside."""
+def _with_bucket(df: DataFrame, value: str) -> DataFrame:
+    """Add ``_bucket``, non-decreasing in ``value``: the slot between approximate quantiles, split evenly inside.
+
+    The slot (number of edges not above the value) is found by halving; each step is one small projection,
+    which keeps the search compiled instead of running a lambda over all edges for each row.
+    """
     v, last = q(value), CELLS_PER_EDGE - 1
-    slot = f"size(filter(_edges, e -> e <= {v}))"
-    lo, hi = f"get(_edges, {slot} - 1)", f"get(_edges, {slot})"
-    inside = f"floor(({v} - {lo}) / nullif({hi} - {lo}, 0D) * {CELLS_PER_EDGE})"
-    return f"cast({slot} as bigint) * {CELLS_PER_EDGE} + least(greatest(coalesce({inside}, 0), 0), {last})"
+    out, step = df.selectExpr("*", "0 as _slot"), EDGES
+    while step:
+        kept = [q(c) for c in out.columns if c != "_slot"]
+        out = out.selectExpr(*kept, f"_slot + if(get(_edges, _slot + {step - 1}) <= {v}, {step}, 0) as _slot")
+        step //= 2
+    bounded = out.selectExpr("*", "get(_edges, _slot - 1) as _lo", "get(_edges, _slot) as _hi")
+    inside = f"floor(({v} - _lo) / nullif(_hi - _lo, 0D) * {CELLS_PER_EDGE})"
+    cell = f"least(greatest(coalesce({inside}, 0), 0), {last})"
+    return bounded.selectExpr("*", f"cast(_slot as bigint) * {CELLS_PER_EDGE} + {cell} as _bucket").drop(
+        "_edges", "_slot", "_lo", "_hi"
+    )
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]
+    df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], only: str | None = None
 ) -> DataFrame:
     """Add ``before_<m>`` (total over strictly smaller values of the same keys) and ``total_<m>``.
 
     ``df`` holds one row per (keys, value). Keys must be few by configuration (features, classes, models):
     the edge and bucket tables are broadcast and hold at most ``(EDGES + 2) * CELLS_PER_EDGE`` rows per key
     combination, whatever the number of values.
+
+    ``only`` is an optional condition on whole buckets, over ``_off_<m>`` (total before the bucket),
+    ``_size_<m>`` and ``total_<m>``; values of other buckets are dropped before anything is sorted.
     """
     names = [q(k) for k in keys]
     # Keeping the measures alive lets this branch reuse the exchange that produced df.
@@ -55,9 +69,7 @@ def running_totals(
     edges = alive.groupBy(*keys).agg(
         F.expr(f"percentile_approx({q(value)}, array({fractions}), {20 * EDGES}) as _edges")
     )
-    bucketed = df.join(F.broadcast(edges), list(keys)).selectExpr(
-        *[q(c) for c in df.columns], f"{_bucket(value)} as _bucket"
-    )
+    bucketed = _with_bucket(df.join(F.broadcast(edges), list(keys)), value)
     totals = bucketed.groupBy(*keys, "_bucket").agg(*[F.expr(f"sum({q(m)}) as {q('_' + m)}") for m in measures])
     whole = f"partition by {', '.join(names)}"
     earlier = "rows between unbounded preceding and 1 preceding"
@@ -66,7 +78,10 @@ def running_totals(
         "_bucket",
         *[f"coalesce(sum({q('_' + m)}) over ({whole} order by _bucket {earlier}), 0) as {q('_off_' + m)}" for m in measures],
         *[f"sum({q('_' + m)}) over ({whole}) as {q('total_' + m)}" for m in measures],
+        *[f"{q('_' + m)} as {q('_size_' + m)}" for m in measures],
     )
+    if only is not None:
+        offsets = offsets.filter(only)
     within = f"partition by {', '.join(names)}, _bucket order by {q(value)} {earlier}"
     return bucketed.join(F.broadcast(offsets), [*keys, "_bucket"]).selectExpr(
         *[q(c) for c in df.columns],
@@ -88,7 +103,9 @@ def exact_quantiles(
     in a single task instead.
     """
     keys = [*by, "feature"]
-    ranked = running_totals(value_counts(df, columns, by), keys, "value", ["n"])
+    ranks = [f"{fn}({float(p)!r}D * (total_n - 1))" for p in probs for fn in ("floor", "ceil")]
+    holds_rank = " or ".join(f"(_off_n <= {r} and {r} < _off_n + _size_n)" for r in ranks)
+    ranked = running_totals(value_counts(df, columns, by), keys, "value", ["n"], holds_rank)
 
     def at(rank: str) -> str:
         return f"max(case when before_n <= {rank} and {rank} < before_n + n then value end)"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import N_CLASSES, RiskConfig
-from ..functions import argmax_class, clean, q, stack, text
+from ..functions import argmax_class, clean, compute_once, q, stack, text
 from ..sources.staging import stage
 from . import evaluate
 from .prepare import available_features, prepare
@@ -49,24 +49,25 @@ class FittedModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``p0, p1, p2, pred``; every other column of ``df`` passes through."""
-        features = df.withColumns({c: F.col(c).cast("double") for c in self.features})
-        out = self.pipeline.transform(features)
+        kept = [q(c) for c in df.columns if c not in (*PROBS, "pred", *self.features)]
+        plain = [q(c) for c in self.features]
+        out = self.pipeline.transform(
+            df.selectExpr(*kept, *plain, *[f"cast({c} as double) as {q('_x_' + f)}" for f, c in zip(self.features, plain)])
+        )
         if self.name == BOOSTED:
             # One positive-class probability per one-vs-rest model, normalised to sum to one.
-            raw = {k: F.get(vector_to_array(f"_prob{k}"), F.lit(1)) if f"_prob{k}" in out.columns
-                   else F.lit(0.0) for k in range(N_CLASSES)}
-            out = out.withColumn("_raw", F.array(*[raw[k] for k in range(N_CLASSES)]))
-            total = F.get("_raw", F.lit(0)) + F.get("_raw", F.lit(1)) + F.get("_raw", F.lit(2))
-            out = out.withColumns({p: F.get("_raw", F.lit(k)) / total for k, p in enumerate(PROBS)})
+            raw = [
+                F.get(vector_to_array(f"_prob{k}"), F.lit(1)) if f"_prob{k}" in out.columns else F.lit(0.0)
+                for k in range(N_CLASSES)
+            ]
+            out = compute_once(out.withColumn("_raw", F.array(*raw)), {"_arr": "_raw"})
+            total = " + ".join(f"_arr[{k}]" for k in range(N_CLASSES))
+            shares = {p: f"_arr[{k}] / ({total})" for k, p in enumerate(PROBS)}
         else:
-            out = out.withColumn("_arr", vector_to_array("probability")).withColumns({
-                p: F.coalesce(F.get("_arr", F.lit(k)), F.lit(0.0)) for k, p in enumerate(PROBS)
-            })
-        return out.select(
-            *[c for c in df.columns if c not in (*PROBS, "pred")],
-            *PROBS,
-            argmax_class(*PROBS).alias("pred"),
-        )
+            out = compute_once(out.withColumn("_raw", vector_to_array("probability")), {"_arr": "_raw"})
+            shares = {p: f"coalesce(get(_arr, {k}), 0D)" for k, p in enumerate(PROBS)}
+        scored = out.selectExpr(*kept, *plain, *[f"{e} as {p}" for p, e in shares.items()])
+        return scored.selectExpr("*", f"{argmax_class(*PROBS)} as pred")
 
     @property
     def importances(self) -> list[tuple[str, float]]:
@@ -113,19 +114,19 @@ def fit_model(
     settings = {**DEFAULTS[name], **(params or {})}
     counts = counts or class_counts(train, cfg.label_col)
     rows = train.selectExpr(
-        *[f"cast({q(c)} as double) as {q(c)}" for c in features],
+        *[f"cast({q(c)} as double) as {q('_x_' + c)}" for c in features],
         f"cast({q(cfg.label_col)} as double) as _label",
         f"{_weight(cfg.label_col, counts)} as _weight",
     )
     head: list = []
-    inputs = list(features)
+    inputs = [f"_x_{c}" for c in features]  # double copies, so a scored table keeps its own column types
     if name == LOGISTIC:
         scaler = scaler or fit_scaler(train, features)
         terms = ", ".join(
-            f"(`{c}` - ({m!r}D)) / {s!r}D AS `{c}__z`" for c, (m, s) in scaler.items()
+            f"({q('_x_' + c)} - ({m!r}D)) / {s!r}D AS {q('_z_' + c)}" for c, (m, s) in scaler.items()
         )
         head.append(SQLTransformer(statement=f"SELECT *, {terms} FROM __THIS__"))
-        inputs = [f"{c}__z" for c in features]
+        inputs = [f"_z_{c}" for c in features]
     head.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error"))
     data = rows
     for stage_ in head:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Override, RiskConfig
-from ..functions import argmax_class, q, risk_band, stack, text, weighted_total
+from ..functions import argmax_class, compute_once, q, risk_band, stack, text, weighted_total
 from ..functions.expressions import half_up_sql
 from ..operators.score import add_percentages
 
@@ -183,10 +183,9 @@ def fixed_scorer(name: str = "Full score"):
         near = df.selectExpr(*kept, f"{linear_score(name)} as _z").selectExpr(
             *kept, *[f"1D / (1D + abs(_z - {c!r}D)) as _w{k}" for k, c in enumerate(CENTRES)]
         )
-        shares = [half_up_sql(f"_w{k} / (_w0 + _w1 + _w2)", 4) + f" as p{k}" for k in range(3)]
-        return near.selectExpr(*kept, "_w0", "_w1", "_w2", *shares).withColumn(
-            "pred", argmax_class("_w0", "_w1", "_w2")
-        ).drop("_w0", "_w1", "_w2")
+        shares = {f"p{k}": half_up_sql(f"_w{k} / (_w0 + _w1 + _w2)", 4) for k in range(3)}
+        out = compute_once(near, {**shares, "pred": argmax_class("_w0", "_w1", "_w2")})
+        return out.drop("_w0", "_w1", "_w2")
 
     return score
 

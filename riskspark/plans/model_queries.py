@@ -230,9 +230,8 @@ metric_long as (unpivot (select model, accuracy, precision, recall, f1, roc_auc,
 
 def _comparison(spark, d):
     """Test metrics and fold scores of every scorer, from one pass each over the scored table."""
-    scored = _with_folds(spark, d)
-    metrics = evaluate.model_metrics(scored.drop("fold"))
-    return evaluate.model_comparison(metrics, evaluate.cv_summary(evaluate.fold_scores(scored)), ENTITY)
+    cv = evaluate.cv_summary(evaluate.fold_scores(_with_folds(spark, d)))
+    return evaluate.model_comparison(evaluate.model_metrics(_all(spark, d)), cv, ENTITY)
 
 
 @query("model_comparison", f"{COMPARISON_SQL} select * from comparison")
