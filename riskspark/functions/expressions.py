@@ -136,9 +136,9 @@ def pearson(x: str, y: str) -> str:
     return f"covar_pop({x}, {y}) / nullif({spread}, 0D)"
 
 
-def hash_order_key(id_col: str, seed: int) -> Column:
-    """Seeded pseudo-random sort key: independent of partitioning and of the engine."""
-    return F.expr(f"md5(concat('{seed}:', cast({q(id_col)} as string)))")
+def hash_order_key(id_col: str, seed: int) -> str:
+    """Seeded pseudo-random sort key (SQL text): independent of partitioning and of the engine."""
+    return f"md5(concat('{seed}:', cast({q(id_col)} as string)))"
 
 
 def compute_once(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:

@@ -99,7 +99,7 @@ def density_by_class(
 def sample_rows(df: DataFrame, k: int, id_col: str, seed: int) -> DataFrame:
     """At most ``k`` rows without replacement: the first in seeded hash order (a distributed top-k)."""
     return (
-        df.withColumn("_key", hash_order_key(id_col, seed))
+        df.withColumn("_key", F.expr(hash_order_key(id_col, seed)))
         .orderBy("_key", id_col)
         .limit(k)
         .drop("_key")

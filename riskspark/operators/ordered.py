@@ -64,7 +64,7 @@ def running_totals(
     """
     names = [q(k) for k in keys]
     # Keeping the measures alive lets this branch reuse the exchange that produced df.
-    alive = df.filter(f"coalesce({', '.join(q(m) for m in measures)}) >= 0")
+    alive = df.filter(f"{' + '.join(q(m) for m in measures)} >= 0")
     fractions = ", ".join(repr(i / EDGES) for i in range(EDGES + 1))
     edges = alive.groupBy(*keys).agg(
         F.expr(f"percentile_approx({q(value)}, array({fractions}), {20 * EDGES}) as _edges")
@@ -121,19 +121,28 @@ def exact_quantiles(
     return picked.selectExpr(*[q(k) for k in keys], "n_values", *out)
 
 
-def rank_cuts(
-    df: DataFrame, by: str, key: str, tie: str, ranks: DataFrame, prefix_digits: int = 4
-) -> DataFrame:
-    """Rows sitting at given 1-based ranks of a hex ``key`` inside each group.
+def keyed_rows(df: DataFrame, by: str, key_sql: str, tie: str, prefix_digits: int = 4) -> DataFrame:
+    """``(by, key, tie, _prefix)`` for a hex sort key."""
+    g, t = q(by), q(tie)
+    return df.selectExpr(g, f"{key_sql} as _key", t).selectExpr(
+        g, "_key", t, f"substring(_key, 1, {prefix_digits}) as _prefix"
+    )
+
+
+def prefix_counts(keyed: DataFrame, by: str) -> DataFrame:
+    """Rows per group and key prefix: at most 16^digits rows per group."""
+    return keyed.groupBy(by, "_prefix").agg(F.expr("count(1) as _n"))
+
+
+def rank_cuts(keyed: DataFrame, by: str, tie: str, ranks: DataFrame) -> DataFrame:
+    """Rows sitting at given 1-based ranks of the key inside each group.
 
     ``ranks`` is ``(by, chunk, rank)`` and small. Counting per key prefix finds the prefix that holds each
     wanted rank; only rows of those prefixes are ranked. The result is ``(by, chunk, cut)`` where ``cut``
     is a comparable struct of key and tie-breaker.
     """
-    g, k, t = q(by), q(key), q(tie)
-    keyed = df.selectExpr(g, k, t, f"substring({k}, 1, {prefix_digits}) as _prefix")
-    counts = keyed.groupBy(by, "_prefix").agg(F.expr("count(1) as _n"))
-    offsets = counts.selectExpr(
+    g, t = q(by), q(tie)
+    offsets = prefix_counts(keyed, by).selectExpr(
         g, "_prefix", "_n",
         f"coalesce(sum(_n) over (partition by {g} order by _prefix rows between unbounded preceding and 1 preceding), 0) as _before",
     )
@@ -145,10 +154,10 @@ def rank_cuts(
     return (
         keyed.join(F.broadcast(wanted), [by, "_prefix"])
         .selectExpr(
-            g, k, t, "_wanted",
-            f"row_number() over (partition by {g}, _prefix order by {k}, {t}) + _before as _rank",
+            g, "_key", t, "_wanted",
+            f"row_number() over (partition by {g}, _prefix order by _key, {t}) + _before as _rank",
         )
-        .selectExpr(g, k, t, "_rank", "explode(_wanted) as _w")
+        .selectExpr(g, "_key", t, "_rank", "explode(_wanted) as _w")
         .filter("_rank = _w.rank")
-        .selectExpr(g, "_w.chunk as chunk", f"struct({k}, {t}) as cut")
+        .selectExpr(g, "_w.chunk as chunk", f"struct(_key, {t}) as cut")
     )

@@ -77,9 +77,9 @@ def median_impute(
 
 
 def prepare(
-    raw: DataFrame, cfg: RiskConfig, fit_on: Column | None = None, approximate: bool = False
+    raw: DataFrame, cfg: RiskConfig, fit_on: str | None = None, approximate: bool = False
 ) -> DataFrame:
-    """Label, encode and impute. ``fit_on`` is an optional row predicate for fitting the medians."""
+    """Label, encode and impute. ``fit_on`` is an optional row condition (SQL) for fitting the medians."""
     require_columns(raw, [cfg.score_col, *cfg.categories])
     coded = encode_categories(add_label(clean_numbers(raw), cfg), cfg)
     numeric = available_features(coded, cfg.numeric_features)

@@ -2,7 +2,11 @@
 
 Membership follows a seeded hash order of the key, so it does not depend on partitioning. Each class is cut
 into chunks at given ranks; the rows at the cuts are found once (``rank_cuts``), and every other row only
-compares its own hash with a handful of cut values. Assigning a split is therefore map-only.
+compares its own hash with a handful of cut values. Assigning a split is therefore map-only, after one narrow
+pass for counts and one for the cut rows.
+
+``source`` may name a cheaper frame with the same keys and labels to find the cuts on; giving the split and
+the folds the same source lets them share the counting pass.
 """
 
 from __future__ import annotations
@@ -12,35 +16,45 @@ from pyspark.sql import functions as F
 
 from ..config import RiskConfig
 from ..functions import hash_order_key, q
-from .ordered import rank_cuts
+from .ordered import keyed_rows, prefix_counts, rank_cuts
+
+
+def _keyed(df: DataFrame, cfg: RiskConfig, seed: int) -> DataFrame:
+    return keyed_rows(df, cfg.label_col, hash_order_key(cfg.id_col, seed), cfg.id_col)
 
 
-def _class_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.expr("count(1) as n"))
+def _class_sizes(keyed: DataFrame, cfg: RiskConfig) -> DataFrame:
+    return prefix_counts(keyed, cfg.label_col).groupBy(cfg.label_col).agg(F.expr("sum(_n) as n"))
 
 
-def _assign_chunks(df: DataFrame, cfg: RiskConfig, ranks: DataFrame, seed: int, name: str) -> DataFrame:
+def _assign_chunks(
+    df: DataFrame, keyed: DataFrame, cfg: RiskConfig, ranks: DataFrame, seed: int, name: str
+) -> DataFrame:
     """Chunk 0 holds ranks 1..rank(0), chunk 1 the next ones, and so on; the last chunk is open."""
     label, key_id = cfg.label_col, cfg.id_col
-    keyed = df.withColumn("_key", hash_order_key(key_id, seed))
-    cuts = rank_cuts(keyed, label, "_key", key_id, ranks.filter("rank > 0"))
+    cuts = rank_cuts(keyed, label, key_id, ranks.filter("rank > 0"))
     # One row per class, one array entry per chunk: bounded by the class and fold counts.
     per_class = cuts.groupBy(label).agg(F.expr("collect_list(cut) as _cuts"))
     empty = ranks.groupBy(label).agg(F.expr("count_if(rank <= 0) as _empty"))
     table = empty.join(F.broadcast(per_class), label, "left")
-    passed = f"size(filter(_cuts, c -> c < struct(_key, {q(key_id)})))"
-    return keyed.join(F.broadcast(table), label).selectExpr(
+    passed = f"size(filter(_cuts, c -> c < struct({hash_order_key(key_id, seed)}, {q(key_id)})))"
+    return df.join(F.broadcast(table), label).selectExpr(
         *[q(c) for c in df.columns], f"cast(_empty as int) + coalesce({passed}, 0) as {q(name)}"
     )
 
 
 def stratified_split(
-    df: DataFrame, cfg: RiskConfig, test_fraction: float = 0.2, seed: int = 42
+    df: DataFrame,
+    cfg: RiskConfig,
+    test_fraction: float = 0.2,
+    seed: int = 42,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``. The test set has ceil(fraction * n) rows, shared out by largest remainder."""
     label = q(cfg.label_col)
+    keyed = _keyed(df if source is None else source, cfg, seed)
     # Windows over the class table: one row per class.
-    shares = _class_sizes(df, cfg.label_col).selectExpr(
+    shares = _class_sizes(keyed, cfg).selectExpr(
         label, "n", "sum(n) over () as _total", f"cast(ceil({test_fraction!r}D * sum(n) over ()) as bigint) as _test"
     ).selectExpr(label, "_test", "(_test * n) div _total as _base", "(_test * n) % _total as _rest")
     ranks = shares.selectExpr(
@@ -48,18 +62,21 @@ def stratified_split(
         "0 as chunk",
         f"_base + if(row_number() over (order by _rest desc, {label}) <= _test - sum(_base) over (), 1, 0) as rank",
     )
-    chunked = _assign_chunks(df, cfg, ranks, seed, "_chunk")
+    chunked = _assign_chunks(df, keyed, cfg, ranks, seed, "_chunk")
     return chunked.selectExpr(*[q(c) for c in df.columns], "if(_chunk = 0, 'test', 'train') as split")
 
 
-def stratified_folds(df: DataFrame, cfg: RiskConfig, k: int = 5, seed: int = 42) -> DataFrame:
+def stratified_folds(
+    df: DataFrame, cfg: RiskConfig, k: int = 5, seed: int = 42, source: DataFrame | None = None
+) -> DataFrame:
     """Add ``fold`` in 0..k-1.
 
     Fold sizes per class are those of dealing the class-sorted rows out in turn, so sizes differ by at most
     one both per class and overall.
     """
     label = q(cfg.label_col)
-    placed = _class_sizes(df, cfg.label_col).selectExpr(
+    keyed = _keyed(df if source is None else source, cfg, seed)
+    placed = _class_sizes(keyed, cfg).selectExpr(
         label, "n",
         f"coalesce(sum(n) over (order by {label} rows between unbounded preceding and 1 preceding), 0) as _start",
     ).selectExpr("*", f"explode(sequence(0, {k - 1})) as chunk")
@@ -68,12 +85,11 @@ def stratified_folds(df: DataFrame, cfg: RiskConfig, k: int = 5, seed: int = 42)
     ranks = placed.selectExpr(
         label, "chunk", f"sum({quota}) over (partition by {label} order by chunk) as rank"
     ).filter(f"chunk < {k - 1}")
-    return _assign_chunks(df, cfg, ranks, seed, "fold")
+    return _assign_chunks(df, keyed, cfg, ranks, seed, "fold")
 
 
 def balanced_weights(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Add ``weight`` = rows / (classes * rows of the class)."""
-    weights = _class_sizes(df, cfg.label_col).selectExpr(
-        q(cfg.label_col), "sum(n) over () / (count(1) over () * n) as weight"
-    )
+    sizes = df.groupBy(cfg.label_col).agg(F.expr("count(1) as n"))
+    weights = sizes.selectExpr(q(cfg.label_col), "sum(n) over () / (count(1) over () * n) as weight")
     return df.join(F.broadcast(weights), cfg.label_col)  # one row per class

@@ -23,7 +23,7 @@ from ..config import N_CLASSES, RiskConfig
 from ..functions import argmax_class, clean, compute_once, q, stack, text
 from ..sources.staging import stage
 from . import evaluate
-from .prepare import available_features, prepare
+from .prepare import add_label, available_features, clean_numbers, prepare
 from .score import PROBS
 from .splits import stratified_folds, stratified_split
 
@@ -171,14 +171,13 @@ def training_frame(
 
     Medians come from all rows, test rows included; ``impute_on_train`` fits them on the train rows only.
     """
+    keys = add_label(clean_numbers(raw), cfg).select(cfg.id_col, cfg.label_col)
     if impute_on_train:
-        from .prepare import add_label, clean_numbers
-
-        marked = stratified_split(add_label(clean_numbers(raw), cfg), cfg, seed=seed)
-        prepared = prepare(marked, cfg, fit_on=F.col("split") == "train")
+        marked = stratified_split(add_label(clean_numbers(raw), cfg), cfg, seed=seed, source=keys)
+        split = prepare(marked, cfg, fit_on="split = 'train'")
     else:
-        prepared = stratified_split(stage(prepare(raw, cfg), "prepared"), cfg, seed=seed)
-    return stage(stratified_folds(prepared, cfg, k, seed), "training")
+        split = stratified_split(prepare(raw, cfg), cfg, seed=seed, source=keys)
+    return stage(stratified_folds(split, cfg, k, seed, keys), "training")
 
 
 def holdout_scores(model: FittedModel, frame: DataFrame, cfg: RiskConfig, name: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import confidence, entity_name, round_percent, stack, text
 from ..operators import cohort, distribution, evaluate, explain, score, splits, train
 from ..operators.prepare import available_features
 from ..sources import model_store
-from ..sources.staging import work_path
+from ..sources.staging import stage, work_path
 from ..sources.tables import csv_export, csv_ingest
 from ..streaming.scoring import score_stream
 from .binding import (
@@ -425,7 +425,8 @@ def _fit(frame, name, features=None):
 def _trained(name):
     def run(spark: SparkSession, d: str) -> DataFrame:
         frame = _frame(spark, d)
-        return evaluate.model_metrics(train.holdout_scores(_fit(frame, name), frame, ENTITY))
+        scored = stage(train.holdout_scores(_fit(frame, name), frame, ENTITY), "holdout")
+        return evaluate.model_metrics(scored)
 
     return run
 
@@ -458,9 +459,9 @@ def _train_behavioural(spark, d):
     frame = _frame(spark, d)
     full = _fit(frame, train.FOREST)
     reduced = train.train_behavioural(frame, ENTITY, SMALL[train.FOREST])
-    scored = train.holdout_scores(full, frame, ENTITY, "full").unionByName(
+    scored = stage(train.holdout_scores(full, frame, ENTITY, "full").unionByName(
         train.holdout_scores(reduced, frame, ENTITY, "behavioural")
-    )
+    ), "holdout")
     long = evaluate.metric_long(evaluate.model_metrics(scored), ("accuracy", "f1", "roc_auc"))
     return evaluate.leakage_delta(long, "full", "behavioural", len(reduced.features))
 
