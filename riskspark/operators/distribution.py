@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, hash_order_key, q
-from .ordered import exact_quantiles, long_values
+from .ordered import exact_quantiles, long_values, value_counts
 
 
 def histogram_by_class(df: DataFrame, value: str, label: str, bins: int = 30) -> DataFrame:
@@ -39,12 +39,18 @@ def _long(df: DataFrame, values: Sequence[str], label: str, *keep: str) -> DataF
 
 
 def box_stats_by_class(df: DataFrame, values: Sequence[str], label: str) -> DataFrame:
-    """Quartiles, mean, extremes and whiskers (outermost points within the fences) per class."""
-    points = _long(df, values, label).join(F.broadcast(_fences(df, values, label)), [label, "feature"])
+    """Quartiles, mean, extremes and whiskers (outermost points within the fences) per class.
+
+    Works on distinct values with counts, the same aggregate that the quartiles come from, so the table is
+    read once.
+    """
+    counted = value_counts(df, values, [label])
+    points = counted.join(F.broadcast(_fences(df, values, label)), [label, "feature"])
     inside = "case when value between fence_lo and fence_hi then value end"
     stats = points.groupBy(label, "feature").agg(*[F.expr(e) for e in (
-        "count(1) as n", "min(value) as min", "max(p25) as p25", "max(p50) as p50", "max(p75) as p75",
-        "max(value) as max", "avg(value) as mean", f"min({inside}) as whisker_lo", f"max({inside}) as whisker_hi",
+        "sum(n) as n", "min(value) as min", "max(p25) as p25", "max(p50) as p50", "max(p75) as p75",
+        "max(value) as max", "sum(n * value) / sum(n) as mean", f"min({inside}) as whisker_lo",
+        f"max({inside}) as whisker_hi",
     )])
     numbers = ("min", "p25", "p50", "p75", "max", "mean", "whisker_lo", "whisker_hi")
     return stats.selectExpr(f"{q(label)} as label", "feature", "n", *[f"round({c}, 4) as {c}" for c in numbers])
@@ -68,7 +74,7 @@ def density_by_class(
     map-side, so at most ``points`` rows per class and feature are shuffled from each task. ``silverman``
     uses 1.059 * min(std, iqr / 1.349) instead of std.
     """
-    counts = _long(df, values, label).groupBy(label, "feature", "value").agg(F.expr("count(1) as n"))
+    counts = value_counts(df, values, [label])
     moments = _long(df, values, label).groupBy(label, "feature").agg(*[F.expr(e) for e in (
         "count(1) as _n", "stddev_samp(value) as _std", "min(value) as _lo", "max(value) as _hi",
     )])

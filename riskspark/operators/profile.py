@@ -45,14 +45,10 @@ def null_audit(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row on every column; missing values compare equal.
 
-    Groups a 64-bit row hash first, so the full row width is shuffled only for rows whose hash repeats;
-    those are then compared exactly.
+    Copies collapse in the map-side aggregate, so a row that occurs very often costs one shuffled row per
+    task.
     """
-    columns = df.columns
-    hashed = df.withColumn("_h", F.xxhash64(*columns))
-    repeated = hashed.groupBy("_h").agg(F.expr("count(1) as _c")).filter("_c > 1").select("_h")
-    suspects = hashed.join(repeated, "_h", "left_semi")
-    groups = suspects.groupBy(*columns).agg(F.expr("count(1) as _n"))
+    groups = df.groupBy(*df.columns).agg(F.expr("count(1) as _n"))
     return groups.selectExpr("cast(coalesce(sum(_n - 1), 0) as bigint) as n_duplicates")
 
 

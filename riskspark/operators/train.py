@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import N_CLASSES, RiskConfig
@@ -156,12 +156,13 @@ def fit_model(
     return FittedModel(name, tuple(features), PipelineModel(stages=[*head, *tail]))
 
 
-def _in_parallel(tasks: Sequence[Callable], parallelism: int) -> list:
+def _in_parallel(spark: SparkSession, tasks: Sequence[Callable], parallelism: int) -> list:
     """Submit independent fits from a few driver threads, so their jobs share the cluster."""
     if parallelism <= 1 or len(tasks) <= 1:
         return [t() for t in tasks]
+    wrap = inheritable_thread_target(spark)
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(lambda t: inheritable_thread_target(t)(), tasks)
+        return pool.map(lambda t: wrap(t)(), tasks)
 
 
 def training_frame(
@@ -219,7 +220,7 @@ def cross_validate(
             F.lit(label or name).alias("model"), "fold", F.col(cfg.label_col).alias("label"), "pred", *PROBS
         )
 
-    parts = _in_parallel([lambda i=i: run(i) for i in folds], parallelism)
+    parts = _in_parallel(frame.sparkSession, [lambda i=i: run(i) for i in folds], parallelism)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -264,6 +265,7 @@ def train_all(
     scaler = fit_scaler(train, chosen) if LOGISTIC in names else None
     counts = class_counts(train, cfg.label_col)
     fitted = _in_parallel(
+        frame.sparkSession,
         [lambda n=n: fit_model(n, train, cfg, chosen, params.get(n), scaler, counts, seed) for n in names],
         parallelism,
     )
