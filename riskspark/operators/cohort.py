@@ -203,18 +203,30 @@ def correlation_rank(correlations: DataFrame, cfg: RiskConfig) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str], decimals: int = 2) -> DataFrame:
     """Pairwise Pearson as ``(x, y, r)``, each pair over its own complete rows; null when constant.
 
-    Only the upper triangle is aggregated, all in one pass.
+    Each row is unpivoted to its column pairs (upper triangle) and combined map-side, so a task shuffles one
+    row per pair. One wide aggregate over all pairs would hold hundreds of buffer fields, too many to compile.
     """
     cols = [c for c in columns if c in df.columns]
-    numbers = df.selectExpr(*[f"{clean(c)} as {q(c)}" for c in cols])
-    wide = numbers.selectExpr(*[
-        f"round({pearson(cols[i], cols[j])}, {decimals}) as _r{i}_{j}"
-        for i in range(len(cols)) for j in range(i, len(cols))
-    ])
-    return wide.selectExpr(stack(
+    width = len(cols)
+    pairs = stack(
+        [
+            (str(i * width + j), f"if({q(cols[j])} is null, null, {q(cols[i])})", f"if({q(cols[i])} is null, null, {q(cols[j])})")
+            for i in range(width) for j in range(i, width)
+        ],
+        ("pair", "a", "b"),
+    )
+    r = f"round({pearson('a', 'b')}, {decimals}) as r"
+    found = (
+        df.selectExpr(*[f"{clean(c)} as {q(c)}" for c in cols])
+        .selectExpr(pairs)
+        .groupBy("pair")
+        .agg(F.expr(r))
+        .selectExpr("map_from_entries(collect_list(struct(pair, r))) as _r")  # one entry per pair
+    )
+    return found.selectExpr(stack(
         [
-            (text(cols[a]), text(cols[b]), f"_r{min(a, b)}_{max(a, b)}")
-            for a in range(len(cols)) for b in range(len(cols))
+            (text(cols[a]), text(cols[b]), f"try_element_at(_r, {min(a, b) * width + max(a, b)})")
+            for a in range(width) for b in range(width)
         ],
         ("x", "y", "r"),
     ))

@@ -6,11 +6,14 @@ compares its own hash with a handful of cut values. Assigning a split is therefo
 pass for counts and one for the cut rows.
 
 ``source`` may name a cheaper frame with the same keys and labels to find the cuts on; giving the split and
-the folds the same source lets them share the counting pass.
+the folds the same source lets them share the counting pass. ``materialise`` may store the table of cuts (one
+row per class), so that later passes over the result do not find them again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,17 @@ def _class_sizes(keyed: DataFrame, cfg: RiskConfig) -> DataFrame:
     return prefix_counts(keyed, cfg.label_col).groupBy(cfg.label_col).agg(F.expr("sum(_n) as n"))
 
 
+Materialise = Callable[[DataFrame], DataFrame]
+
+
 def _assign_chunks(
-    df: DataFrame, keyed: DataFrame, cfg: RiskConfig, ranks: DataFrame, seed: int, name: str
+    df: DataFrame,
+    keyed: DataFrame,
+    cfg: RiskConfig,
+    ranks: DataFrame,
+    seed: int,
+    name: str,
+    materialise: Materialise | None,
 ) -> DataFrame:
     """Chunk 0 holds ranks 1..rank(0), chunk 1 the next ones, and so on; the last chunk is open."""
     label, key_id = cfg.label_col, cfg.id_col
@@ -37,6 +49,8 @@ def _assign_chunks(
     per_class = cuts.groupBy(label).agg(F.expr("collect_list(cut) as _cuts"))
     empty = ranks.groupBy(label).agg(F.expr("count_if(rank <= 0) as _empty"))
     table = empty.join(F.broadcast(per_class), label, "left")
+    if materialise is not None:
+        table = materialise(table)
     passed = f"size(filter(_cuts, c -> c < struct({hash_order_key(key_id, seed)}, {q(key_id)})))"
     return df.join(F.broadcast(table), label).selectExpr(
         *[q(c) for c in df.columns], f"cast(_empty as int) + coalesce({passed}, 0) as {q(name)}"
@@ -49,6 +63,7 @@ def stratified_split(
     test_fraction: float = 0.2,
     seed: int = 42,
     source: DataFrame | None = None,
+    materialise: Materialise | None = None,
 ) -> DataFrame:
     """Add ``split``. The test set has ceil(fraction * n) rows, shared out by largest remainder."""
     label = q(cfg.label_col)
@@ -62,12 +77,17 @@ def stratified_split(
         "0 as chunk",
         f"_base + if(row_number() over (order by _rest desc, {label}) <= _test - sum(_base) over (), 1, 0) as rank",
     )
-    chunked = _assign_chunks(df, keyed, cfg, ranks, seed, "_chunk")
+    chunked = _assign_chunks(df, keyed, cfg, ranks, seed, "_chunk", materialise)
     return chunked.selectExpr(*[q(c) for c in df.columns], "if(_chunk = 0, 'test', 'train') as split")
 
 
 def stratified_folds(
-    df: DataFrame, cfg: RiskConfig, k: int = 5, seed: int = 42, source: DataFrame | None = None
+    df: DataFrame,
+    cfg: RiskConfig,
+    k: int = 5,
+    seed: int = 42,
+    source: DataFrame | None = None,
+    materialise: Materialise | None = None,
 ) -> DataFrame:
     """Add ``fold`` in 0..k-1.
 
@@ -85,7 +105,7 @@ def stratified_folds(
     ranks = placed.selectExpr(
         label, "chunk", f"sum({quota}) over (partition by {label} order by chunk) as rank"
     ).filter(f"chunk < {k - 1}")
-    return _assign_chunks(df, keyed, cfg, ranks, seed, "fold")
+    return _assign_chunks(df, keyed, cfg, ranks, seed, "fold", materialise)
 
 
 def balanced_weights(df: DataFrame, cfg: RiskConfig) -> DataFrame:

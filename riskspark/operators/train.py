@@ -168,17 +168,27 @@ def _in_parallel(spark: SparkSession, tasks: Sequence[Callable], parallelism: in
 def training_frame(
     raw: DataFrame, cfg: RiskConfig, k: int = 5, seed: int = 42, impute_on_train: bool = False
 ) -> DataFrame:
-    """Prepared table with ``split`` and ``fold``, written once so that every fit reads the same rows.
+    """Prepared table with ``split`` and ``fold``.
 
-    Medians come from all rows, test rows included; ``impute_on_train`` fits them on the train rows only.
+    The prepared rows are written once, and so are the two tables of cuts (one row per class). Every fit then
+    reads that table and assigns split and fold in passing. Medians come from all rows, test rows included;
+    ``impute_on_train`` fits them on the train rows only.
     """
-    keys = add_label(clean_numbers(raw), cfg).select(cfg.id_col, cfg.label_col)
+
+    def keep(cuts: DataFrame) -> DataFrame:
+        return stage(cuts, "cuts")
+
     if impute_on_train:
-        marked = stratified_split(add_label(clean_numbers(raw), cfg), cfg, seed=seed, source=keys)
-        split = prepare(marked, cfg, fit_on="split = 'train'")
+        coded = add_label(clean_numbers(raw), cfg)
+        keys = coded.select(cfg.id_col, cfg.label_col)
+        marked = stratified_split(coded, cfg, seed=seed, source=keys, materialise=keep)
+        split = stage(prepare(marked, cfg, fit_on="split = 'train'"), "training")
+        keys = split.select(cfg.id_col, cfg.label_col)
     else:
-        split = stratified_split(prepare(raw, cfg), cfg, seed=seed, source=keys)
-    return stage(stratified_folds(split, cfg, k, seed, keys), "training")
+        prepared = stage(prepare(raw, cfg), "training")
+        keys = prepared.select(cfg.id_col, cfg.label_col)
+        split = stratified_split(prepared, cfg, seed=seed, source=keys, materialise=keep)
+    return stratified_folds(split, cfg, k, seed, keys, keep)
 
 
 def holdout_scores(model: FittedModel, frame: DataFrame, cfg: RiskConfig, name: str | None = None) -> DataFrame:
