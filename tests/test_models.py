@@ -1,7 +1,5 @@
 """Trained models, scoring, contributions, what-if, store and stream."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -248,5 +246,4 @@ def test_fixed_scorer_is_evaluated_once(spark):
     df = score.add_percentages(fixed_scorer()(labelled(entity_table(spark, SF_DIR, context=False))), ENTITY)
     plan = df.filter("confidence >= 60")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate inline") == 1
-    above, below = plan.split("Generate inline", 1)
-    assert "Filter" in above and "p0" in above and math.isfinite(len(below))
+    assert "Filter" in plan.split("Generate inline", 1)[0]
