@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import minhash_dedup
+from . import language_id, minhash_dedup
 from .tables import read
 
 # Words and distinct shingles of a document in SQL; `documents.text` may be null.
@@ -39,3 +39,18 @@ from shingled join roots on doc_id = x"""
 @query("op1_minhash_near_dedup", _NEAR_DUPLICATES_SQL)
 def _near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, d, "documents"))
+
+
+# --- language ---------------------------------------------------------------------------------------
+
+
+def held_out(parts: int, part: int) -> Column:
+    """Rows that are kept from training, by the checksum of the id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts == part
+
+
+@query("op5_language_id")
+def _language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    net = language_id.fit(docs.where(~held_out(4, 2)))
+    return language_id.identify(docs, net).withColumn("held_out", held_out(4, 2))
