@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import language_id, minhash_dedup
+from . import decontamination, language_id, minhash_dedup, packing, sharding
 from .tables import read
 
 # Words and distinct shingles of a document in SQL; `documents.text` may be null.
@@ -54,3 +54,49 @@ def _language_id(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     net = language_id.fit(docs.where(~held_out(4, 2)))
     return language_id.identify(docs, net).withColumn("held_out", held_out(4, 2))
+
+
+# --- benchmark passages -----------------------------------------------------------------------------
+
+_PLAIN_SQL = r"""list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '),
+    lambda x: x <> '')"""
+
+_CONTAMINATION_SQL = f"""
+with d as (select doc_id, {_PLAIN_SQL} as w from documents),
+b as (select item_id, {_PLAIN_SQL} as w from benchmark),
+dp as (select doc_id, len(w) as n, w, unnest(range(0, greatest(len(w) - 4, 1))) as pos from d where len(w) > 0),
+bp as (select item_id, len(w) as l, w, unnest(range(0, greatest(len(w) - 4, 1))) as off from b where len(w) > 0),
+ds as (select doc_id, n, pos, array_to_string(w[pos + 1:pos + 5], ' ') as g from dp),
+bs as (select item_id, l, off, array_to_string(w[off + 1:off + 5], ' ') as g from bp),
+windows as (select distinct doc_id, l, greatest(0, least(pos - off, n - l)) as start
+  from ds join (select distinct l, off, g from bs) using (g)),
+wp as (select doc_id, l, start, x.w[start + 1:start + l] as w from windows join d x using (doc_id)),
+wu as (select doc_id, l, start, w, unnest(range(0, greatest(len(w) - 4, 1))) as pos from wp),
+wc as (select doc_id, l, start, array_to_string(w[pos + 1:pos + 5], ' ') as g, count(*) as c from wu group by all),
+ic as (select item_id, l, g, count(*) as c from bs group by all),
+wn as (select doc_id, l, start, sum(c) as n from wc group by all),
+xn as (select item_id, sum(c) as n from ic group by all),
+met as (select doc_id, start, item_id, sum(least(wc.c, ic.c)) as i, any_value(wn.n) + any_value(xn.n) as t
+  from wc join ic using (l, g) join wn using (doc_id, l, start) join xn using (item_id) group by doc_id, l, start, item_id),
+found as (select distinct doc_id, item_id from met where 100 * i >= 80 * (t - i))
+select doc_id, count(item_id) > 0 as contaminated, count(item_id) as n_items,
+  coalesce(string_agg(cast(item_id as varchar), ',' order by item_id), '') as item_ids
+from documents left join found using (doc_id) group by doc_id"""
+
+
+@query("op8_benchmark_decontamination", _CONTAMINATION_SQL)
+def _contamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontamination.contamination(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+# --- packing and shards -----------------------------------------------------------------------------
+
+
+@query("op3_packing")
+def _packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read(spark, d, "documents"))
+
+
+@query("op10_sharding")
+def _sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shards(read(spark, d, "documents"))
