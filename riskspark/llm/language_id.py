@@ -29,9 +29,9 @@ class LangIdConfig:
 
     hidden: int = 16
     run_bytes: int = 32
-    docs_per_language: int = 500
+    docs_per_language: int = 300
     sample_chars: int = 1500
-    steps: int = 300
+    steps: int = 220
     batch: int = 512
     rate: float = 0.02
     seed: int = 7

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import decontamination, language_id, minhash_dedup, packing, sharding
+from . import decontamination, language_id, minhash_dedup, packing, pii, sharding
 from .tables import read
 
 # Words and distinct shingles of a document in SQL; `documents.text` may be null.
@@ -100,3 +100,12 @@ def _packing(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_sharding")
 def _sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shards(read(spark, d, "documents"))
+
+
+# --- personal data ----------------------------------------------------------------------------------
+
+
+@query("op6_pii")
+def _pii(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return pii.personal_data(docs, pii.fit(docs))
