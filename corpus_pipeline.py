@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest id. Of rows that repeat an id, one stays."""
-    found = stage(minhash_dedup.near_duplicates(docs, cfg=minhash_dedup.NearDupConfig(percent=80, floor_percent=56)), "near")
+    found = stage(minhash_dedup.near_duplicates(docs, cfg=minhash_dedup.NearDupConfig(percent=80, floor_percent=55)), "near")
     left = without_ids(docs, "doc_id", found.where("not kept").select("doc_id"))
     twice = stage(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():

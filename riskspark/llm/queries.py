@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import decontamination, language_id, minhash_dedup, packing, pii, sharding
+from . import decontamination, html_extract, language_id, minhash_dedup, packing, pii, quality_classifier, quality_rules, sharding, toxicity
 from .tables import read
 
 # Words and distinct shingles of a document in SQL; `documents.text` may be null.
@@ -109,3 +109,33 @@ def _sharding(spark: SparkSession, d: str) -> DataFrame:
 def _pii(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     return pii.personal_data(docs, pii.fit(docs))
+
+
+# --- learned scores ---------------------------------------------------------------------------------
+
+
+@query("op2_toxicity")
+def _toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(3, 1)))
+    return toxicity.scores(docs, model).withColumn("held_out", held_out(3, 1))
+
+
+@query("op9_quality_classifier")
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    model = quality_classifier.fit(docs, labels.where(~held_out(4, 2)))
+    return quality_classifier.scores(docs, model).withColumn("held_out", held_out(4, 2))
+
+
+# --- quality rules and pages ------------------------------------------------------------------------
+
+
+@query("op4_quality_rules")
+def _quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality_rules.quality_rules(read(spark, d, "documents"))
+
+
+@query("op7_html_extraction")
+def _html(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(read(spark, d, "pages"))

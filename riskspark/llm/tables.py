@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -73,3 +73,18 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     return now.selectExpr("a as node", "b as root").unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """At most ``per_class`` distinct texts of each label, of at most ``chars`` characters, and the rows of each label.
+
+    Ids are drawn from the narrow table of labels in the order of a hash, so documents are only read once, against
+    a set of ids of known size. Null labels, ids and texts are left out.
+    """
+    rows = labels.select(col(labels, id_col).alias("k"), col(labels, label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))
+    drawn = stage(rows.withColumn("nth", nth).where(F.col("nth") <= per_class).select("k", "y"), "drawn")
+    texts = docs.select(col(docs, id_col).alias("k"), F.substring(col(docs, text_col), 1, chars).alias("text")).where("text is not null")
+    found = texts.join(F.broadcast(drawn), "k").select("text", "y").collect()  # two classes of per_class ids
+    return sorted({(r.text, r.y) for r in found}), counts
