@@ -1,0 +1,463 @@
+"""The corpus operators beside brute force, and what they make of odd tables."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from riskspark.llm import (
+    decontamination, html_extract, language_id, logistic, minhash_dedup, packing, pii, quality_classifier, quality_rules, sharding, text, toxicity,
+)
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, th string, `v.w` int, pos int, plain_text string"
+
+
+def rows_of(docs):
+    return [(i, t, l, s, None if t is None else len(t), 1, "x", 2, 3, "p") for i, t, l, s in docs]
+
+
+def prose(rng, n, letters="abcdefg"):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd_docs():
+    """Nulls everywhere, empty, blank and very long texts, repeated rows and ids, near copies, extra columns."""
+    rng = random.Random(5)
+    base = prose(rng, 120)
+    near = base.replace(base.split()[60], "changed", 1)
+    long = prose(rng, 30_000)
+    docs = [
+        (1, base, "en", "a"), (2, base, "en", "a"), (3, near, "en", "a"), (4, None, None, None), (5, "", "en", None),
+        (6, " \t\n ", None, "b"), (7, "one two", "en", "b"), (7, "one two", "en", "b"), (8, "ONE TWO", "de", "b"),
+        (9, long, "de", "a"), (10, long + " tail", "de", "a"), (None, base, "en", "a"), (None, None, "en", "a"),
+        (11, "mail x.y@ex-a.org now +1 (555) 123-4567 é 4111 1111 1111 1111 ip 010.2.3.255 and 1.2.3.256", "en", "a"),
+        (12, "a\nb\na\n\na b c a b c", "en", "a"), (13, "\U0001f600 a@b.c", "es", "a"),
+    ]
+    return docs + [(100 + i, prose(rng, 60, "hijklm" if i % 2 else "abcdef"), "de" if i % 2 else "en", "c") for i in range(60)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, odd_docs):
+    return spark.createDataFrame(rows_of(odd_docs), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- words and shingles -----------------------------------------------------------------------------
+
+
+def sets(t, n=5):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_shingles_equal_the_plain_ones(odd_docs):
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t, _, _ in odd_docs])
+    found, counts = {}, []
+    for lo, hi, data, offsets in text.slices(texts, 4000):
+        row, h = text.distinct(*text.shingles(text.split_words(data, offsets, lower=True), 5))
+        counts.extend(np.bincount(row, minlength=hi - lo))
+        for r, x in zip(row, h):
+            found.setdefault(lo + r, set()).add(int(x))
+    assert counts == [len(sets(t)) for _, t, _, _ in odd_docs]
+    for a, b in itertools.combinations(range(13), 2):
+        plain = [sets(odd_docs[i][1]) for i in (a, b)]
+        assert len(found.get(a, set()) & found.get(b, set())) == len(plain[0] & plain[1])
+
+
+def roots_of(ids, links):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(3)
+    passage, docs = prose(rng, 40), []
+    for g in range(12):
+        base = prose(rng, 60).split()
+        for _ in range(rng.randint(1, 8)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "x%d" % rng.randrange(1000)
+            docs.append((len(docs) * 3, " ".join(w) + (" " + passage if g % 3 == 0 else "")))
+    docs += [(1000 + i, f"{passage} {prose(rng, 8)}") for i in range(25)]
+    s = {i: sets(t) for i, t in docs}
+    links = [(a, b) for a, b in itertools.combinations(s, 2) if 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])]
+    want = {i: (len(s[i]), r, r == i) for i, r in roots_of(s, links).items()}
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
+def test_near_duplicates_of_odd_rows(odd, none):
+    got = minhash_dedup.near_duplicates(odd).collect()
+    assert len(got) == odd.count()
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert [by_id[i].component_id for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)] == [1, 1, 1, 4, 5, 6, 7, 7, 9, 9]
+    assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
+    assert minhash_dedup.near_duplicates(none).count() == 0
+
+
+# --- language ---------------------------------------------------------------------------------------
+
+
+def test_gradients_are_those_of_the_loss():
+    net = language_id.Network(["a", "b", "c"], 4, 1)
+    for d in (net.ahead, net.back):
+        d.table, d.gates, d.candidate = (p.astype(np.float64) for p in d.parameters())
+    net.out, net.bias = net.out.astype(np.float64), net.bias.astype(np.float64)
+    rng = np.random.default_rng(0)
+    length, label = np.array([3, 5, 1]), np.array([0, 1, 2])
+    x = np.where(np.arange(5)[:, None] < length, rng.integers(97, 100, (5, 3)), 0).astype(np.uint8)
+    _, grads = net.gradients(x, length, label)
+    for p, g in zip(net.parameters(), grads):
+        for _ in range(4):
+            at = (rng.integers(97, 100) if p.shape[0] == 256 else rng.integers(p.shape[0]), *(rng.integers(n) for n in p.shape[1:]))
+            keep, loss = p[at], []
+            for e in (1e-6, -1e-6):
+                p[at] = keep + e
+                loss.append(net.gradients(x, length, label)[0])
+            p[at] = keep
+            assert abs((loss[0] - loss[1]) / 2e-6 - g[at]) < 1e-6
+
+
+def test_language_of_odd_rows(odd, none):
+    net = language_id.fit(odd.where("doc_id % 4 <> 1"))
+    got = language_id.identify(odd, net).collect()
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert len(got) == odd.count()
+    assert [by_id[i].lang_pred for i in (4, 5, 6)] == ["und"] * 3 and by_id[4].score == 0
+    right = [by_id[i].lang_pred == ("de" if i % 2 else "en") for i in range(100, 160) if i % 4 == 1]
+    assert all(right)
+    assert language_id.fit(none) is None
+    assert {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
+    assert language_id.identify(none, net).count() == 0
+
+
+def test_remembered_runs_score_like_new_ones():
+    import pyarrow as pa
+
+    net = language_id.Network(["a", "b"], 4, 2)
+    words = language_id.runs(text.split_words(*text.buffers(pa.array(["aa bb aa cc " + "d" * 70, None, "bb é"]))), 32)
+    assert (words.end - words.start).max() == 32
+    for limit in (2, 100):
+        memory = language_id._Memory(net, limit)
+        for _ in range(2):
+            assert np.allclose(memory.of(words), net.pooled(words.data, words.start, words.end - words.start), atol=1e-5)
+
+
+# --- benchmark --------------------------------------------------------------------------------------
+
+
+def test_decontamination_equals_brute_force(spark, odd, none):
+    rng = random.Random(9)
+    items = [(i, prose(rng, rng.randint(6, 40))) for i in range(12)] + [(50, "one two"), (51, None), (52, "")]
+    docs = []
+    for i in range(60):
+        w = items[i % 12][1].split()
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = "zz"
+        docs.append((i, f"{prose(rng, 15)} {' '.join(w).upper()}, {prose(rng, 9)}"))
+
+    def plain(t):
+        return re.sub(r"[^a-z0-9]+", " ", (t or "").lower()).split()
+
+    def grams(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    want = {}
+    for d, t in docs:
+        w, hits = plain(t), set()
+        for i, x in items:
+            g, n = grams(plain(x)), len(plain(x))
+            for at in range(max(1, len(w) - n + 1)) if n else ():
+                h = grams(w[at : at + n])
+                if 100 * sum((g & h).values()) >= 80 * sum((g | h).values()):
+                    hits.add(i)
+        want[d] = ",".join(map(str, sorted(hits)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: r.item_ids for r in got} == want and any(want.values())
+    odd_rows = decontamination.contamination(odd, bench).collect()
+    assert len(odd_rows) == odd.count() and {r.doc_id for r in odd_rows if r.contaminated} == {7, 8}
+    assert decontamination.contamination(none, bench).count() == 0
+    assert decontamination.contamination(odd, bench.where("item_id > 50")).where("contaminated").count() == 0
+
+
+# --- personal data ----------------------------------------------------------------------------------
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(t):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, t or ""):
+            digits = [int(c) for c in re.sub("[^0-9]", "", m[0])]
+            luhn = sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(reversed(digits))) % 10 == 0
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}
+            if ok[kind]:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(out)]
+
+
+def test_base_spans_equal_plain_patterns(spark, odd, odd_docs, none):
+    extra = [
+        (500, "a@b.c_d@e.f.g h@i..j x@y.z"), (501, "1.2.3.4.5.6.7.8 300.1.1.1 0.0.0.00255"), (502, "4111111111111111-1 4111-1111-1111-1111"),
+        (503, "+1 23 456 7890 +12() +1(2)3.4-5 678901234567890"), (504, "+" * 50 + "9" * 400 + "a" * 3000 + "@"),
+        (505, "password=7187d069216479d4e3 token = \"0cab398dc11d1a2a11dc6572c8df8bd228c864f3\""),
+    ]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    model = pii.PiiModel("x.digits * 10D", {0: 0.9, 1: 0.9, 2: 0.9})
+    got = pii.personal_data(docs, model).collect()
+    plain = {i: t for i, t, *_ in [*odd_docs, *extra] if i is not None}
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is not None:
+            want = plain_spans(plain[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), r.doc_id
+            assert set(want) <= set(r.spans.split(",")) | {""}
+            assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.startswith(k) for s in want) for k in PATTERNS)
+    assert pii.fit(none) is None and pii.personal_data(none, None).count() == 0
+    clean = {r.doc_id: r for r in pii.redacted(odd, None).collect()}
+    assert clean[11].text == "mail <EMAIL> now <PHONE> é <CARD> ip <IP> and 1.2.3.256" and clean[4].text is None
+    assert clean[13].text == "\U0001f600 <EMAIL>" and clean[1].plain_text == "p"
+
+
+def test_trees_learn_credentials(spark):
+    rng = random.Random(1)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    docs = []
+    for i in range(900):
+        thing = [f"token={hexes(40)}", f"order {rng.randrange(10**8, 10**9)}", f"call +1 555 {rng.randrange(10**6, 10**7)}", "page_of_some_long_word_1"][i % 4]
+        docs.append((i, f"{prose(rng, 6)} {thing} {prose(rng, 5)}"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = pii.fit(frame)
+    found = {r.doc_id: r.spans for r in pii.personal_data(frame, model).collect()}
+    # A run of digits in a token may be a card number by chance; then the base span stays alone.
+    assert np.mean(["secret" in found[i] for i in range(0, 900, 4)]) > 0.98
+    assert not any(found[i] for i in (*range(1, 900, 4), *range(3, 900, 4)))
+
+
+# --- packing and shards -----------------------------------------------------------------------------
+
+
+def test_limits_are_optimal():
+    rng = random.Random(2)
+    for _ in range(30):
+        lengths = sorted(rng.sample(range(1, 60), rng.randint(1, 8)))
+        counts = [rng.randint(1, 9) for _ in lengths]
+        k = rng.randint(1, 4)
+
+        def padding(cuts):
+            return sum(c * (min(x for x in cuts if x >= n) - n) for n, c in zip(lengths, counts))
+
+        best = min(padding((*some, lengths[-1])) for r in range(min(k, len(lengths))) for some in itertools.combinations(lengths[:-1], r))
+        found = packing.limits(np.array(lengths, float), np.array(counts), k)
+        assert len(found) <= k and padding(found) == best
+
+
+def test_packing_of_odd_rows(odd, none):
+    cfg = packing.PackingConfig(buckets=4, token_budget=500)
+    rows = packing.pack(odd, cfg=cfg).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.select("doc_id").collect())
+    batches = {}
+    for r in rows:
+        assert r.n_tokens <= r.bucket_len and r.n_padding == r.bucket_len - r.n_tokens
+        batches.setdefault(r.batch, []).append(r)
+    assert sorted(batches) == list(range(len(batches)))
+    for b in batches.values():
+        assert len({r.bucket for r in b}) == 1 and sorted(r.slot for r in b) == list(range(len(b)))
+        assert len(b) == 1 or len(b) * b[0].bucket_len <= cfg.token_budget
+    assert packing.pack(none).count() == 0
+
+
+def test_shards_are_even_and_gapless(odd, none, spark):
+    for docs, n in ((odd, 3), (spark.range(2000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same text', repeat('x', cast(id % 90 as int))) as text"), 16)):
+        rows = sharding.shards(docs, n).collect()
+        plain = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.select("doc_id", "text").collect())
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == plain
+        load = [sum(r.size for r in rows if r.shard == s) for s in range(n)]
+        part = sum(load) / n
+        assert all(abs(x - part) <= max(r.size for r in rows) + 0.02 * part for x in load)
+        for s in range(n):
+            slots = sorted(r.slot for r in rows if r.shard == s)
+            assert slots == list(range(len(slots)))
+        assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    assert sharding.shards(none).count() == 0
+
+
+# --- learned scores ---------------------------------------------------------------------------------
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automata_equal_edit_distance():
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 10))) for _ in range(25)})
+    lexicon = toxicity.Lexicon(words, ["cabb"], states=200)
+    for _ in range(3000):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 11)))
+        best = min((e for x in words if (e := edit_distance(x, w)) <= toxicity.edits(x)), default=None)
+        if w.startswith("cabb") and best != 0:
+            assert lexicon.match(w) == ("stem", 0)
+        else:
+            assert lexicon.match(w) == (None if best is None else ("word", best))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(700):
+        toxic, bad = i % 5 == 0, i % 7 == 0
+        w = prose(rng, 60, "abcdefgh").split()
+        if toxic:
+            w[30] = rng.choice(["scoundrel", "blockhead", "nitwitted"])
+            if i % 3 == 0:
+                w[30] = w[30][:3] + "0" + w[30][4:]
+        docs.append((i, " ".join(x.upper() + "!!" for x in w) if bad else " ".join(w)))
+        labels.append((i, int(not bad), int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1, 1), (9999, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality_classifier, "quality")])
+def test_scores_hold_on_unseen_documents(labelled, odd, none, module, label):
+    docs, labels = labelled
+    seen = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    model = module.fit(docs, labels.where(seen))
+    rows = module.scores(docs, model).join(labels, "doc_id").where(~seen).collect()
+    assert np.mean([r.predicted == r[label] for r in rows]) > 0.97
+    got = module.scores(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert module.scores(none, model).count() == 0
+    assert module.fit(none, labels) is None and module.fit(docs, labels.where("false")) is None
+    assert module.scores(odd, None).count() == odd.count()
+
+
+def test_quotation_is_told_from_abuse():
+    scanner = toxicity.Scanner(toxicity.Lexicon(["scoundrel"], []), toxicity.ToxicityConfig())
+    abuse, quoted = scanner.features("you are a scoundrel today"), scanner.features('he wrote the word "scoundrel" in a letter')
+    assert abuse[4] == 0 and abuse[5] == 1 and quoted[4] > 0 and quoted[5] == 0
+    assert scanner.features(None) == scanner.features("") == [0.0] * 6
+
+
+def test_logistic_regression_finds_the_coefficients():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20_000, 2))
+    y = (rng.random(20_000) < logistic.predict(np.array([0.5, 1.0, -2.0]), x)).astype(int)
+    assert np.allclose(logistic.fit(x, y, np.ones(len(y))), [0.5, 1.0, -2.0], atol=0.1)
+
+
+# --- quality rules ----------------------------------------------------------------------------------
+
+
+def plain_rules(t):
+    t = t or ""
+    w, seen, dup, cover = WORD.findall(t), set(), 0, set()
+    n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    for i in range(len(w) - 2):
+        if n[tuple(w[i : i + 3])] > 1:
+            cover |= {i, i + 1, i + 2}
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover)
+
+
+def test_rules_equal_plain_counts(odd, odd_docs, none):
+    got = quality_rules.quality_rules(odd).collect()
+    plain = {i: plain_rules(t) for i, t, *_ in odd_docs}
+    assert len(got) == odd.count()
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain[r.doc_id]
+            assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+            assert not (r.base_failed and r.kept)
+    assert quality_rules.quality_rules(none).count() == 0
+
+
+def test_outliers_are_rejected_and_clean_rows_kept(spark):
+    rng = random.Random(6)
+    docs = [(i, prose(rng, rng.randint(60, 200)), "en" if i % 3 else None, "s") for i in range(400)]
+    docs += [(1000 + i, " ".join(w + "###" for w in prose(rng, 90).split()), "en" if i % 3 else None, "s") for i in range(40)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert np.mean([got[i] for i in range(400)]) > 0.99 and not any(got[1000 + i] for i in range(40))
+
+
+# --- pages ------------------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav><div class="cookie-notice">We use cookies.</div>
+%s
+<aside>Related things, and more.</aside><div id="comments"><p>First! A reader's comment, quite long, with punctuation.</p></div>
+<form><p>Sign up, now.</p></form><footer>&copy; 2020</footer></body></html>"""
+ARTICLE = '<h1>A &amp; B</h1><p>One <b>two</b>\n three&nbsp;four, five.<br>six<p>Seven, eight &eacute;; <a href="x">nine</a>.<div class="ad">Buy.</div><ul><li>ten, eleven<li>twelve.</ul>'
+TEXT = "A & B\nOne two three four, five. six\nSeven, eight é; nine.\nten, eleven\ntwelve."
+
+
+@pytest.mark.parametrize("frame", ["<article>%s</article>", "<main><div>%s</div></main>", '<div class="content"><section>%s</section></div>'])
+def test_article_is_extracted(frame):
+    assert html_extract.main_text(PAGE % (frame % ARTICLE)) == TEXT
+
+
+def test_extraction_of_odd_pages(spark):
+    cut = "<html><body><article><h1>Long title, here</h1><p>Some text, more. <b>bold words, here &am"
+    pages = [(1, "u", None, 9), (2, None, "", 9), (3, "u", "<p", 9), (4, "u", cut, 9), (4, "u", cut, 9), (None, "u", "plain, text. 1 < 2", 9), (5, "u", "<p>" + "word, " * 50_000, 9)]
+    rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string, text int")).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == 7 and [got[i].text for i in (1, 2, 3)] == [""] * 3
+    assert got[4].text == "Long title, here\nSome text, more. bold words, here &am"
+    assert got[None].text == "plain, text. 1 < 2" and got[5].n_chars == 50_000 * 6 - 1
+    assert all(r.n_chars == len(r.text) for r in rows)
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- pipeline ---------------------------------------------------------------------------------------
+
+
+def test_pipeline_on_odd_rows(spark, odd, odd_docs, none, tmp_path):
+    items = spark.createDataFrame([(1, " ".join(odd_docs[20][1].split()[5:40]))], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, docs in (("odd", odd), ("none", none)):
+        for stage, apply in corpus_pipeline.STAGES:
+            apply(spark, docs, str(tmp_path)).write.parquet(path := f"{tmp_path}/{name}-{stage}")
+            docs = spark.read.parquet(path)
+            kept[name, stage] = sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is None, i))
+            if stage != "packing":
+                assert docs.columns == odd.columns
+    ids = kept["odd", "language_id"]
+    assert not {4, 5, 6} & set(ids) and {1, 7, 9, 11} <= set(ids)
+    after = kept["odd", "near_dedup"]
+    assert after.count(7) == 1 and not {2, 3, 8, 10} & set(after) and None in after
+    assert set(after) - set(kept["odd", "decontamination"]) == {odd_docs[20][0]}
+    assert kept["odd", "packing"] == kept["odd", "decontamination"]
+    assert kept["none", "packing"] == []
