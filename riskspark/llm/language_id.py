@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import col
+from .tables import col, hash_sample
 from .text import Words, buffers, slices, split_words
 
 UNKNOWN = "und"
@@ -187,10 +187,10 @@ def train(texts: list[str], labels: list[str], cfg: LangIdConfig) -> Network | N
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", cfg: LangIdConfig = LangIdConfig()) -> Network | None:
     """Train on ``labelled``: rows without a language or a text are left out. None if no row remains."""
     rows = labelled.select(col(labelled, lang_col).cast("string").alias("lang"), col(labelled, text_col).alias("text"))
-    rows = rows.where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    rows = rows.withColumn("text", F.substring("text", 1, cfg.sample_chars)).withColumn("nth", nth)
-    sample = rows.where(F.col("nth") <= cfg.docs_per_language).orderBy("lang", "nth").select("lang", "text").collect()
+    rows = rows.where("lang is not null and text is not null")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("text", F.substring("text", 1, cfg.sample_chars))
+    sample = hash_sample(rows, "lang", counts, cfg.docs_per_language, F.col("h"), "text").orderBy("lang", "h", "text").select("lang", "text").collect()
     return train([r.text for r in sample], [r.lang for r in sample], cfg)
 
 
