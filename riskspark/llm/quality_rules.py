@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .tables import col
+from .tables import col, small
 from .text import Words, mix, slices, split_words
 
 STATS = ("log_words", "log_word_length", "symbols", "dup_lines", "repeats")
@@ -28,6 +28,9 @@ STATS = ("log_words", "log_word_length", "symbols", "dup_lines", "repeats")
 LEAST_SCATTER = (0.3, 0.05, 0.02, 0.2, 0.2)
 CHI2_MEDIAN = 4.351
 
+MOST_GROUPS = 50_000
+"""Tables with a row for each group are sent to every executor up to this many groups, about 10 MB."""
+
 
 @dataclass(frozen=True)
 class QualityRulesConfig:
@@ -114,14 +117,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(rows: DataFrame, cfg: QualityRulesConfig) -> DataFrame:
     """(lang, source, grp): the group that judges a pair of language and source; null where all are too small."""
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.col("n") < cfg.least_rows
-    by_lang = sizes.where(small).groupBy("lang").agg(F.sum("n").alias("lang_n"))
+    few = F.col("n") < cfg.least_rows
+    by_lang = sizes.where(few).groupBy("lang").agg(F.sum("n").alias("lang_n"))
     rest = by_lang.where(F.col("lang_n") < cfg.least_rows).agg(F.sum("lang_n").alias("rest_n"))
     sizes = sizes.join(by_lang, "lang", "left").crossJoin(F.broadcast(rest))  # one row
     return sizes.select(
         "lang",
         "source",
-        F.when(~small, F.concat_ws("\x1f", F.lit("own"), "lang", "source"))
+        F.when(~few, F.concat_ws("\x1f", F.lit("own"), "lang", "source"))
         .when(F.col("lang_n") >= cfg.least_rows, F.concat_ws("\x1f", F.lit("lang"), "lang"))
         .when(F.col("rest_n") >= cfg.least_rows, F.lit("all"))
         .alias("grp"),
@@ -156,21 +159,21 @@ def estimates(rows: DataFrame, cfg: QualityRulesConfig) -> DataFrame:
     """(grp, m_i, p_i_j, unit): robust location and precision of every group, and the scale of its distances."""
     p = range(len(STATS))
     middle = stage(rows.groupBy("grp").agg(*(F.percentile_approx(f"x_{i}", 0.5, cfg.accuracy).alias(f"m_{i}") for i in p)), "medians")
-    spread = rows.join(middle, "grp").groupBy("grp", *(f"m_{i}" for i in p))
+    spread = rows.join(small(middle, MOST_GROUPS), "grp").groupBy("grp", *(f"m_{i}" for i in p))
     spread = spread.agg(*(F.percentile_approx(F.abs(F.expr(f"x_{i} - m_{i}")), 0.5, cfg.accuracy).alias(f"d_{i}") for i in p))
     first = [f"1 / (pow(1.4826 * d_{i}, 2) + {LEAST_SCATTER[i] ** 2!r}D) as p_{i}_{i}" for i in p]
     found = stage(spread.selectExpr("grp", *(f"m_{i}" for i in p), *first, *(f"0D as p_{i}_{j}" for i in p for j in p if i < j)), "start")
     for _ in range(cfg.steps):
-        far = rows.join(found, "grp").withColumn("d2", F.expr(_distance()))
+        far = rows.join(small(found, MOST_GROUPS), "grp").withColumn("d2", F.expr(_distance()))
         near = stage(far.groupBy("grp").agg(F.percentile_approx("d2", cfg.share, cfg.accuracy).alias("most")), "most")
-        kept = far.join(near, "grp").where("d2 <= most").groupBy("grp")
+        kept = far.join(small(near, MOST_GROUPS), "grp").where("d2 <= most").groupBy("grp")
         sums = kept.agg(
             F.count("*").alias("n"),
             *(F.sum(f"x_{i}").alias(f"s_{i}") for i in p),
             *(F.sum(F.expr(f"x_{i} * x_{j}")).alias(f"q_{i}_{j}") for i in p for j in p if i <= j),
         )
         found = stage(sums.mapInPandas(_inverted, found.schema), "step")
-    unit = rows.join(found, "grp").groupBy("grp").agg((F.percentile_approx(F.expr(_distance()), 0.5, cfg.accuracy) / CHI2_MEDIAN).alias("unit"))
+    unit = rows.join(small(found, MOST_GROUPS), "grp").groupBy("grp").agg((F.percentile_approx(F.expr(_distance()), 0.5, cfg.accuracy) / CHI2_MEDIAN).alias("unit"))
     return stage(found.join(unit.withColumn("unit", F.greatest("unit", F.lit(0.05))), "grp"), "estimates")
 
 
@@ -198,9 +201,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     rows = stage(rows.selectExpr("*", *(f"cast({v} as double) as x_{i}" for i, v in enumerate(vector))), "statistics")
     groups = stage(_groups(rows, cfg), "groups")
-    rows = rows.join(groups, ["lang", "source"], "left")
+    rows = rows.join(small(groups, MOST_GROUPS), ["lang", "source"], "left")
     judged = rows.where("not base_failed and grp is not null")
     judged = judged.select("grp", *(f"x_{i}" for i in range(len(STATS))))
-    found = rows.join(estimates(judged, cfg), "grp", "left").withColumn("distance", F.expr(f"({_distance()}) / unit"))
+    found = rows.join(small(estimates(judged, cfg), MOST_GROUPS), "grp", "left").withColumn("distance", F.expr(f"({_distance()}) / unit"))
     kept = f"not base_failed and coalesce(distance <= {cfg.cutoff}, true)"
     return found.selectExpr("doc_id", *COUNTS[:5], "base_failed", f"{kept} as kept", "distance")
