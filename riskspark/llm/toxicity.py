@@ -39,6 +39,8 @@ class ToxicityConfig:
     sample_chars: int = 20_000
     least_z: float = 3.5
     purity: float = 0.9
+    family_words: int = 3
+    nearly: float = 0.8
     window: int = 6
     cut: float = 0.7
     remembered_words: int = 300_000
@@ -183,13 +185,19 @@ def apart(sample: list[tuple[str, int]], size: int = 16) -> list[tuple[str, int]
 
 
 def learn_lexicon(sample: list[tuple[str, int]], cfg: ToxicityConfig) -> tuple[list[str], list[str]]:
-    """Words, and stems of at least three words, whose count in toxic texts stands out from that in the others."""
+    """Words, and stems of at least three words, whose count in toxic texts stands out from that in the others.
+
+    A stem may also stand out by the texts that hold ``family_words`` words of it, since ordinary texts may meet one by
+    chance. Words of a chosen stem are left to the stem, so that no edits are allowed on them.
+    """
     total = np.bincount([y for _, y in sample], minlength=2)
-    words, stems, family = (Counter(), Counter()), (Counter(), Counter()), {}
+    words, stems, often, family = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter()), {}
     for text, y in sample:
         own = {t.strip(EDGE) for t in text.lower().split()} - {""}
         words[y].update(own)
-        stems[y].update({w[:n] for w in own for n in (4, 5, 6) if len(w) > n})
+        begun = Counter(w[:n] for w in own for n in (4, 5, 6) if len(w) > n)
+        stems[y].update(begun.keys())
+        often[y].update(s for s, n in begun.items() if n >= cfg.family_words)
 
     def stands_out(counts: tuple[Counter, Counter]) -> list[str]:
         kept = []
@@ -200,17 +208,19 @@ def learn_lexicon(sample: list[tuple[str, int]], cfg: ToxicityConfig) -> tuple[l
         return sorted(kept)
 
     chosen = stands_out(words)
-    candidates = set(stands_out(stems))
+    candidates = {*stands_out(stems), *stands_out(often)}
     for w in words[1]:
         for n in (4, 5, 6):
             if w[:n] in candidates and len(w) > n:
                 family.setdefault(w[:n], set()).add(w)
-    kept = [s for s in sorted(candidates, key=len) if len(family.get(s, ())) >= 3]
-    shortest: list[str] = []
+    # A family is more than one word with its rare neighbours.
+    kept = [s for s in sorted(candidates, key=len) if len(family.get(s, ())) >= 3 and max(words[1][w] for w in family[s]) < cfg.nearly * stems[1][s]]
+    roots: list[str] = []
     for s in kept:
-        if not any(s.startswith(k) for k in shortest):
-            shortest.append(s)
-    return [w for w in chosen if len(w) > 2], shortest
+        if not any(s.startswith(k) or k.startswith(s) for k in roots):
+            # As long as nearly all of its texts allow, to leave other words alone.
+            roots.append(max((k for k in kept if k.startswith(s) and stems[1][k] >= cfg.nearly * stems[1][s]), key=len))
+    return [w for w in chosen if len(w) > 2 and not any(w.startswith(s) for s in roots)], roots
 
 
 @dataclass(frozen=True)

@@ -461,3 +461,19 @@ def test_pipeline_on_odd_rows(spark, odd, odd_docs, none, tmp_path):
     assert set(after) - set(kept["odd", "decontamination"]) == {odd_docs[20][0]}
     assert kept["odd", "packing"] == kept["odd", "decontamination"]
     assert kept["none", "packing"] == []
+
+
+def test_a_stem_is_a_family_that_toxic_texts_hold_often():
+    """One word of the family by chance is no reason; one word alone is a word, not a stem."""
+    rng = np.random.default_rng(5)
+    plain = ["".join(rng.choice(list("abdeghiklmnoprstu"), 7)) for _ in range(400)]
+    sample = []
+    for i in range(600):
+        y = int(i % 6 == 0)
+        own = list(rng.choice(plain, 60, replace=False))
+        ends = [f"zorbak{c}{rng.integers(9)}" for c in "aeiou"]
+        own += ends[:4] if y and i % 4 == 0 else ends[:1] if i % 3 == 1 else []
+        own += ["vexling"] if y and i % 4 else []
+        sample.append((" ".join(own), y))
+    words, stems = toxicity.learn_lexicon(sample, toxicity.ToxicityConfig())
+    assert words == ["vexling"] and stems == ["zorbak"]
