@@ -4,7 +4,8 @@ A page is read as a list of blocks, each with its path of block-level tags from
 summed per path and divided by the number of blocks there; both ratios are smoothed over the paths with the same parent,
 fused, and damped by the share of linked text. Paths above a share of the best one hold the article. Parts that are
 never article text by their tag or by the class, id or role of an element (menus, adverts, comments and so
-on) have no weight, and a page that marks its article is read inside that mark alone.
+on) have no weight, and a page that marks its article is read inside that mark alone. What holds the marked article is no such
+part, and neither is what has the class or id of one but holds most of the text of a page without a mark.
 """
 
 from __future__ import annotations
@@ -43,7 +44,15 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TOKENS = re.compile(r"[a-z]+(?:[-_0-9]+[a-z]+)*")
 _WORDS = re.compile(r"[a-z]+")
+# Words after the head of a token (ad-container, comments-area), before a state (with-sidebar), before the header of an article.
+TAILS = frozenset(
+    "area bar block body bottom box btn button buttons container content form group icons inner item items left link links list main message "
+    "outer panel post posts primary right secondary section text top wrap wrapper".split()
+)
+STATES = frozenset("with without has no is".split())
+HEADED = frozenset("article entry post story content".split())
 
 
 @dataclass
@@ -51,6 +60,7 @@ class Block:
     path: str
     aside: bool
     article: bool
+    element: int = -1
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -58,26 +68,89 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _is_aside(name: str, attrs: str, in_article: bool) -> bool:
+def _names_aside(value: str, in_article: bool) -> bool:
+    """Whether a token of a class or id, or its head word, names an aside."""
+    for token in _TOKENS.findall(value):
+        words = _WORDS.findall(token)
+        if words[0] in STATES and len(words) > 1:
+            continue
+        while len(words) > 1 and words[-1] in TAILS:
+            words.pop()
+        if words[-1] in ASIDE_WORDS and not (words[-1] == "header" and (in_article or words[0] in HEADED)):
+            return True
+    return False
+
+
+def _is_aside(name: str, attrs: str, in_article: bool) -> int:
+    """0 for no aside, 1 for one by class or id or a form, 2 by another tag or role, 3 for what is hidden."""
+    found = 0
     if name in ASIDE_TAGS or name == "header" and not in_article:
-        return True
+        found = 1 if name == "form" else 2
     for key, *values in _ATTR.findall(attrs):
         value = "".join(values).lower()
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return 3
         if key == "role" and value in ASIDE_ROLES:
-            return True
+            found = max(found, 2)
         # The root and the marked article are never an aside, whatever their classes say.
-        if key in ("class", "id") and name not in ("html", "body", *ARTICLE_TAGS) and not ASIDE_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+        if key in ("class", "id") and name not in ("html", "body", *ARTICLE_TAGS) and _names_aside(value, in_article):
+            found = max(found, 1)
+    return found
 
 
-def blocks(page: str) -> list[Block]:
+@dataclass
+class Element:
+    """``aside`` as by _is_aside, of the element alone; ``size`` is its text without links, all elements inside included."""
+
+    parent: int
+    aside: int
+    article: bool
+    hidden: bool
+    size: int = 0
+
+
+def _free(elements: list[Element], out: list[Block], most: float) -> None:
+    """Take the aside mark from what holds the page's article, and from marks by class or id that hold most of the text."""
+    for b in out:
+        if b.element >= 0 and not elements[b.element].hidden:
+            elements[b.element].size += max(0, len("".join(b.text().split())) - b.linked)
+    for e in reversed(elements):
+        if e.parent >= 0:
+            elements[e.parent].size += e.size
+    whole = sum(e.size for e in elements if e.parent < 0)
+    plain = sum(max(0, len("".join(b.text().split())) - b.linked) for b in out if not b.aside)
+    marked = [k for k, e in enumerate(elements) if e.article and (e.parent < 0 or not elements[e.parent].article)]
+    freed = False
+    if marked:
+        # The longest marked article, unless the text outside of asides is longer: then it is but a teaser.
+        k = max(marked, key=lambda k: elements[k].size)
+        around, size = elements[k].parent, elements[k].size
+        while around >= 0:
+            if 0 < elements[around].aside < 3 and size > plain:
+                elements[around].aside, freed = 0, True
+            around = elements[around].parent
+    if not marked or not plain:
+        for e in elements:
+            if e.aside == 1 and e.size > most * whole:
+                e.aside, freed = 0, True
+    if freed:
+        inside = []
+        for e in elements:
+            inside.append(e.aside > 0 or e.parent >= 0 and inside[e.parent])
+        for b in out:
+            b.aside = b.element >= 0 and inside[b.element]
+
+
+def blocks(page: str, most: float = 0.75) -> list[Block]:
     """Blocks of text in page order. A cut-off tag at the end of the page is markup."""
+    return _read(page, most)[0]
+
+
+def _read(page: str, most: float) -> tuple[list[Block], list[Element]]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, aside, article: of the element and all around it
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, aside, article: of the element and all around it; its number
+    elements: list[Element] = []
     fresh = True
 
     def add(text: str) -> None:
@@ -86,11 +159,11 @@ def blocks(page: str) -> list[Block]:
             return
         if fresh or not out:
             aside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block("/".join(t for t, _, _ in stack if t not in INLINE), aside, article))
+            out.append(Block("/".join(t for t, *_ in stack if t not in INLINE), aside, article, stack[-1][3] if stack else -1))
             fresh = False
         text = html.unescape(text)
         out[-1].parts.append(text)
-        if any(t == "a" for t, _, _ in stack):
+        if any(t == "a" for t, *_ in stack):
             out[-1].linked += len("".join(text.split()))
 
     at = 0
@@ -129,10 +202,14 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in LIMITS.get(name, ()) or stack[k][0] not in INLINE and name not in CLOSES:
                     break
-        around = stack[-1] if stack else ("", False, False)
-        stack.append((name, around[1] or _is_aside(name, attrs, around[2]), around[2] or name in ARTICLE_TAGS))
+        around = stack[-1] if stack else ("", False, False, -1)
+        aside = _is_aside(name, attrs, around[2])
+        hidden = aside == 3 or around[3] >= 0 and elements[around[3]].hidden
+        elements.append(Element(around[3], aside, around[2] or name in ARTICLE_TAGS, hidden))
+        stack.append((name, around[1] or aside > 0, around[2] or name in ARTICLE_TAGS, len(elements) - 1))
     add(page[at:])
-    return out
+    _free(elements, out, most)
+    return out, elements
 
 
 @dataclass(frozen=True)
@@ -140,6 +217,7 @@ class ExtractConfig:
     smoothing: float = 0.5
     least_share: float = 0.1
     most_linked: float = 0.7
+    most_text: float = 0.75
 
 
 def content_paths(found: list[Block], cfg: ExtractConfig) -> set[str]:
@@ -166,7 +244,7 @@ def content_paths(found: list[Block], cfg: ExtractConfig) -> set[str]:
 
 def main_text(page: str | None, cfg: ExtractConfig = ExtractConfig()) -> str:
     """Text of the blocks on content paths, in page order, one line each."""
-    found = [b for b in blocks(page or "") if not b.aside and b.text()]
+    found = [b for b in blocks(page or "", cfg.most_text) if not b.aside and b.text()]
     if any(b.article for b in found):
         found = [b for b in found if b.article]
     paths = content_paths(found, cfg)

@@ -450,6 +450,14 @@ def test_article_is_extracted(frame):
     assert html_extract.main_text(PAGE % (frame % ARTICLE)) == TEXT
 
 
+@pytest.mark.parametrize("mark", ['class="page with-sidebar"', 'class="comments-open"', 'id="search-results"', 'id="site-search"', 'class="sidebar"'])
+@pytest.mark.parametrize("frame", ["<article>%s</article>", '<div class="content">%s</div>'])
+def test_a_wrapper_is_no_aside(mark, frame):
+    body = '<div class="article-header"><h1>Title, here</h1><p>A lead of some words, and more.</p></div><p>Text of the page, long enough.</p><div class="comments-area"><p>No.</p></div>'
+    page = f'<body><nav><a href="/">Home</a></nav><div {mark}>{frame % body}</div><footer>2020</footer></body>'
+    assert html_extract.main_text(page) == "Title, here\nA lead of some words, and more.\nText of the page, long enough."
+
+
 def test_extraction_of_odd_pages(spark):
     cut = "<html><body><article><h1>Long title, here</h1><p>Some text, more. <b>bold words, here &am"
     pages = [(1, "u", None, 9), (2, None, "", 9), (3, "u", "<p", 9), (4, "u", cut, 9), (4, "u", cut, 9), (None, "u", "plain, text. 1 < 2", 9), (5, "u", "<p>" + "word, " * 50_000, 9)]
