@@ -2,7 +2,8 @@
 
 A page is read as a list of blocks, each with its path of block-level tags from the root. Text length and punctuation are
 summed per path and divided by the number of blocks there; both ratios are smoothed over the paths with the same parent,
-fused, and damped by the share of linked text. Paths above a share of the best one hold the article. Parts that are
+fused, and damped by the share of linked text. Paths above a share of the best one hold the article, and the element
+around them is read whole but for paths that are mostly links. Parts that are
 never article text by their tag or by the class, id or role of an element (menus, adverts, comments and so
 on) have no weight, and a page that marks its article is read inside that mark alone. What holds the marked article is no such
 part, and neither is what has the class or id of one but holds most of the text of a page without a mark.
@@ -63,9 +64,13 @@ class Block:
     element: int = -1
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    read: str | None = None
 
     def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+        """Ask for it when the page is read to the end: it is put together once."""
+        if self.read is None:
+            self.read = " ".join("".join(self.parts).split())
+        return self.read
 
 
 def _names_aside(value: str, in_article: bool) -> bool:
@@ -101,25 +106,28 @@ def _is_aside(name: str, attrs: str, in_article: bool) -> int:
 
 @dataclass
 class Element:
-    """``aside`` as by _is_aside, of the element alone; ``size`` is its text without links, all elements inside included."""
+    """``aside`` as by _is_aside, of the element alone; a ``frame`` may be the root of the content; ``size`` is the text
+    without links, all elements inside included."""
 
     parent: int
     aside: int
     article: bool
     hidden: bool
+    frame: bool
     size: int = 0
 
 
 def _free(elements: list[Element], out: list[Block], most: float) -> None:
     """Take the aside mark from what holds the page's article, and from marks by class or id that hold most of the text."""
-    for b in out:
+    sizes = [max(0, len(t) - t.count(" ") - b.linked) for b in out for t in (b.text(),)]
+    for b, size in zip(out, sizes, strict=True):
         if b.element >= 0 and not elements[b.element].hidden:
-            elements[b.element].size += max(0, len("".join(b.text().split())) - b.linked)
+            elements[b.element].size += size
     for e in reversed(elements):
         if e.parent >= 0:
             elements[e.parent].size += e.size
     whole = sum(e.size for e in elements if e.parent < 0)
-    plain = sum(max(0, len("".join(b.text().split())) - b.linked) for b in out if not b.aside)
+    plain = sum(size for b, size in zip(out, sizes, strict=True) if not b.aside)
     marked = [k for k, e in enumerate(elements) if e.article and (e.parent < 0 or not elements[e.parent].article)]
     freed = False
     if marked:
@@ -205,7 +213,7 @@ def _read(page: str, most: float) -> tuple[list[Block], list[Element]]:
         around = stack[-1] if stack else ("", False, False, -1)
         aside = _is_aside(name, attrs, around[2])
         hidden = aside == 3 or around[3] >= 0 and elements[around[3]].hidden
-        elements.append(Element(around[3], aside, around[2] or name in ARTICLE_TAGS, hidden))
+        elements.append(Element(around[3], aside, around[2] or name in ARTICLE_TAGS, hidden, name not in INLINE and name not in ("html", "body", "p")))
         stack.append((name, around[1] or aside > 0, around[2] or name in ARTICLE_TAGS, len(elements) - 1))
     add(page[at:])
     _free(elements, out, most)
@@ -218,10 +226,11 @@ class ExtractConfig:
     least_share: float = 0.1
     most_linked: float = 0.7
     most_text: float = 0.75
+    root_share: float = 0.8
 
 
-def content_paths(found: list[Block], cfg: ExtractConfig) -> set[str]:
-    """Paths whose smoothed, fused ratios reach the threshold. ``found`` holds no asides and no empty blocks."""
+def content_paths(found: list[Block], cfg: ExtractConfig) -> tuple[set[str], set[str]]:
+    """Paths whose smoothed, fused ratios reach the threshold, and those that are mostly links. ``found`` holds no asides and no empty blocks."""
     sums: dict[str, list[float]] = {}
     for b in found:
         text = b.text()
@@ -239,16 +248,48 @@ def content_paths(found: list[Block], cfg: ExtractConfig) -> set[str]:
         n, n_chars, _, linked = sums[p]
         scores[p] = 0.0 if linked > cfg.most_linked * n_chars else chars * (1 + marks) * (1 - linked / max(n_chars, 1))
     most = max(scores.values(), default=0)
-    return {p for p, s in scores.items() if s > 0 and s >= cfg.least_share * most}
+    return {p for p, s in scores.items() if s > 0 and s >= cfg.least_share * most}, {p for p, s in scores.items() if s <= 0}
+
+
+def content_root(content: list[Block], elements: list[Element], share: float) -> int:
+    """The deepest element, inline ones and paragraphs aside, that holds ``share`` of the text of the blocks ``content``; -1 for the page."""
+    held = [0] * len(elements)
+    for b in content:
+        if b.element >= 0:
+            held[b.element] += len(b.text())
+    for k in range(len(elements) - 1, -1, -1):
+        if elements[k].parent >= 0:
+            held[elements[k].parent] += held[k]
+    whole = sum(len(b.text()) for b in content)
+    # Elements come before those inside them, and no two apart hold more than half each.
+    return max((k for k, n in enumerate(held) if n >= share * whole and elements[k].frame), default=-1)
 
 
 def main_text(page: str | None, cfg: ExtractConfig = ExtractConfig()) -> str:
-    """Text of the blocks on content paths, in page order, one line each."""
-    found = [b for b in blocks(page or "", cfg.most_text) if not b.aside and b.text()]
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
-    paths = content_paths(found, cfg)
-    return "\n".join(b.text() for b in found if b.path in paths)
+    """Text of the main blocks in page order, one line each.
+
+    In a marked article these are all blocks but those on paths that are mostly links. Otherwise they are the blocks on
+    content paths, with all others inside the element that holds nearly all of the text of these, or, if that
+    is the whole page, all others between the first and the last of them.
+    """
+    found, elements = _read(page or "", cfg.most_text)
+    found = [b for b in found if not b.aside and b.text()]
+    marked = [b for b in found if b.article]
+    paths, linked = content_paths(marked or found, cfg)
+    if marked:
+        return "\n".join(b.text() for b in marked if b.path not in linked)
+    at = [k for k, b in enumerate(found) if b.path in paths]
+    if not at:
+        return ""
+    root = content_root([found[k] for k in at], elements, cfg.root_share)
+    inside: list[bool] = []
+    for k, e in enumerate(elements):
+        inside.append(root >= 0 and (k == root or e.parent >= 0 and inside[e.parent]))
+
+    def kept(k: int, b: Block) -> bool:
+        return b.path in paths or b.path not in linked and (at[0] < k < at[-1] or b.element >= 0 and inside[b.element])
+
+    return "\n".join(b.text() for k, b in enumerate(found) if kept(k, b))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", cfg: ExtractConfig = ExtractConfig()) -> DataFrame:

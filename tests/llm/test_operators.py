@@ -458,6 +458,15 @@ def test_a_wrapper_is_no_aside(mark, frame):
     assert html_extract.main_text(page) == "Title, here\nA lead of some words, and more.\nText of the page, long enough."
 
 
+@pytest.mark.parametrize("frame", ["<article>%s</article>", '<div class="content"><section>%s</section></div>', "%s"])
+def test_short_parts_of_the_article_are_kept(frame):
+    long = "<p>" + "word, " * 60 + "end.</p>"
+    links = "<ol><li><a href='/a'>Elsewhere</a></ol>"
+    body = f"{long}<ul><li>one<li>two</ul><table><tr><td>cell</td></tr></table><figure><figcaption>caption</figcaption></figure>{links}{long}"
+    text = html_extract.main_text(f"<body><nav>Menu</nav>{frame % body}<footer>2020</footer></body>").split("\n")
+    assert text[1:-1] == ["one", "two", "cell", "caption"]
+
+
 def test_extraction_of_odd_pages(spark):
     cut = "<html><body><article><h1>Long title, here</h1><p>Some text, more. <b>bold words, here &am"
     pages = [(1, "u", None, 9), (2, None, "", 9), (3, "u", "<p", 9), (4, "u", cut, 9), (4, "u", cut, 9), (None, "u", "plain, text. 1 < 2", 9), (5, "u", "<p>" + "word, " * 50_000, 9)]
