@@ -28,6 +28,7 @@ REPORTING = frozenset(
     "dit disait écrit appelé citation mot terme dijo dice llamó escribió cita palabra término".split()
 )
 ADDRESS = frozenset("you your you're u du dein deine ihr euch dich tu toi vous votre tes te tú usted ustedes vosotros eres es-tu".split())
+MARKS = "#%&$*+=/\\|^@"
 EDGE = "\"“”„«»‹›‘’'`.,;:!?()[]{}<>*_~-"
 
 
@@ -48,31 +49,39 @@ class ToxicityConfig:
 
 
 def edits(word: str) -> int:
-    """Edits allowed for a lexicon word: none up to four letters, one up to eight, else two."""
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    """Edits allowed for a lexicon word: none up to three letters, one up to eight, else two."""
+    return 0 if len(word) < 4 else 1 if len(word) < 9 else 2
+
+
+def stem_edits(stem: str) -> int:
+    """Edits allowed for a stem: none up to four letters, else one. Most words are near to some short beginning."""
+    return 0 if len(stem) < 5 else 1
 
 
 class Lexicon:
-    """Trie of words and stems with their automata; ``match`` gives (kind, edits) of a word or None."""
+    """Trie of words and stems with their automata; ``match`` gives (kind, edits) of a word or None.
+
+    A word that no other form matches may begin with a stem misspelled by one edit.
+    """
 
     def __init__(self, words: list[str], stems: list[str], states: int = 50_000):
         self.limit = states
         self.children: list[dict[str, int]] = [{}]
-        self.allowed, self.end, self.stem = [0], [-1], [False]
+        self.allowed, self.end, self.stem = [0], [-1], [-1]
         for word, is_stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
             node = 0
             for c in word:
-                if not is_stem:
-                    self.allowed[node] = max(self.allowed[node], edits(word))
+                self.allowed[node] = max(self.allowed[node], stem_edits(word) if is_stem else edits(word))
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.allowed.append(0)
                     self.end.append(-1)
-                    self.stem.append(False)
+                    self.stem.append(-1)
                 node = self.children[node][c]
             if is_stem:
-                self.stem[node] = True
+                self.stem[node] = stem_edits(word)
+                self.allowed[node] = max(self.allowed[node], stem_edits(word))
             else:
                 self.end[node] = edits(word)
                 self.allowed[node] = max(self.allowed[node], edits(word))
@@ -117,18 +126,19 @@ class Lexicon:
     def match(self, word: str) -> tuple[str, int] | None:
         if len(self.items) > self.limit:
             self.reset()
-        state, stem = self.start, False
+        state, stem, near = self.start, False, False
         for c in word:
             to = self.steps[state].get(c)
             state = self._step(state, c) if to is None else to
             if state < 0:
                 break
-            stem = stem or any(e == 0 and self.stem[node] for node, e in self.items[state])
+            met = [e for node, e in self.items[state] if e <= self.stem[node]]
+            stem, near = stem or 0 in met, near or 1 in met
         else:
             best = min((e for node, e in self.items[state] if e <= self.end[node]), default=None)
             if best is not None and not (stem and best):
                 return "word", best
-        return ("stem", 0) if stem else None
+        return ("stem", 0) if stem else ("stem", 1) if near else None
 
 
 class Scanner:
@@ -156,15 +166,35 @@ class Scanner:
         return score >= 1
 
     def features(self, text: str | None) -> list[float]:
+        return self.evidence(text)[:6]
+
+    def evidence(self, text: str | None) -> list[float]:
+        """The features, and those of misspelled stems, misspelled four-letter words and disguised terms.
+
+        A term is disguised if what it is misspelled with is no letter. It counts as the term, and its own weight corrects
+        that where examples show false alarms; without an example it weighs like the term.
+        """
         tokens = (text or "").lower().split()
         known, lookup = self.known, self._lookup
         counts = np.zeros(5)  # exact, one edit, two edits, stem, quoted
+        near, short, odd = 0, 0, 0
         for at, token in enumerate(tokens):
             found = known[token] if token in known else lookup(token)
             if found is not None:
                 kind, e = found
-                counts[4 if self._quoted(tokens, at) else 3 if kind == "stem" else e] += 1
-        return [*np.log1p(counts), float(counts[:4].sum() > 0)]
+                bare = token.strip(EDGE)
+                if self._quoted(tokens, at):
+                    counts[4] += 1
+                elif e and any(not c.isalpha() for c in bare[: len(bare.rstrip(MARKS))]):
+                    counts[3 if kind == "stem" else 0] += 1
+                    odd += 1
+                elif kind == "stem":
+                    counts[3] += not e
+                    near += e
+                else:
+                    counts[e] += 1
+                    short += e == 1 and len(bare) < 6
+        return [*np.log1p(counts), float(counts[:4].sum() > 0), *(float(np.log1p(n)) for n in (near, short, odd))]
 
 
 def apart(sample: list[tuple[str, int]], size: int = 16) -> list[tuple[str, int]]:
@@ -188,7 +218,7 @@ def learn_lexicon(sample: list[tuple[str, int]], cfg: ToxicityConfig) -> tuple[l
     """Words, and stems of at least three words, whose count in toxic texts stands out from that in the others.
 
     A stem may also stand out by the texts that hold ``family_words`` words of it, since ordinary texts may meet one by
-    chance. Words of a chosen stem are left to the stem, so that no edits are allowed on them.
+    chance. Words of a chosen stem are left to the stem, whose edits are its own.
     """
     total = np.bincount([y for _, y in sample], minlength=2)
     words, stems, often, family = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter()), {}
@@ -242,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     if any({y for _, y in half} != {0, 1} for half in halves):
         return None
     scanner = Scanner(Lexicon(*learn_lexicon(halves[0], cfg), cfg.remembered_states), cfg)
-    x = np.array([scanner.features(t) for t, _ in halves[1]])
+    x = np.array([scanner.evidence(t) for t, _ in halves[1]])
     y = np.array([y for _, y in halves[1]])
     weight = np.array([counts[k] for k in (0, 1)])[y] / np.bincount(y, minlength=2)[y]
     return ToxicityModel(*learn_lexicon(sample, cfg), logistic.fit(x, y, weight, ridge=0.1))
@@ -258,7 +288,7 @@ def toxicity(text: Column, model: ToxicityModel | None, cfg: ToxicityConfig = To
             if scanner is None or not len(texts):
                 yield pa.array(np.zeros(len(texts)))
             else:
-                x = np.array([scanner.features(t.as_py()) for t in texts])
+                x = np.array([scanner.evidence(t.as_py()) for t in texts])
                 yield pa.array(logistic.predict(model.weights, x))
 
     return score(text)

@@ -390,6 +390,15 @@ def test_quotation_is_told_from_abuse():
     assert scanner.features(None) == scanner.features("") == [0.0] * 6
 
 
+def test_misspelled_stems_and_short_terms_are_matched():
+    lexicon = toxicity.Lexicon(["scum"], ["zorbak"])
+    assert [lexicon.match(w) for w in ("zorbaken", "z0rbaken", "zorbken", "orbaken", "zxxbaken")] == [("stem", 0), *[("stem", 1)] * 3, None]
+    assert [lexicon.match(w) for w in ("scum", "scvm", "scm", "sxxm")] == [("word", 0), ("word", 1), ("word", 1), None]
+    scanner = toxicity.Scanner(lexicon, toxicity.ToxicityConfig())
+    plain, disguised, near, short = (scanner.evidence(f"a {w} b") for w in ("zorbaken", "z0rbaken", "zarbaken", "scvm"))
+    assert plain[:6] == disguised[:6] and disguised[8] > 0 and near[6] > 0 and near[3] == 0 and short[1] > 0 and short[7] > 0
+
+
 def test_logistic_regression_finds_the_coefficients():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20_000, 2))
