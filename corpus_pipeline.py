@@ -17,8 +17,10 @@ LEAST_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows."""
+    """Documents in a language that the network knows; all with a letter if no row has a language to learn from."""
     net = language_id.fit(docs)
+    if net is None:
+        return docs.where(col(docs, "text").rlike(r"\p{L}"))
     name = free_name(docs, "language")
     known = F.col(name)["lang"].isNotNull() & (F.col(name)["lang"] != language_id.UNKNOWN) & (F.col(name)["score"] >= LEAST_SCORE)
     return docs.withColumn(name, language_id.language(col(docs, "text"), net)).where(known).drop(name)

@@ -511,6 +511,13 @@ def test_pipeline_on_odd_rows(spark, odd, odd_docs, none, tmp_path):
     assert kept["none", "packing"] == []
 
 
+def test_texts_with_a_letter_stay_without_any_language(spark, odd):
+    docs = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in docs.collect()) > 0
+
+
 def test_a_stem_is_a_family_that_toxic_texts_hold_often():
     """One word of the family by chance is no reason; one word alone is a word, not a stem."""
     rng = np.random.default_rng(5)
