@@ -200,6 +200,13 @@ def test_decontamination_equals_brute_force(spark, odd, none):
     assert decontamination.contamination(odd, bench.where("item_id > 50")).where("contaminated").count() == 0
 
 
+def test_short_items_match_whole_documents_alone(spark):
+    """The documented limit of items under five words."""
+    docs = spark.createDataFrame([(1, "One two, three"), (2, "zero one two three four five")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontamination.contamination(docs, items).collect()} == {1: True, 2: False}
+
+
 # --- personal data ----------------------------------------------------------------------------------
 
 PATTERNS = {
