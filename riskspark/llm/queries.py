@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import decontamination, html_extract, language_id, minhash_dedup, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from . import (
+    ann_search, decontamination, html_extract, language_id, minhash_dedup, packing, pii, quality_classifier, quality_rules, sharding, toxicity,
+    vector_codes, whitening,
+)
 from .tables import read
 
 # Words and distinct shingles of a document in SQL; `documents.text` may be null.
@@ -139,3 +142,46 @@ def _quality_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_html_extraction")
 def _html(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract(read(spark, d, "pages"))
+
+
+# --- embeddings -------------------------------------------------------------------------------------
+
+
+@query("op11_ann_search")
+def _ann_search(spark: SparkSession, d: str) -> DataFrame:
+    return ann_search.search(read(spark, d, "embeddings"))
+
+
+@query("op12_embedding_whitening")
+def _whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(read(spark, d, "embeddings"))
+
+
+def _codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """The rounds written out one after the other, each a full scan of every codebook."""
+    steps = [f"""kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+numbered as (select row_number() over (order by vec_id nulls last, x) as r, * from kept),
+cut as (select r, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] as v from numbered, (select unnest(range(0, {parts})) as p)),
+book0 as (select p, r - 1 as e, v from cut where r <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} as (
+  select r, p, v, arg_min(e, (d, e)) as e, min(d) as d from (
+    select r, c.p as p, c.v as v, e, list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+    from cut c join book{i} b on c.p = b.p) group by r, p, v)""")
+        if i < rounds:
+            steps.append(f"""mean{i} as (
+  select p, e, list(m order by j) as v from (
+    select p, e, j, cast(floor(cast(sum(v[j]) as double) / count(*)) as bigint) as m from near{i}, (select unnest(range(1, (select max(len(v)) from cut) + 1)) as j) group by p, e, j) group by p, e),
+book{i + 1} as (select p, e, coalesce(m.v, b.v) as v from book{i} b left join mean{i} m using (p, e))""")
+    return "with " + ",\n".join(steps) + f""",
+flat as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds}),
+done as (select r, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from near{rounds} group by r)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from done join numbered using (r), flat"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def _vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return vector_codes.compress(read(spark, d, "embeddings"))
