@@ -17,19 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import col, hash_sample
-from .text import Words, buffers, slices, split_words
+from .text import Words, buffers, pieces, split_words
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    """The model is fitted on at most ``docs_per_language`` labelled documents of each language, of each of which
-    it sees ``sample_chars`` characters at most. Prediction reads whole texts."""
+    """The model is fitted on at most ``docs_per_language`` distinct labelled texts of each of the ``most_languages``
+    most frequent languages. Of each text it sees ``sample_chars`` characters from a place chosen by the
+    text's hash. Prediction reads whole texts."""
 
     hidden: int = 16
     run_bytes: int = 32
     docs_per_language: int = 300
+    most_languages: int = 200
     sample_chars: int = 1500
     steps: int = 220
     batch: int = 512
@@ -149,7 +151,7 @@ class Network:
             d.sum(axis=(0, 1)),
         ]
 
-    def pooled(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    def pooled(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, chunk: int = 1024) -> np.ndarray:
         """Summed log probabilities over the positions of each run."""
         total = np.zeros((len(start), len(self.labels)), np.float32)
         order = np.argsort(length, kind="stable")
@@ -185,12 +187,17 @@ def train(texts: list[str], labels: list[str], cfg: LangIdConfig) -> Network | N
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", cfg: LangIdConfig = LangIdConfig()) -> Network | None:
-    """Train on ``labelled``: rows without a language or a text are left out. None if no row remains."""
+    """Train on ``labelled``: rows without a language or a text are left out. None if no row remains. Copies of a
+    text count once."""
     rows = labelled.select(col(labelled, lang_col).cast("string").alias("lang"), col(labelled, text_col).alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("text", F.substring("text", 1, cfg.sample_chars))
-    sample = hash_sample(rows, "lang", counts, cfg.docs_per_language, F.col("h"), "text").orderBy("lang", "h", "text").select("lang", "text").collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.count("*").alias("rows"))
+    counts = {r.lang: r.n for r in sizes.orderBy(F.desc("rows"), "lang").limit(cfg.most_languages).collect()}
+    place = F.pmod(F.xxhash64("text", F.lit(cfg.seed)), F.greatest(F.length("text") - cfg.sample_chars, F.lit(0)) + 1) + 1
+    rows = rows.where(F.col("lang").isin(list(counts))).withColumn("text", F.substring(F.col("text"), place, F.lit(cfg.sample_chars)))
+    drawn = hash_sample(rows, "lang", counts, cfg.docs_per_language, F.col("h"), "text", once=["lang", "h"])
+    sample = drawn.orderBy("lang", "h", "text").select("lang", "text").collect()
     return train([r.text for r in sample], [r.lang for r in sample], cfg)
 
 
@@ -237,17 +244,21 @@ def language(text: Column, net: Network | None, cfg: LangIdConfig = LangIdConfig
         memory = net and _Memory(net, cfg.remembered_runs)
         for texts in batches:
             lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            for lo, hi, data, offsets in slices(texts) if net else ():
-                some = runs(split_words(data, offsets), cfg.run_bytes)
-                n = np.bincount(some.row, some.end - some.start, minlength=hi - lo)
-                values = memory.of(some)
-                mean = np.stack([np.bincount(some.row, v, minlength=hi - lo) for v in values.T], axis=1) / np.maximum(n, 1)[:, None]
+            if net:
+                places, total = np.zeros(len(texts)), np.zeros((len(texts), len(net.labels)))
+                letter = np.zeros(len(texts), bool)
+                for lo, hi, data, offsets in pieces(texts, cfg.run_bytes):
+                    some = runs(split_words(data, offsets), cfg.run_bytes)
+                    places[lo:hi] += np.bincount(some.row, some.end - some.start, minlength=hi - lo)
+                    total[lo:hi] += np.stack([np.bincount(some.row, v, minlength=hi - lo) for v in memory.of(some).T], axis=1)
+                    letter[lo:hi] |= _has_letter(data, offsets)
+                mean = total / np.maximum(places, 1)[:, None]
                 p = np.exp(mean - mean.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
-                known = np.flatnonzero(_has_letter(data, offsets))
+                known = np.flatnonzero(letter)
                 best = p[known].argmax(axis=1)
-                lang[lo + known] = np.array(net.labels, object)[best]
-                score[lo + known] = p[known, best]
+                lang[known] = np.array(net.labels, object)[best]
+                score[known] = p[known, best]
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
     return predict(text)

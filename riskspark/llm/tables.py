@@ -75,8 +75,9 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     )
 
 
-def hash_sample(rows: DataFrame, group: str, counts: dict, most: int, h: Column, tie: str) -> DataFrame:
-    """The ``most`` rows of each group that come first by the hash ``h``; ``counts`` has the rows of every group.
+def hash_sample(rows: DataFrame, group: str, counts: dict, most: int, h: Column, tie: str, once: list[str] | None = None) -> DataFrame:
+    """The ``most`` rows of each group that come first by the hash ``h``; ``counts`` has the rows of every group. Of rows
+    equal in the columns ``once`` one is ranked, and ``counts`` should count them so.
 
     A threshold on the hash leaves about three times as many rows before they are ranked, so the ranking of a group
     is as small for any input. Equal hashes may leave fewer rows.
@@ -88,6 +89,7 @@ def hash_sample(rows: DataFrame, group: str, counts: dict, most: int, h: Column,
             limit = F.when(F.col(group) == key, F.lit(3 * most * steps // n + 1)).otherwise(limit)
     place = free_name(rows, "place")
     first = rows.withColumn(place, F.pmod(h, F.lit(steps))).where(F.col(place) < limit)
+    first = first.dropDuplicates(once) if once else first
     nth = F.row_number().over(Window.partitionBy(group).orderBy(place, h, tie))
     return first.withColumn(place, nth).where(F.col(place) <= most).drop(place)
 

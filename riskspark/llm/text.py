@@ -13,9 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 """Texts are handled in slices of about this many bytes, which bounds the memory of the numpy passes."""
 
+SLICE_ROWS = 512
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -32,7 +34,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         step = np.full(max(n, 1), base, np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 2 * SLICE_BYTES:
             _powers[int(base)] = have
     return have[:n]
 
@@ -61,11 +63,19 @@ class Words:
         return len(self.offsets) - 1
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-        poly = (sums[self.end] - sums[self.start]) * _power(_INVERSE, n + 1)[self.start]
-        return mix(poly + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """Hashes of the words, which stand in reading order; bytes are read in runs of whole words."""
+        out, first = np.empty(len(self.start), np.uint64), 0
+        while first < len(out):
+            lo = self.start[first]
+            last = max(first + 1, int(np.searchsorted(self.end, lo + SLICE_BYTES, "right")))
+            start, end = self.start[first:last] - lo, self.end[first:last] - lo
+            n = int(end[-1])
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data[lo : lo + n].astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
+            poly = (sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start]
+            out[first:last] = mix(poly + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            first = last
+        return out
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.row, minlength=self.n_rows).astype(np.int64)
@@ -88,13 +98,28 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows of about ``limit`` bytes; a long text stays whole."""
-    data, offsets = buffers(texts)
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(n, max(last, first + 1))
-        yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
+    for at in range(0, len(texts), SLICE_ROWS):
+        data, offsets = buffers(texts.slice(at, SLICE_ROWS))
+        first, n = 0, len(offsets) - 1
+        while first < n:
+            last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
+            last = min(n, max(last, first + 1))
+            yield at + first, at + last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            first = last
+
+
+def pieces(texts: pa.Array, run: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Like ``slices``, but a text longer than ``limit`` comes in several pieces under its row: cut after white space, or
+    inside a word that is longer than a piece at a multiple of ``run`` bytes from its start."""
+    limit = limit // run * run
+    for lo, hi, data, offsets in slices(texts, limit):
+        at = 0
+        while len(data) - at > limit:
+            blank = np.flatnonzero(_SPACE[data[at : at + limit]])
+            end = at + (int(blank[-1]) + 1 if len(blank) else limit)
+            yield lo, hi, data[at:end], np.array([0, end - at])
+            at = end
+        yield (lo, hi, data[at:], np.array([0, len(data) - at])) if at else (lo, hi, data, offsets)
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:

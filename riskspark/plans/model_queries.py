@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import confidence, entity_name, round_percent, stack, text
-from ..operators import cohort, distribution, evaluate, explain, score, splits, train
+from ..functions import argmax_class, confidence, entity_name, round_percent, stack, text
+from ..operators import boosting, cohort, distribution, evaluate, explain, kernel_explain, score, splits, train, tree_explain
 from ..operators.prepare import available_features
 from ..sources import model_store
 from ..sources.staging import stage, work_path
@@ -370,6 +371,96 @@ def _attribution_direction(spark, d):
     return rows.groupBy("feature", "direction").agg(F.expr("count(1) as n"))
 
 
+# A fixed softmax model and fixed trees stand in for fitted ones, so that every subset of features can be written out in SQL.
+EXPLAINED = ("s3", "s4", "s5", "s6")
+SOFTMAX = kernel_explain.SoftmaxModel(
+    EXPLAINED, np.array([[-0.5, -1.25, 0.25, -0.75], [0.25, 0.5, -0.75, 0.5], [0.5, 1.0, 0.25, 1.5]]), np.array([0.5, 0.25, -0.5]),
+    np.array([30.0, 35.0, 25.0, 30.0]), np.array([15.0, 10.0, 20.0, 25.0]),
+)
+# Nodes as (left, right, feature, threshold, weight, class outputs).
+FIXED_TREES = (
+    {
+        0: (1, 2, 1, 36.0, 100.0, None), 1: (3, 4, 3, 20.0, 60.0, None), 2: (5, 6, 0, 45.0, 40.0, None),
+        3: (-1, -1, -1, 0.0, 25.0, (0.5, 0.1, 0.0)), 4: (7, 8, 1, 30.0, 35.0, None), 5: (-1, -1, -1, 0.0, 30.0, (0.1, 0.3, 0.2)),
+        6: (-1, -1, -1, 0.0, 10.0, (0.0, 0.1, 0.5)), 7: (-1, -1, -1, 0.0, 15.0, (0.3, 0.2, 0.1)), 8: (-1, -1, -1, 0.0, 20.0, (0.2, 0.4, 0.0)),
+    },
+    {
+        0: (1, 2, 2, 20.0, 80.0, None), 1: (3, 4, 3, 30.0, 50.0, None), 2: (-1, -1, -1, 0.0, 30.0, (0.05, 0.2, 0.15)),
+        3: (-1, -1, -1, 0.0, 20.0, (0.3, 0.1, 0.0)), 4: (-1, -1, -1, 0.0, 30.0, (0.0, 0.05, 0.35)),
+    },
+)
+
+
+def _tree_expr(nodes: dict, k: int, at: int = 0, known: str | None = None) -> str:
+    """Output k of a tree (SQL text); with ``known``, a bit mask, unknown features are split by weight."""
+    left, right, feature, threshold, weight, value = nodes[at]
+    if left < 0:
+        return f"{value[k]!r}e0"
+    low, high = (_tree_expr(nodes, k, c, known) for c in (left, right))
+    way = f"case when {EXPLAINED[feature]} <= {threshold!r}e0 then {low} else {high} end"
+    if known is None:
+        return way
+    shares = [nodes[c][4] / weight for c in (left, right)]
+    return f"case when ({known} >> {feature}) & 1 = 1 then {way} else {shares[0]!r}e0 * {low} + {shares[1]!r}e0 * {high} end"
+
+
+def _output(k: int, known: str | None = None) -> str:
+    return "(" + " + ".join(_tree_expr(t, k, known=known) for t in FIXED_TREES) + ")"
+
+
+def _subsets_sql(head: str, value: str) -> str:
+    """Contributions as the average change over all subsets ``c`` of the four features; ``value`` may use rows and ``c``."""
+    cells = "case pred " + " ".join(f"when {k} then {value.format(k=k)}" for k in range(3))
+    per_feature = sql_union(
+        f"select a.entity_id as entity_id, '{f}' as feature, any_value({f}) as value, "
+        f"round(sum((b.v - a.v) * case bit_count(a.c) when 0 then 0.25e0 when 3 then 0.25e0 else 1e0 / 12 end), 6) as contribution "
+        f"from worth a join worth b on a.entity_id = b.entity_id and b.c = a.c + {1 << j} where (a.c >> {j}) & 1 = 0 group by a.entity_id"
+        for j, f in enumerate(EXPLAINED)
+    )
+    return f"""with {ENTITY_SQL}, {head}, worth as (select *, {cells} end as v from explained, range(0, 16) t(c)), parts as ({per_feature})
+select entity_id, feature, value, contribution, cast(row_number() over (partition by entity_id order by abs(contribution) desc, feature) as integer) as rank,
+case when contribution > 0 then 'raises' else 'lowers' end as direction from parts"""
+
+
+def _logit(k: int, c: str | None) -> str:
+    m = SOFTMAX
+    known = [f" * (({c} >> {j}) & 1)" if c else "" for j in range(4)]
+    return "(" + " + ".join([repr(float(m.intercept[k])) + "e0"] + [
+        f"({float(m.coef[k, j])!r}e0) * ({f} - {float(m.centre[j])!r}e0) / {float(m.spread[j])!r}e0{known[j]}" for j, f in enumerate(EXPLAINED)
+    ]) + ")"
+
+
+_LOGITS = [_logit(k, None) for k in range(3)]
+_SOFTMAX_SQL = _subsets_sql(
+    f"""scored_z as (select entity_id, s3, s4, s5, s6, {', '.join(f'{z} as z{k}' for k, z in enumerate(_LOGITS))} from entity),
+explained as (select * exclude (z0, z1, z2), case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end as pred from scored_z)""",
+    "exp(LOGIT{k}) / (exp(LOGIT0) + exp(LOGIT1) + exp(LOGIT2))",
+).replace("LOGIT0", _logit(0, "c")).replace("LOGIT1", _logit(1, "c")).replace("LOGIT2", _logit(2, "c"))
+
+
+@query("attribution_kernel", _SOFTMAX_SQL)
+def _attribution_kernel(spark, d):
+    """Kernel contributions of a fixed softmax model to the probability of each entity's predicted class."""
+    wide = kernel_explain.kernel_contributions(entity_table(spark, d, context=False), SOFTMAX, "entity_id")
+    return explain.attribution(wide, EXPLAINED, "entity_id")
+
+
+_TREES_SQL = _subsets_sql(
+    f"""scored_z as (select entity_id, s3, s4, s5, s6, {', '.join(f'{_output(k)} as z{k}' for k in range(3))} from entity),
+explained as (select * exclude (z0, z1, z2), case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end as pred from scored_z)""",
+    "OUTPUT{k}",
+).replace("OUTPUT0", _output(0, "c")).replace("OUTPUT1", _output(1, "c")).replace("OUTPUT2", _output(2, "c"))
+
+
+@query("attribution_trees", _TREES_SQL)
+def _attribution_trees(spark, d):
+    """Exact contributions of two fixed trees to the output of each entity's predicted class."""
+    entities = entity_table(spark, d, context=False).selectExpr("entity_id", *EXPLAINED, *[f"{_output(k)} as z{k}" for k in range(3)])
+    scored = entities.selectExpr("*", f"{argmax_class('z0', 'z1', 'z2')} as pred")
+    table = tree_explain.tree_table(FIXED_TREES, np.array, len(EXPLAINED), 3)
+    return explain.attribution(tree_explain.explained(scored, table, EXPLAINED, "entity_id"), EXPLAINED, "entity_id")
+
+
 SCENARIOS = {"intervention": ENTITY.overrides, "order value only": ENTITY.overrides[2:3]}
 # SQL least and greatest skip a missing argument, so s1, the one component with gaps, is guarded.
 _CHANGED = {
@@ -502,11 +593,55 @@ def _model_store(spark, d):
     return score.score_table(frame, loaded.score, ENTITY).select("entity_id", "pred", "p0", "p1", "p2")
 
 
+def _explained(spark, d, name, params, contributions):
+    """Fit one model on all features, explain every entity's predicted class, and give the twelve largest contributions."""
+    frame = _frame(spark, d)
+    model = train.fit_model(name, frame.filter("split = 'train'"), ENTITY, available_features(frame, ENTITY.features), params)
+    return explain.attribution(contributions(frame, model), model.features, "entity_id", top=12)
+
+
+def _tree_parts(frame, model):
+    return tree_explain.tree_contributions(frame, model, "entity_id")
+
+
 @query("attribution")
 def _attribution(spark, d):
-    """Sampled contributions of a small forest for every entity."""
+    """Exact contributions of a decision tree at the library's settings for every entity."""
+    return _explained(spark, d, train.TREE, None, _tree_parts)
+
+
+@query("attribution_forest")
+def _attribution_forest(spark, d):
+    """Exact contributions of a forest at the library's settings, 200 trees of depth 12, for every entity."""
+    return _explained(spark, d, train.FOREST, None, _tree_parts)
+
+
+@query("attribution_logistic")
+def _attribution_logistic(spark, d):
+    """Kernel contributions over all coalitions for the logistic model at the library's settings, for every entity."""
+
+    def parts(frame, model):
+        return kernel_explain.kernel_contributions(frame, kernel_explain.softmax_model(model, spark), "entity_id")
+
+    return _explained(spark, d, train.LOGISTIC, None, parts)
+
+
+@query("attribution_sampled")
+def _attribution_sampled(spark, d):
+    """Contributions of a decision tree by two sampled feature orders and their reverses, which serves any scorer."""
     frame = _frame(spark, d)
     model = _fit(frame, train.TREE)
     background = {c: m for c, (m, _) in train.fit_scaler(frame.filter("split = 'train'"), model.features).items()}
     wide = explain.sampled_contributions(frame, model.score, model.features, background, "entity_id", pairs=2)
     return explain.attribution(wide, model.features, "entity_id", top=12)
+
+
+@query("train_joint_boosted")
+def _train_joint(spark, d):
+    """Joint softmax boosting and one boosted model per class with the same settings, on the held-out rows."""
+    frame = _frame(spark, d)
+    features = available_features(frame, ENTITY.features)
+    joint = boosting.fit_joint(frame.filter("split = 'train'"), ENTITY, features, SMALL[train.BOOSTED])
+    apart = _fit(frame, train.BOOSTED)
+    scored = train.holdout_scores(joint, frame, ENTITY).unionByName(train.holdout_scores(apart, frame, ENTITY))
+    return evaluate.model_metrics(stage(scored, "holdout"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import class_label, display_name, half_up, stack, text, weighted_total
-from ..operators import cohort, distribution, prepare, profile, splits
-from ..sources.staging import work_path
+from ..operators import cohort, cube, distribution, prepare, profile, sketches, splits
+from ..sources.staging import stage, work_path
 from ..sources.tables import csv_ingest
 from .binding import ENTITY, ENTITY_SQL, entity_table, labelled, r, table
 from .registry import query
@@ -317,6 +318,86 @@ def _cohort_contrast(spark, d):
     return cohort.cohort_contrast(labelled(entity_table(spark, d)), ENTITY, CONTRASTS, "seg")
 
 
+CUBE_DIMS = ("seg", "status", "region")
+CUBE_MEASURES = ("score", *ENTITY.summary_means.values())
+
+
+def _cube(spark, d):
+    """Cells per region of the table, put together, then summed over every subset of the dimensions; stored."""
+    rows = labelled(entity_table(spark, d))
+    known = cube.cohort_cells(rows.filter("region in ('AFRICA', 'ASIA')"), ENTITY, CUBE_DIMS, CUBE_MEASURES)
+    added = cube.cohort_cells(rows.filter("coalesce(region, '') not in ('AFRICA', 'ASIA')"), ENTITY, CUBE_DIMS, CUBE_MEASURES)
+    return stage(cube.cohort_cube(known.unionByName(added), ENTITY, CUBE_DIMS), "cube")
+
+
+@query("cohort_cube", f"""{WITH} select seg, status, region, n_lines, cast(grouping(seg, status, region) as integer) as level, count(*) as n,
+{', '.join(f'count(*) filter (where label = {k}) as n_{name}' for k, name in enumerate(cohort.LEVELS))},
+{', '.join(f'count({c}) as c{i}, round(sum({c}), 3) as s{i}' for i, c in enumerate(CUBE_MEASURES))}
+from labelled group by grouping sets (
+{', '.join('(' + ', '.join([*some, 'n_lines']) + ')' for k in range(4) for some in combinations(CUBE_DIMS, k))})""")
+def _cohort_cube(spark, d):
+    sums = [f"s{i}" for i in range(len(CUBE_MEASURES))]
+    return _cube(spark, d).withColumns({c: F.round(c, 3) for c in sums})
+
+
+@query("cohort_cube_kpis", " union all ".join(f"""select * from ({WITH}, c as (select *, {cond} as inside from labelled)
+select '{name}' as cohort, count(*) filter (where inside) as n, count(*) as n_total,
+{_class_sql('count(*) filter (where inside)', 'case when inside then label end')},
+round(avg(case when inside then score end), 1) as avg_total,
+{', '.join(f'round(avg(case when inside then {c} end), 1) as {a}' for a, c in ENTITY.summary_means.items())} from c)"""
+    for name, cond in (("all", "true"), ("buildings", "seg = 'BUILDING' and n_lines between 2 and 6"), ("none", "status = 'X'"),
+                       ("finished in Asia", "status = 'F' and region = 'ASIA'"))))
+def _cohort_cube_kpis(spark, d):
+    """Four cohorts answered from the stored cube."""
+    stored = _cube(spark, d)
+    asked = {"all": ({}, None), "buildings": ({"seg": "BUILDING"}, (2, 6)), "none": ({"status": "X"}, None), "finished in Asia": ({"status": "F", "region": "ASIA"}, None)}
+    out = None
+    for name, (equals, age) in asked.items():
+        one = cube.kpis_from_cube(stored, ENTITY, CUBE_DIMS, CUBE_MEASURES, equals, age).selectExpr(f"{text(name)} as cohort", "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+CUBE_CONTRASTS = {"region AFRICA": ("region", "AFRICA"), "status F": ("status", "F")}
+
+
+@query("cohort_cube_contrast", f"{WITH} " + sql_union(
+    _contrast_sql(n, CONTRASTS[n], total) for n in CUBE_CONTRASTS for total in (True, False)
+))
+def _cohort_cube_contrast(spark, d):
+    return cube.contrasts_from_cube(_cube(spark, d), ENTITY, CUBE_DIMS, CUBE_MEASURES, CUBE_CONTRASTS, "seg")
+
+
+_GROWTH = sketches._growth(sketches.ERROR)
+
+
+def _sketch_sql(c: str) -> str:
+    picks = ", ".join(
+        f"round(min(case when upto > floor({p}e0 * (total - 1)) then middle end), 6) as {sketches.quantile_name(p)}" for p in (0.25, 0.5, 0.75)
+    )
+    return f"""select '{c}' as feature, max(total) as n, {picks} from (
+  select middle, sum(n) over (order by sgn, sgn * bucket) as upto, sum(n) over () as total from (
+    select sgn, bucket, count(*) as n, case when sgn = 0 then 0 else sgn * 2e0 * exp(bucket * {_GROWTH!r}e0) / (1e0 + exp({_GROWTH!r}e0)) end as middle from (
+      select sign(v) as sgn, case when v = 0 then 0 else ceil(ln(abs(v)) / {_GROWTH!r}e0) end as bucket from (
+        select {c} as v from entity where {c} is not null)) group by sgn, bucket))"""
+
+
+@query("sketch_quantiles", f"{WITH} select feature, cast(n as bigint) as n, p25, p50, p75 from (" + sql_union(_sketch_sql(c) for c in ENTITY.describe_cols) + ")")
+def _sketch_quantiles(spark, d):
+    """Quartiles from the stored cells of three partitions of the table."""
+    rows = entity_table(spark, d, context=False)
+    cells = stage(sketches.quantile_cells(rows, ENTITY.describe_cols, "status"), "cells")
+    found = sketches.merged_quantiles(cells, (0.25, 0.5, 0.75))
+    return found.select("feature", "n", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
+
+
+@query("sketch_distinct")
+def _sketch_distinct(spark, d):
+    """Distinct values and duplicate rows from the stored sketches of three partitions of the table."""
+    rows = entity_table(spark, d, context=False)
+    return sketches.merged_distinct(stage(sketches.distinct_cells(rows, ["entity_id", *ENTITY.describe_cols], "status"), "cells"))
+
+
 # --- distributions ---------------------------------------------------------------------------------
 
 @query("histogram_by_class", f"""{WITH}, span as (select min(score) as lo, max(score) as hi from labelled)
@@ -386,22 +467,43 @@ def _scatter(spark, d):
     return distribution.scatter_points(rows, "s3", "score", "label", "entity_id", 600, 2)
 
 
-@query("lowess_trend", f"""{WITH}, pts as (select s3 as px, score as py from entity where s3 is not null and score is not null),
+def _trend_sql(passes: int) -> str:
+    """The trend with its robustness passes written out one after the other."""
+
+    def lines(cells: str, targets: str, out: str) -> str:
+        return f"""
+{out}_d as (select target, gx, need, n, w, wy, x - gx as u, abs(x - gx) as d from {targets}, {cells}, tot),
+{out}_c as (select *, sum(n) over (partition by target order by d, n, u rows unbounded preceding) - n as seen from {out}_d),
+{out}_b as (select target, max(d) filter (where seen < need) as h from {out}_c group by target),
+{out}_w as (select target, gx, u, w, wy, case when d / h < 1 then pow(1 - pow(d / h, 3), 3) else 0 end as t from {out}_d join {out}_b using (target)),
+{out}_f as (select target, gx, sum(t * w) as w, sum(t * w * u) as wx, sum(t * wy) as wy, sum(t * w * u * u) as wxx, sum(t * wy * u) as wxy from {out}_w group by target, gx),
+{out} as (select target, gx, (wxx * wy - wx * wxy) / (w * wxx - wx * wx) as v, (w * wxy - wx * wy) / (w * wxx - wx * wx) as s from {out}_f)"""
+
+    steps = ["""pts as (select s3 as px, score as py from entity where s3 is not null and score is not null),
 span as (select min(px) as lo, max(px) as hi from pts),
-cells as (select count(*)::double as n, avg(px) as x, avg(py) as y from pts, span
-          group by least(floor((px - lo) / (hi - lo) * 1000), 999)),
-tot as (select sum(n) as nn, min(x) as lo, max(x) as hi from cells),
-grid as (select i as grid, lo + (hi - lo) * i / 99 as gx, floor((2e0 / 3e0) * nn + 1e-10) as need from tot, range(0, 100) t(i)),
-dist as (select grid, gx, need, n, x, y, abs(x - gx) as d from grid, cells),
-cum as (select *, sum(n) over (partition by grid order by d, n, x, y rows unbounded preceding) - n as seen from dist),
-band as (select grid, max(d) filter (where seen < need) as h from cum group by grid),
-w as (select grid, gx, x - gx as u, y, n * case when d / h < 1 then pow(1 - pow(d / h, 3), 3) else 0 end as w from dist join band using (grid)),
-f as (select grid, gx, sum(w) as w, sum(w * u) as wx, sum(w * y) as wy, sum(w * u * u) as wxx, sum(w * u * y) as wxy from w group by grid, gx)
-select cast(grid as integer) as grid, round(gx, 6) as x, round((wxx * wy - wx * wxy) / (w * wxx - wx * wx), 4) as y from f""")
+placed as (select px, py, least(floor((px - lo) / (hi - lo) * 1000), 999) as cell from pts, span),
+cells0 as (select cell, count(*)::double as n, avg(px) as x, count(*)::double as w, sum(py) as wy from placed group by cell),
+tot as (select floor((2e0 / 3e0) * sum(n) + 1e-10) as need, min(x) as lo, max(x) as hi from cells0)"""]
+    for i in range(passes):
+        steps.append(f"""at{i} as (select cell as target, x as gx from cells{i}), {lines(f'cells{i}', f'at{i}', f'line{i}')},
+away{i} as (select cell, px, py, abs(py - (v + s * (px - gx))) as r from placed join line{i} on cell = target),
+half{i} as (select median(r) as m from away{i}),
+cells{i + 1} as (select cell, count(*)::double as n, avg(px) as x, sum(b) as w, sum(b * py) as wy from (
+  select cell, px, py, case when r < 6 * m then pow(1 - pow(r / (6 * m), 2), 2) else 0 end as b from away{i}, half{i}) group by cell)""")
+    steps.append(f"grid as (select i as target, lo + (hi - lo) * i / 99 as gx from tot, range(0, 100) t(i)), {lines(f'cells{passes}', 'grid', 'trend')}")
+    return f"{WITH}, {', '.join(steps)} select cast(target as integer) as grid, round(gx, 6) as x, round(v, 4) as y from trend"
+
+
+@query("lowess_trend", _trend_sql(3))
 def _lowess(spark, d):
     return distribution.lowess_trend(entity_table(spark, d, context=False), "s3", "score")
 
 
+@query("lowess_without_passes", _trend_sql(0))
+def _lowess_plain(spark, d):
+    return distribution.lowess_trend(entity_table(spark, d, context=False), "s3", "score", passes=0)
+
+
 # --- splits ----------------------------------------------------------------------------------------
 
 RANKED_SQL = """ranked as (

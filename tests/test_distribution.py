@@ -68,11 +68,61 @@ def lowess_at(x0, x, y, frac=2 / 3):
 def test_lowess_equals_a_direct_local_fit(spark):
     """Ten distinct x per unit and 1,000 cells: every cell holds one x, so the cells lose nothing."""
     df, x, y, _ = points(spark)
-    rows = distribution.lowess_trend(df, "x", "y", points=15).orderBy("grid").collect()
+    rows = distribution.lowess_trend(df, "x", "y", points=15, passes=0).orderBy("grid").collect()
     grid = np.linspace(x.min(), x.max(), 15)
     assert np.allclose([r["y"] for r in rows], [lowess_at(g, x, y) for g in grid], atol=2e-4)
 
 
+def robust_lowess_at(targets, x, y, passes, frac=2 / 3):
+    """Fits at every point, bisquare weights of its residuals, and so on; at last the fits at the targets."""
+
+    def fit(x0, weight):
+        k = int(frac * len(x) + 1e-10)
+        d = np.abs(x - x0)
+        h = np.sort(d)[k - 1]
+        w = np.sqrt(np.where(d < h, (1 - (d / h) ** 3) ** 3, 0) * weight)
+        return np.linalg.lstsq(np.stack([w, w * (x - x0)], axis=1), y * w, rcond=None)[0][0]
+
+    weight = np.ones(len(x))
+    for _ in range(passes):
+        r = np.abs(y - np.array([fit(v, weight) for v in x]))
+        weight = np.maximum(0, 1 - (r / (6 * np.median(r))) ** 2) ** 2
+    return [fit(v, weight) for v in targets]
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_robust_trend_equals_a_direct_fit_and_ignores_outliers(spark, passes):
+    """500 rows, a tenth of them far off; every cell holds one x. Groups, one of them null, are fitted apart."""
+    rng = np.random.default_rng(12)
+    x = rng.permutation(500) / 10
+    clean_y = np.sin(x / 8) * 10
+    y = clean_y + rng.normal(0, 0.3, 500)
+    far = rng.random(500) < 0.1
+    y[far] += rng.choice([-60, 90], far.sum())
+    label = np.where(np.arange(500) % 2, "a", None)
+    rows = [(float(a), float(b), k) for a, b, k in zip(x, y, label)]
+    df = spark.createDataFrame(rows, "x double, y double, label string").repartition(3)
+    grid = np.linspace(x.min(), x.max(), 9)
+    got = distribution.lowess_trend(df, "x", "y", frac=0.3, points=9, passes=passes).orderBy("grid").collect()
+    assert np.allclose([r["y"] for r in got], robust_lowess_at(grid, x, y, passes, 0.3), atol=2e-4)
+    if passes == 3:
+        plain = distribution.lowess_trend(df, "x", "y", frac=0.3, points=9, passes=0).orderBy("grid").collect()
+        error = [np.abs([r["y"] for r in rows] - np.sin(grid / 8) * 10).max() for rows in (got, plain)]
+        assert error[0] < 1.5 and error[1] > 2 * error[0]
+        for k in ("a", None):
+            mine = label == k if k else np.array([v is None for v in label])
+            part = sorted((r for r in distribution.lowess_trend(df, "x", "y", "label", 0.3, 5000, 4).collect() if r["label"] == k), key=lambda r: r["grid"])
+            ends = np.linspace(x[mine].min(), x[mine].max(), 4)
+            assert np.allclose([r["y"] for r in part], robust_lowess_at(ends, x[mine], y[mine], 3, 0.3), atol=2e-4)
+
+
+def test_trend_of_a_line_has_no_residuals(spark):
+    """A median residual of zero leaves only points on the line; rounding may leave none at all elsewhere."""
+    df = spark.range(100).selectExpr("cast(id as double) as x", "if(id = 50, 7D, 0D) as y")
+    rows = distribution.lowess_trend(df, "x", "y", frac=0.05, points=5).collect()
+    assert len(rows) == 5 and all(r["y"] is None or abs(r["y"]) < 8 for r in rows)
+
+
 def test_lowess_by_group_and_constant_x(spark):
     df, x, y, k = points(spark)
     rows = distribution.lowess_trend(df, "x", "y", by="label", points=5).collect()

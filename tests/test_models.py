@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark import STUDENT, Override
-from riskspark.operators import cohort, evaluate, explain, score, train
+from riskspark.operators import boosting, cohort, evaluate, explain, score, train
 from riskspark.plans.binding import ENTITY, entity_table, fixed_scorer, labelled, table
 from riskspark.sources import model_store
 from riskspark.sources.staging import work_path
@@ -247,3 +247,52 @@ def test_fixed_scorer_is_evaluated_once(spark):
     plan = df.filter("confidence >= 60")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate inline") == 1
     assert "Filter" in plan.split("Generate inline", 1)[0]
+
+
+# --- joint boosting -----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def joint(frame):
+    return boosting.fit_joint(frame.filter("split = 'train'"), ENTITY, FEATURES, {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3})
+
+
+def test_joint_boosting_lowers_the_log_loss_every_round(frame, joint):
+    assert len(joint.losses) == 7 and all(b < a for a, b in zip(joint.losses, joint.losses[1:]))
+    rows = joint.score(frame.filter("split = 'train'")).select("label", "p0", "p1", "p2", "pred").collect()
+    p = np.array([r[1:4] for r in rows])
+    assert np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == [r["pred"] for r in rows]).all()
+    loss = -np.log(p[np.arange(len(p)), [r["label"] for r in rows]]).mean()
+    assert loss == pytest.approx(joint.losses[-1], rel=1e-9)
+
+
+def test_leaf_values_are_newton_steps(frame, joint):
+    """The first round by hand: residuals and curvatures at the class shares, per leaf."""
+    rows = frame.filter("split = 'train'").select(*FEATURES, "label").collect()
+    x, y = np.array([[float(v) for v in r[:-1]] for r in rows]), np.array([r["label"] for r in rows])
+    share = np.exp(joint.start)
+    assert share == pytest.approx(np.bincount(y, minlength=3) / len(y))
+    for k, tree in enumerate(joint.rounds[0]):
+        at = tree.leaves(x)
+        for leaf in np.unique(at):
+            n = (at == leaf).sum()
+            want = 0.3 * ((y[at == leaf] == k) - share[k]).sum() / (n * share[k] * (1 - share[k]) + 1.0)
+            assert tree.value[leaf] == pytest.approx(want) and tree.weight[leaf] == n
+
+
+def test_joint_boosting_beside_one_model_per_class(frame, joint):
+    """With equal rounds, depth and step the joint model's held-out log loss is no worse than that of one-vs-rest."""
+    apart = train.fit_model(train.BOOSTED, frame.filter("split = 'train'"), ENTITY, FEATURES, {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3})
+    loss = {}
+    for model in (joint, apart):
+        held = train.holdout_scores(model, frame, ENTITY)
+        loss[model.name] = held.selectExpr("avg(-ln(greatest(array(p0, p1, p2)[label], 1e-12)))").first()[0]
+    assert loss[boosting.JOINT] <= loss[train.BOOSTED]
+
+
+def test_margin_contributions_sum_up(frame, joint):
+    rows = boosting.margin_contributions(frame.limit(200), joint, "entity_id").collect()
+    x = np.array([[r[c] for c in FEATURES] for r in rows])
+    margin = joint.margins(x)[np.arange(len(rows)), [r["pred"] for r in rows]]
+    total = [r["expected"] + sum(r[f"contribution_{c}"] for c in FEATURES) for r in rows]
+    assert np.allclose(total, margin, atol=1e-9)
