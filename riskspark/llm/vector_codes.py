@@ -77,7 +77,7 @@ def _first_entries(rows: DataFrame, d: int, cfg: CodeConfig) -> np.ndarray:
     """Parts of the rows with the smallest ids, (part, entry, place); at most ``entries`` rows go to the driver."""
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "vec").limit(cfg.entries).select("vec").toArrow()
     x = whole_numbers(matrix(first.column("vec"), d), cfg)
-    return x.reshape(len(x), cfg.parts, -1).transpose(1, 0, 2)
+    return x.reshape(len(x), cfg.parts, x.shape[1] // cfg.parts).transpose(1, 0, 2)
 
 
 def _assigned(state: DataFrame, d: int, books: np.ndarray, moved: np.ndarray | None, cfg: CodeConfig) -> DataFrame:

@@ -34,7 +34,7 @@ def checked(df: DataFrame, columns: dict[str, str], vec_col: str, zero: bool = T
 def matrix(column: pa.Array | pa.ChunkedArray, d: int, kind: type = np.float64) -> np.ndarray:
     """Rows of a list column of ``d`` numbers each."""
     flat = [c.flatten().to_numpy(zero_copy_only=False) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])]
-    return (np.concatenate(flat) if flat else np.zeros(0)).astype(kind, copy=False).reshape(-1, d)
+    return (np.concatenate(flat) if flat else np.zeros(0)).astype(kind, copy=False).reshape(len(column), d)
 
 
 def list_column(rows: np.ndarray) -> pa.Array:
