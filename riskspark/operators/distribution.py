@@ -100,22 +100,31 @@ def density_by_class(
     # moments: one row per class and feature.
     place = f"(value - _lo) / _h * {BINS_PER_BANDWIDTH}"
     shares = (
-        "struct(_b - 1 as _b, -_t * (_t - 1D) * (_t - 2D) / 6D as _w), struct(_b, (_t + 1D) * (_t - 1D) * (_t - 2D) / 2D), "
-        "struct(_b + 1, -(_t + 1D) * _t * (_t - 2D) / 2D), struct(_b + 2, (_t + 1D) * _t * (_t - 1D) / 6D)"
+        "struct(_b - 1 as _b, -_t * (_t - 1D) * (_t - 2D) / 6D as _w), struct(_b, (_t + 1D) * (_t - 1D) * (_t - 2D) / 2D as _w), "
+        "struct(_b + 1 as _b, -(_t + 1D) * _t * (_t - 2D) / 2D as _w), struct(_b + 2 as _b, (_t + 1D) * _t * (_t - 1D) / 6D as _w)"
     )
     bins = (
-        _long(df, values, label).join(F.broadcast(moments), [label, "feature"])
+        _long(df, values, label).join(F.broadcast(moments.filter("_h is not null")), [label, "feature"])
         .selectExpr(q(label), "feature", f"floor({place}) as _b", f"{place} - floor({place}) as _t")
         .selectExpr(q(label), "feature", f"inline(array({shares}))")
         .groupBy(label, "feature", "_b").agg(F.expr("sum(_w) as _w"))
     )
-    packed = bins.groupBy(label, "feature").agg(F.expr(f"collect_list(struct(_b / {BINS_PER_BANDWIDTH} as u, _w as w)) as _bins"))
-    at = packed.join(F.broadcast(moments), [label, "feature"]).selectExpr(
-        "*", f"inline(transform(sequence(0, {points - 1}), i -> struct(i as grid, _lo + (_hi - _lo) * i / {points - 1} as x)))"
-    ).selectExpr("*", "(x - _lo) / _h as _u")
-    near = "aggregate(_bins, 0D, (a, b) -> a + if(abs(_u - b.u) <= 9D, b.w * exp(-0.5D * (_u - b.u) * (_u - b.u)), 0D))"
-    density = f"if(_h is null, null, {near}) / (_n * _h * {math.sqrt(2 * math.pi)!r}D)"
-    return at.selectExpr(f"{q(label)} as label", "feature", "grid", "round(x, 6) as x", f"round({density}, {DENSITY_DIGITS}) as density")
+    # A bin meets only the grid points within nine bandwidths, so a wide range with a narrow bandwidth costs one or none.
+    step = f"((_hi - _lo) / {max(points - 1, 1)} / _h)"
+    near = bins.join(F.broadcast(moments), [label, "feature"]).selectExpr(
+        q(label), "feature", f"_b / {BINS_PER_BANDWIDTH}D as _u", "_w", f"{step} as _step"
+    ).selectExpr("*", "greatest(ceil((_u - 9D) / _step), 0) as _from", f"least(floor((_u + 9D) / _step), {points - 1}) as _to")
+    sums = (
+        near.filter("_from <= _to").selectExpr("*", "explode(sequence(_from, _to)) as grid")
+        .groupBy(label, "feature", "grid").agg(F.expr("sum(_w * exp(-0.5D * pow(grid * _step - _u, 2D))) as _sum"))
+    )
+    grid = moments.selectExpr("*", f"explode(sequence(0L, {points - 1}L)) as grid")
+    at = grid.join(F.broadcast(sums), [label, "feature", "grid"], "left")  # both sides: a row per class, feature and grid point
+    density = f"if(_h is null, null, coalesce(_sum, 0D)) / (_n * _h * {math.sqrt(2 * math.pi)!r}D)"
+    return at.selectExpr(
+        f"{q(label)} as label", "feature", "cast(grid as int) as grid", f"round(_lo + (_hi - _lo) * grid / {max(points - 1, 1)}, 6) as x",
+        f"round({density}, {DENSITY_DIGITS}) as density",
+    )
 
 
 def sample_rows(df: DataFrame, k: int, id_col: str, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ on the coalitions of a row.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -50,24 +51,37 @@ def softmax_model(model: FittedModel, spark: SparkSession) -> SoftmaxModel:
 def coalitions(n: int, most: int | None = None, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Proper subsets of ``n`` features as rows of 0 and 1, and their weights.
 
-    All of them if there are at most ``most`` (2 n + 2048 by default). Otherwise ``most`` subsets are drawn, each with
-    its complement, sizes by their total weight, and count as often as they were drawn.
+    All of them if there are at most ``most`` (2 n + 2048 by default). Otherwise sizes from the outside in are used whole
+    while as many draws as subsets would fall on them, and the rest of ``most`` is drawn from the other sizes, by their
+    total weight and each subset with its complement; these share the weight of their sizes by how often they were drawn.
     """
     most = most or 2 * n + 2048
     if n < 2:
         return np.zeros((0, n)), np.zeros(0)
+    by_size = (n - 1) / (np.arange(1, n) * np.arange(n - 1, 0, -1))  # total weight of the sizes 1 to n - 1
     if n < 63 and 2**n - 2 <= most:
         z = (np.arange(1, 2**n - 1)[:, None] >> np.arange(n) & 1).astype(float)
         size = z.sum(axis=1).astype(int)
-        return z, np.array([(n - 1) / (math.comb(n, s) * s * (n - s)) for s in size])
+        return z, np.array([by_size[s - 1] / math.comb(n, s) for s in size])
+    found, weights = [], []
+    inner = 1  # sizes from here to n - inner are drawn from
+    while 2 * inner < n:
+        share = 2 * by_size[inner - 1] / by_size[inner - 1 : n - inner].sum()
+        if 2 * math.comb(n, inner) > share * (most - len(found)):
+            break
+        for members in itertools.combinations(range(n), inner):
+            z = np.zeros(n)
+            z[list(members)] = 1
+            found += [z, 1 - z]
+        weights += [by_size[inner - 1] / math.comb(n, inner)] * (2 * math.comb(n, inner))
+        inner += 1
+    rest = by_size[inner - 1 : n - inner]
     rng = np.random.default_rng(seed)
-    sizes = np.arange(1, n)
-    by_size = 1.0 / (sizes * (n - sizes))
-    drawn = rng.choice(sizes, most // 2, p=by_size / by_size.sum())
+    drawn = rng.choice(np.arange(inner, n - inner + 1), (most - len(found)) // 2, p=rest / rest.sum())
     order = rng.random((len(drawn), n)).argsort(axis=1).argsort(axis=1)
     z = (order < drawn[:, None]).astype(float)
     z, counts = np.unique(np.concatenate([z, 1 - z]), axis=0, return_counts=True)
-    return z, counts.astype(float)
+    return np.concatenate([np.array(found).reshape(-1, n), z]), np.concatenate([weights, rest.sum() * counts / counts.sum()])
 
 
 def solution(z: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 Quantiles come from counts per logarithmic bucket: a value x falls in bucket ceil(log_g |x|) of its sign, so every
 value of a bucket is within a relative error of the bucket's middle, whatever the data. Counts add up, so
-merging in any order gives the same profile. Distinct counts are HyperLogLog sketches, whose union does not depend on the order either.
+merging in any order gives the same profile. Distinct counts keep the least hash per register, so merging is a minimum; the
+estimate of HyperLogLog (in the form of Ertl, 2017, which needs no correction by size) is taken from whole numbers.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ LEAST = 1e-9
 """Values nearer to zero share the bucket of zero."""
 
 LOG2_REGISTERS = 14
-"""Distinct counts have a relative standard error of about 0.8 %."""
+"""Registers per partition and column. Distinct counts have a relative standard error of about 0.8 %."""
 
 
 def _growth(error: float) -> float:
@@ -42,14 +43,20 @@ def quantile_cells(df: DataFrame, columns: Sequence[str], part: str, error: floa
 
 
 def distinct_cells(df: DataFrame, columns: Sequence[str], part: str) -> DataFrame:
-    """``(part, feature, rows, sketch)``: a sketch of the distinct values of each column, missing ones left out, and
-    under the feature null of the distinct whole rows. One row per partition and column."""
+    """``(part, feature, register, rows, least)``: rows per register of each column and the least rest of their hashes.
+
+    The register null holds the missing values, the feature null the distinct whole rows. At most 2^14 + 1 rows per
+    partition and column, combined in each task first.
+    """
     whole = f"xxhash64({', '.join(q(c) for c in df.columns)})"
     values = ", ".join(f"struct('{i}' as i, cast({q(c)} as string) as v)" for i, c in enumerate(columns))
     rows = df.selectExpr(f"{q(part)} as part", f"inline(array_append(array({values}), struct('row' as i, cast({whole} as string) as v)))")
-    found = rows.groupBy("part", "i").agg(F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg("v", F.lit(LOG2_REGISTERS)).alias("sketch"))
+    hashed = rows.selectExpr("part", "i", "if(v is null, null, xxhash64(v)) as h").selectExpr(
+        "part", "i", f"cast(h & {2**LOG2_REGISTERS - 1} as int) as register", f"shiftrightunsigned(h, {LOG2_REGISTERS}) as rest"
+    )
+    found = hashed.groupBy("part", "i", "register").agg(F.count(F.lit(1)).alias("rows"), F.min("rest").alias("least"))
     names = "case i " + " ".join(f"when '{i}' then {q_text(c)}" for i, c in enumerate(columns)) + " end"
-    return found.selectExpr("part", f"{names} as feature", "rows", "sketch")
+    return found.selectExpr("part", f"{names} as feature", "register", "rows", "least")
 
 
 def q_text(name: str) -> str:
@@ -73,5 +80,16 @@ def merged_quantiles(cells: DataFrame, probs: Sequence[float], error: float = ER
 
 def merged_distinct(cells: DataFrame) -> DataFrame:
     """``(feature, rows, n_distinct)`` over all partitions, and for the feature null the estimated duplicate rows as well."""
-    found = cells.groupBy("feature").agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
-    return found.selectExpr("feature", "rows", "n_distinct", "if(feature is null, greatest(rows - n_distinct, 0), null) as n_duplicates")
+    bits, m = 64 - LOG2_REGISTERS, 2**LOG2_REGISTERS
+    registers = cells.groupBy("feature", "register").agg(F.sum("rows").alias("rows"), F.min("least").alias("least"))
+    # A register whose least rest has k bits counts 2^(k - bits - 1), here as the whole number 2^k.
+    length = "if(least = 0, 0, length(bin(least)))"
+    found = registers.groupBy("feature").agg(
+        F.sum("rows").alias("rows"), F.count("register").alias("used"),
+        F.coalesce(F.expr(f"sum(cast(shiftleft(1L, {length}) as decimal(20, 0)))"), F.lit(0)).alias("seen"),
+    )
+    empty = f"({m} - used) / {m}D"
+    sigma = f"aggregate(sequence(1, 30), {empty}, (a, k) -> a + pow({empty}, pow(2D, k)) * pow(2D, k - 1))"
+    estimate = f"{m * m / (2 * math.log(2))!r}D / ({m}D * {sigma} + cast(seen as double) / {float(2 ** (bits + 1))!r}D)"
+    distinct = found.selectExpr("feature", "rows", f"if(used = 0, 0L, cast(round({estimate}) as bigint)) as n_distinct")
+    return distinct.selectExpr("feature", "rows", "n_distinct", "if(feature is null, greatest(rows - n_distinct, 0), null) as n_duplicates")

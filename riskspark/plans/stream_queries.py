@@ -66,7 +66,7 @@ GAP_US = 3 * 3600 * 1_000_000
 
 
 @query("alert_sessions", f"""with {SCORED_EVENTS_SQL},
-marked as (select *, case when us - lag(us) over (partition by user_id order by us) < {GAP_US} then 0 else 1 end as first from scored),
+marked as (select *, case when us - lag(us) over (partition by user_id order by us) <= {GAP_US} then 0 else 1 end as first from scored),
 numbered as (select *, sum(first) over (partition by user_id order by us, event_id rows unbounded preceding) as nth from marked),
 sessions as (select user_id, min(us) as start_us, max(us) + {GAP_US} as end_us, {COUNTS_SQL} from numbered group by user_id, nth)
 select sessions.* from sessions, mark where end_us <= settled""")

@@ -14,6 +14,7 @@ from ..functions import q
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TS, TIE, PRED = 2, 3, 4  # places in the processor's input, whose columns arrive without their names
 
 
 class ClassChanges(StatefulProcessor):
@@ -33,7 +34,7 @@ class ClassChanges(StatefulProcessor):
         settled = timerValues.getCurrentWatermarkInMs() * 1000
         earliest = None
         for batch in rows:
-            for ts, tie, pred in zip(batch["_ts"].tolist(), batch["_tie"].tolist(), batch["_pred"].tolist()):
+            for ts, tie, pred in zip(*(batch.iloc[:, at].tolist() for at in (TS, TIE, PRED))):
                 if ts > settled:
                     self._waiting.updateValue((ts, tie), (pred,))
                     earliest = ts if earliest is None else min(earliest, ts)
@@ -48,7 +49,7 @@ class ClassChanges(StatefulProcessor):
         out = []
         for (ts, tie), pred in held:
             if ts > settled:
-                self._remind(ts)
+                self._remind(ts, expiredTimerInfo.getExpiryTimeInMs())
                 break
             if pred != before:
                 out.append((key[0], ts, tie, before, pred))
@@ -61,10 +62,11 @@ class ClassChanges(StatefulProcessor):
         else:
             yield pd.DataFrame()
 
-    def _remind(self, ts: int) -> None:
-        """One timer, at the first whole millisecond at which ``ts`` is settled."""
+    def _remind(self, ts: int, expired: int | None = None) -> None:
+        """One timer, at the first whole millisecond at which ``ts`` is settled. An ``expired`` one is still listed, but
+        goes when its handler returns."""
         at = -(-ts // 1000)
-        others = list(self._handle.listTimers())
+        others = [t for t in self._handle.listTimers() if t != expired]
         if not any(t <= at for t in others):
             for t in others:
                 self._handle.deleteTimer(t)

@@ -26,7 +26,10 @@ def sliding_alerts(scored: DataFrame, ts_col: str, delay: str, size: str, slide:
 
 
 def session_alerts(scored: DataFrame, id_col: str, ts_col: str, delay: str, gap: str, pred: str = "pred") -> DataFrame:
-    """Records and records per class in each entity's sessions, which end ``gap`` after their last record."""
+    """Records and records per class in each entity's sessions, which end ``gap`` after their last record.
+
+    A record at the very end of a session still joins it.
+    """
     rows = scored.withWatermark(ts_col, delay).groupBy(F.session_window(ts_col, gap).alias("window"), id_col).agg(*_counts(pred))
     return rows.selectExpr(q(id_col), "window.start as window_start", "window.end as window_end", "n", *[f"n_{k}" for k in LEVELS])
 

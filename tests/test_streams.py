@@ -130,14 +130,14 @@ def test_windows_count_in_time_and_drop_late_records(spark, tmp_path):
 
 def test_sessions_merge_across_files(spark, tmp_path):
     folder = str(tmp_path / "in")
-    for k, rows in enumerate([[(1, 0, 1, 0), (1, 50, 2, 1), (2, 0, 3, 2)], [(1, 25, 4, 1), (1, 80, 5, 0), (2, 30, 6, 0)], [(5, 900, 7, 0)]]):
+    for k, rows in enumerate([[(1, 0, 1, 0), (1, 50, 2, 1), (2, 0, 3, 2), (3, 0, 8, 1)], [(1, 25, 4, 1), (1, 80, 5, 0), (2, 30, 6, 0), (3, 31, 9, 1)], [(5, 900, 7, 0)]]):
         arrive(spark, folder, f"{k:03d}", rows)
     sink = work_path(spark, "sink")
     run = windows.write_windows(windows.session_alerts(stream(spark, folder), "id", "ts", "60 seconds", "30 seconds"), sink, work_path(spark, "marks"))
     run.awaitTermination()
     rows = spark.read.parquet(sink).collect()
     got = sorted((r.id, int((r.window_start - START).total_seconds()), int((r.window_end - START).total_seconds()), r.n) for r in rows)
-    assert got == [(1, 0, 80, 3), (1, 80, 110, 1), (2, 0, 30, 1), (2, 30, 60, 1)]
+    assert got == [(1, 0, 110, 4), (2, 0, 60, 2), (3, 0, 30, 1), (3, 31, 61, 1)]  # a record at a session's end joins it
 
 
 # --- as-of join ---------------------------------------------------------------------------------------
