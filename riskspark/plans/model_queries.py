@@ -412,14 +412,14 @@ def _subsets_sql(head: str, value: str) -> str:
     """Contributions as the average change over all subsets ``c`` of the four features; ``value`` may use rows and ``c``."""
     cells = "case pred " + " ".join(f"when {k} then {value.format(k=k)}" for k in range(3))
     per_feature = sql_union(
-        f"select a.entity_id as entity_id, '{f}' as feature, any_value({f}) as value, "
+        f"select a.entity_id as entity_id, '{f}' as feature, any_value(a.{f}) as value, "
         f"round(sum((b.v - a.v) * case bit_count(a.c) when 0 then 0.25e0 when 3 then 0.25e0 else 1e0 / 12 end), 6) as contribution "
         f"from worth a join worth b on a.entity_id = b.entity_id and b.c = a.c + {1 << j} where (a.c >> {j}) & 1 = 0 group by a.entity_id"
         for j, f in enumerate(EXPLAINED)
     )
-    return f"""with {ENTITY_SQL}, {head}, worth as (select *, {cells} end as v from explained, range(0, 16) t(c)), parts as ({per_feature})
+    return f"""with {ENTITY_SQL}, {head}, worth as (select *, {cells} end as v from explained, range(0, 16) t(c)), shares as ({per_feature})
 select entity_id, feature, value, contribution, cast(row_number() over (partition by entity_id order by abs(contribution) desc, feature) as integer) as rank,
-case when contribution > 0 then 'raises' else 'lowers' end as direction from parts"""
+case when contribution > 0 then 'raises' else 'lowers' end as direction from shares"""
 
 
 def _logit(k: int, c: str | None) -> str:
@@ -612,8 +612,8 @@ def _attribution(spark, d):
 
 @query("attribution_forest")
 def _attribution_forest(spark, d):
-    """Exact contributions of a forest at the library's settings, 200 trees of depth 12, for every entity."""
-    return _explained(spark, d, train.FOREST, None, _tree_parts)
+    """Exact contributions of a forest of 20 trees of depth 8 for every entity."""
+    return _explained(spark, d, train.FOREST, SMALL[train.FOREST], _tree_parts)
 
 
 @query("attribution_logistic")
