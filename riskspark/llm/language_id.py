@@ -26,7 +26,8 @@ UNKNOWN = "und"
 class LangIdConfig:
     """The model is fitted on at most ``docs_per_language`` distinct labelled texts of each of the ``most_languages``
     most frequent languages. Of each text it sees ``sample_chars`` characters from a place chosen by the
-    text's hash. Prediction reads whole texts."""
+    text's hash. Prediction reads whole texts. A worker labels and remembers as many runs at a time as keep its arrays
+    near ``work_values`` numbers, for any number of languages."""
 
     hidden: int = 16
     run_bytes: int = 32
@@ -38,6 +39,7 @@ class LangIdConfig:
     rate: float = 0.02
     seed: int = 7
     remembered_runs: int = 200_000
+    work_values: int = 1 << 20
 
 
 def runs(words: Words, limit: int) -> Words:
@@ -151,8 +153,10 @@ class Network:
             d.sum(axis=(0, 1)),
         ]
 
-    def pooled(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, chunk: int = 1024) -> np.ndarray:
-        """Summed log probabilities over the positions of each run."""
+    def pooled(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, work: int = 1 << 20) -> np.ndarray:
+        """Summed log probabilities over the positions of each run, for runs whose arrays hold about ``work`` numbers."""
+        wide = int(length.max(initial=1)) * (len(self.labels) + 2 * self.ahead.candidate.shape[0])
+        chunk = max(16, work // wide)
         total = np.zeros((len(start), len(self.labels)), np.float32)
         order = np.argsort(length, kind="stable")
         for at in range(0, len(order), chunk):
@@ -204,8 +208,9 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", cfg
 class _Memory:
     """Pooled log probabilities of the runs seen last, by hash, in two sorted arrays."""
 
-    def __init__(self, net: Network, limit: int):
-        self.net, self.limit = net, limit
+    def __init__(self, net: Network, cfg: LangIdConfig):
+        self.net, self.work = net, cfg.work_values
+        self.limit = max(1, min(cfg.remembered_runs, 2 * cfg.work_values // len(net.labels)))
         self.clear()
 
     def clear(self) -> None:
@@ -218,7 +223,7 @@ class _Memory:
         values = np.empty((len(keys), len(self.net.labels)), np.float32)
         values[~new] = self.values[at[~new]]
         start = some.start[first[new]]
-        values[new] = self.net.pooled(some.data, start, some.end[first[new]] - start)
+        values[new] = self.net.pooled(some.data, start, some.end[first[new]] - start, self.work)
         if len(self.keys) + new.sum() > self.limit:
             self.clear()
         merged = np.concatenate([self.keys, keys[new]])[: self.limit]
@@ -236,30 +241,37 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
+def label_batch(texts: pa.Array, net: Network | None, memory: _Memory | None, cfg: LangIdConfig) -> pa.StructArray:
+    """(lang, score) of each text of a batch, read in pieces, so that a text of any length takes the same memory."""
+    lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if net:
+        places, total = np.zeros(len(texts)), np.zeros((len(texts), len(net.labels)))
+        letter = np.zeros(len(texts), bool)
+        for lo, hi, data, offsets in pieces(texts, cfg.run_bytes):
+            some = runs(split_words(data, offsets), cfg.run_bytes)
+            places[lo:hi] += np.bincount(some.row, some.end - some.start, minlength=hi - lo)
+            total[lo:hi] += np.stack([np.bincount(some.row, v, minlength=hi - lo) for v in memory.of(some).T], axis=1)
+            letter[lo:hi] |= _has_letter(data, offsets)
+        mean = total / np.maximum(places, 1)[:, None]
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        known = np.flatnonzero(letter)
+        best = p[known].argmax(axis=1)
+        lang[known] = np.array(net.labels, object)[best]
+        score[known] = p[known, best]
+    return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
+
+
 def language(text: Column, net: Network | None, cfg: LangIdConfig = LangIdConfig()) -> Column:
     """struct(lang, score) of a text column. Score is the pooled probability of the language, 0 for ``und``."""
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = net and _Memory(net, cfg.remembered_runs)
+        memory = net and _Memory(net, cfg)
         for texts in batches:
-            lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            if net:
-                places, total = np.zeros(len(texts)), np.zeros((len(texts), len(net.labels)))
-                letter = np.zeros(len(texts), bool)
-                for lo, hi, data, offsets in pieces(texts, cfg.run_bytes):
-                    some = runs(split_words(data, offsets), cfg.run_bytes)
-                    places[lo:hi] += np.bincount(some.row, some.end - some.start, minlength=hi - lo)
-                    total[lo:hi] += np.stack([np.bincount(some.row, v, minlength=hi - lo) for v in memory.of(some).T], axis=1)
-                    letter[lo:hi] |= _has_letter(data, offsets)
-                mean = total / np.maximum(places, 1)[:, None]
-                p = np.exp(mean - mean.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                known = np.flatnonzero(letter)
-                best = p[known].argmax(axis=1)
-                lang[known] = np.array(net.labels, object)[best]
-                score[known] = p[known, best]
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
+            yield label_batch(texts, net, memory, cfg)
+            del texts
+            pa.default_memory_pool().release_unused()  # workers live on; what a long text took goes back
 
     return predict(text)
 

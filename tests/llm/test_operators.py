@@ -157,11 +157,31 @@ def test_remembered_runs_score_like_new_ones():
     words = language_id.runs(text.split_words(*text.buffers(pa.array(["aa bb aa cc " + "d" * 70, None, "bb é"]))), 32)
     assert (words.end - words.start).max() == 32
     for limit in (2, 100):
-        memory = language_id._Memory(net, limit)
+        memory = language_id._Memory(net, language_id.LangIdConfig(remembered_runs=limit))
         for _ in range(2):
             assert np.allclose(memory.of(words), net.pooled(words.data, words.start, words.end - words.start), atol=1e-5)
 
 
+@pytest.mark.parametrize("cut", [" ", ""], ids=["words", "one word"])
+def test_a_very_long_text_takes_bounded_memory(cut):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    net, cfg = language_id.Network(["a", "b"], 4, 2), language_id.LangIdConfig()
+    rng = random.Random(3)
+    some = cut.join("".join(rng.choice("abcde") for _ in range(8)) for _ in range(2000))
+    texts = pa.array([some * (20_000_000 // len(some)), None, some])
+    memory = language_id._Memory(net, cfg)
+    tracemalloc.start()
+    found = language_id.label_batch(texts, net, memory, cfg).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert found[1] == {"lang": "und", "score": 0.0} and found[0]["lang"] == found[2]["lang"]
+    assert abs(found[0]["score"] - found[2]["score"]) < 0.01
+
+
 # --- benchmark --------------------------------------------------------------------------------------
 
 
