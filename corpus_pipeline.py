@@ -70,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-ORACLE_SQL = None  # a trained network, trained trees and dynamic programming have no SQL; tests/llm holds a brute-force run
+ORACLE_SQL = None  # a trained network, trained trees and dynamic programming have no SQL; tests/llm runs it on odd rows
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
