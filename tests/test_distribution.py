@@ -39,6 +39,16 @@ def test_box_and_outliers(spark):
     assert out == want
 
 
+def test_box_counts_repeats_and_leaves_out_gaps(spark):
+    rows = [(0, v) for v in (1.0, 2.0, 2.0, 2.0, 3.0, 40.0, None, float("nan"))] + [(1, 5.0), (1, 5.0)]
+    df = spark.createDataFrame(rows, "label int, x double").repartition(3)
+    got = {r["label"]: r for r in distribution.box_stats_by_class(df, ["x"], "label").collect()}
+    one, two = got[0], got[1]
+    assert (one["n"], one["min"], one["p25"], one["p50"], one["p75"], one["max"]) == (6, 1.0, 2.0, 2.0, 2.75, 40.0)
+    assert (one["mean"], one["whisker_lo"], one["whisker_hi"]) == (8.3333, 1.0, 3.0)
+    assert (two["n"], two["min"], two["p50"], two["max"], two["whisker_lo"], two["whisker_hi"]) == (2, 5.0, 5.0, 5.0, 5.0, 5.0)
+
+
 @pytest.mark.parametrize("rule", ["scott", "silverman"])
 def test_density(spark, rule):
     df, x, _, k = points(spark)
