@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import compute_once
 from ..sources.staging import stage
 from .tables import col, free_name
 
@@ -57,13 +58,12 @@ NUMBERS = (
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """Trees are fitted on the candidates of about ``sample_docs`` documents, chosen by a hash of the text.
+    """Trees are fitted on the candidates of every distinct text, a fifth of which is held out for the thresholds.
 
     A generator has the threshold ``fallback`` if fewer than ``least_rows`` distinct texts are held out with a candidate
     of that probability.
     """
 
-    sample_docs: int = 20_000
     trees: int = 8
     depth: int = 3
     precision: float = 0.95
@@ -158,16 +158,13 @@ def _overlap(l: str, r: str) -> str:
 
 
 def fit(docs: DataFrame, text_col: str = "text", cfg: PiiConfig = PiiConfig()) -> PiiModel | None:
-    """Fit the trees and thresholds on distinct texts. None if the sample has no candidate of either class."""
+    """Fit the trees and thresholds on all distinct texts. None if they have no candidate of either class."""
     texts = docs.select(col(docs, text_col).alias("text")).where("text is not null")
-    share = cfg.sample_docs / max(1, texts.count())
-    texts = texts.withColumn("id", F.xxhash64("text")).where(F.pmod("id", F.lit(1_000_000)) < share * 1_000_000)
-    # Written first: a filter on the candidates would else be moved beside the sampling and search every text.
-    texts = stage(texts.dropDuplicates(["id"]), "sampled")
-    rows = texts.selectExpr("id", f"{base_spans('text')} as base", f"{candidates('text', cfg)} as found")
+    # Once for each text, not once more for each of its candidates.
+    rows = compute_once(texts, {"base": base_spans("text")}).selectExpr("xxhash64(text) as id", "base", f"{candidates('text', cfg)} as found")
     rows = rows.selectExpr("id", f"transform(found, x -> named_struct('x', x, 'label', int(x.known or exists(base, b -> {_overlap('x', 'b')})))) as found")
-    # Copies of a text give equal rows.
-    rows = rows.selectExpr("id", "inline(found)").selectExpr("id", "x.*", "cast(label as double) as label").distinct()
+    # Copies of a text give equal rows. A plain inline would add a filter that searches every text a second time.
+    rows = rows.selectExpr("id", "inline_outer(found)").where("label is not null").selectExpr("id", "x.*", "cast(label as double) as label").distinct()
     rows = stage(rows.withColumn("h", F.pmod("id", F.lit(1_000_000))), "candidates")
     learn, check = rows.where("h % 5 <> 0"), rows.where("h % 5 = 0")
     if len(learn.select("label").distinct().take(2)) < 2:

@@ -299,6 +299,20 @@ def test_known_credentials_are_found_in_tables_of_any_size(spark):
     assert clean == {0: 'red token = "<SECRET>" blue', 1: "key <SECRET> end"}
 
 
+def test_personal_data_is_learned_from_every_text(spark, monkeypatch):
+    """More distinct texts than any sample took before: the table of candidates holds all of them, copies once."""
+    held = {}
+
+    def keep(df, name):
+        held[name] = df.cache()
+        return held[name]
+
+    monkeypatch.setattr(pii, "stage", keep)
+    docs = spark.range(30_000).selectExpr("concat('red blue a', id, '@b.org') as text").union(spark.sql("select 'red blue a1@b.org' as text"))
+    pii.fit(docs)
+    assert held["candidates"].where("kind = 'contact'").count() == 30_000
+
+
 def test_copies_of_a_text_do_not_open_a_generator(spark):
     """Copies do not add to the texts held out, of which there are too few: every generator has the fixed threshold."""
     rng = random.Random(3)
