@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,35 @@ def test_kernel_contributions_of_a_fitted_model_sum_up(spark, frame):
     assert joined.count() == frame.count() and bad.isEmpty()
     long = explain.attribution(rows, FEATURES, "entity_id", top=3)
     assert long.count() == 3 * frame.count()
+
+
+def test_looked_up_contributions_equal_those_by_row():
+    """Rows on thresholds, missing and infinite values, and more rows than one block; the lowest value goes the way of any low one."""
+    rng = np.random.default_rng(4)
+
+    def grown(depth):
+        nodes = {}
+
+        def add(left_levels, weight):
+            at = len(nodes)
+            nodes[at] = (-1, -1, -1, 0.0, weight, rng.random(3))
+            if left_levels:
+                part = rng.uniform(0.2, 0.8)
+                feature, threshold = int(rng.integers(5)), float(rng.integers(-2, 3))
+                nodes[at] = (add(left_levels - 1, weight * part), add(left_levels - 1, weight * (1 - part)), feature, threshold, weight, None)
+            return at
+
+        add(depth, 100.0)
+        return nodes
+
+    table = tree_explain.tree_table([grown(5), grown(3)], np.array, 5, 3)
+    x = rng.integers(-6, 7, (tree_explain.BLOCK + 50, 5)) / 2
+    x[::7, 1], x[1::7, 2] = np.nan, -np.inf
+    pred = rng.integers(0, 3, len(x))
+    got = tree_explain.contributions(x, pred, table)
+    plain = np.zeros_like(got)
+    for group in table.groups:
+        if group.share.shape[1]:
+            tree_explain._by_row(plain, np.where(np.isnan(x), np.inf, np.maximum(x, -99)), pred, group)
+    assert np.allclose(got, plain, atol=1e-12)
+    assert [b.num_rows for b in tree_explain._gathered(iter([pa.record_batch({"a": [1]})] * 7), 3)] == [3, 3, 1]
