@@ -184,16 +184,19 @@ def _local_lines(cells: DataFrame, frac: float, targets: str) -> DataFrame:
 def _robust_weights(rows: DataFrame, cells: DataFrame, frac: float) -> DataFrame:
     """``rows`` with the bisquare weight ``_w`` of each point's distance from the trend through ``cells``.
 
-    The scale of a group is six times the exact median of its absolute distances.
+    The scale of a group is six times the exact median of its absolute distances. Points of a group in one cell keep the weight 1:
+    they have a mean and no trend to lie away from.
     """
     every_cell = "transform(_cells, c -> struct(c._cell as target, c.x as x))"
     lines = stage(_local_lines(cells, frac, every_cell).withColumnRenamed("target", "_cell"), "trend_lines")
     away = rows.drop("_w").join(F.broadcast(lines), ["_g", "_cell"]).selectExpr(  # a row per group and cell
         "_g", "_cell", "_x", "_y", "abs(_y - (value + slope * (_x - x))) as _r"
     )
-    medians = stage(exact_quantiles(away, ["_r"], (0.5,), by=["_g"]).selectExpr("_g", "p50 as _median"), "trend_medians")
+    sizes = cells.groupBy("_g").agg(F.expr("count(1) as _k"))  # a row per group
+    halves = exact_quantiles(away, ["_r"], (0.5,), by=["_g"]).join(F.broadcast(sizes), "_g")
+    medians = stage(halves.selectExpr("_g", "if(_k = 1, null, p50) as _median"), "trend_medians")
     u = "_r / (6D * _median)"
-    bisquare = f"case when _median = 0 then if(_r = 0, 1D, 0D) when _r < 6D * _median then pow(1D - pow({u}, 2D), 2D) else 0D end"
+    bisquare = f"case when _median is null then 1D when _median = 0 then if(_r = 0, 1D, 0D) when _r < 6D * _median then pow(1D - pow({u}, 2D), 2D) else 0D end"
     return away.join(F.broadcast(medians), "_g").selectExpr("_g", "_cell", "_x", "_y", f"{bisquare} as _w")  # a row per group
 
 

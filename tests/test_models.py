@@ -73,6 +73,13 @@ def test_train_all_tables(spark):
     assert model_store.load_table(spark, path, "comparison").count() == 2
 
 
+def test_split_and_fold_are_stored_with_the_rows(spark, frame):
+    """Every fit reads the frame several times, so it is a plain table."""
+    for rows in (frame, train.training_frame(entity_table(spark, SF_DIR), ENTITY, impute_on_train=True)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "md5" not in plan and {"split", "fold", "label", "s1"} <= set(rows.columns)
+
+
 def test_impute_on_train_rows_only(spark):
     out = train.training_frame(entity_table(spark, SF_DIR), ENTITY, impute_on_train=True)
     raw = entity_table(spark, SF_DIR).select("entity_id", F.col("s1").alias("raw"))
