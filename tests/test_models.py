@@ -303,3 +303,21 @@ def test_margin_contributions_sum_up(frame, joint):
     margin = joint.margins(x)[np.arange(len(rows)), [r["pred"] for r in rows]]
     total = [r["expected"] + sum(r[f"contribution_{c}"] for c in FEATURES) for r in rows]
     assert np.allclose(total, margin, atol=1e-9)
+
+
+def test_joint_boosting_makes_the_vectors_of_a_round_once(spark, monkeypatch):
+    """Every tree reads kept vectors, and the result does not depend on how many trees grow side by side."""
+    rows = spark.range(90).selectExpr("cast(id % 7 as double) as a", "cast(id % 11 as double) as b", "cast(id % 3 as int) as label")
+    fit, plans = boosting.DecisionTreeRegressor.fit, []
+
+    def seen(self, data, *rest):
+        plans.append(data._jdf.queryExecution().toString())
+        return fit(self, data, *rest)
+
+    monkeypatch.setattr(boosting.DecisionTreeRegressor, "fit", seen)
+    found = []
+    for most in (boosting.TOGETHER_ROWS, 10):
+        monkeypatch.setattr(boosting, "TOGETHER_ROWS", most)
+        found.append(boosting.fit_joint(rows, ENTITY, ["a", "b"], {"maxIter": 2, "maxDepth": 2}))
+    assert len(plans) == 12 and all("InMemoryRelation" in p for p in plans)
+    assert found[0].losses == pytest.approx(found[1].losses) and found[0].losses[-1] < found[0].losses[0]
