@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,70 @@ def test_asof_join_equals_a_plain_search(spark):
     assert sorted((tuple(r) for r in kept.collect()), key=key) == [r for r in want if r[3] is not None]
     assert asof_join(e, s.where("false"), "id", "ts", ["pred"], "tie").where(F.col("pred").isNotNull()).isEmpty()
     assert asof_join(e.where("false"), s, "id", "ts", ["pred"], "tie").isEmpty()
+
+
+class Store:
+    """A value or map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, value=None):
+        self.calls += 1
+        return value
+
+    def get(self):
+        return self._call(self.held.get(()))
+
+    def update(self, value):
+        self._call(self.held.update({(): value}))
+
+    def updateValue(self, key, value):
+        self._call(self.held.update({key: value}))
+
+    def removeKey(self, key):
+        self._call(self.held.pop(key))
+
+    def iterator(self):
+        return self._call(iter(list(self.held.items())))
+
+
+class Handle(changes.StatefulProcessorHandle):
+    def __init__(self):
+        self.stores, self.timers = {}, set()
+        self.registerTimer, self.deleteTimer, self.listTimers = self.timers.add, self.timers.discard, lambda: iter(set(self.timers))
+
+    def getValueState(self, name, *schemas):
+        return self.stores.setdefault(name, Store())
+
+    getMapState = getValueState
+
+
+@pytest.mark.parametrize("part", [3, 1 << 16])
+def test_an_entity_costs_few_calls_to_the_store(monkeypatch, part):
+    """600 records in three batches, in any order, with equal times and records that arrive again with another class."""
+    monkeypatch.setattr(changes, "PART", part)
+    rng = random.Random(part)
+    mark, handle, latest, got = 0, Handle(), {}, []
+    times = lambda: type("T", (), {"getCurrentWatermarkInMs": lambda self: mark, "getExpiryTimeInMs": lambda self: mark})()
+    state = changes.ClassChanges()
+    state.init(handle)
+    for k in range(3):
+        rows = [(rng.randrange(max(1, 300 * k - 100), 300 * (k + 1)) * 1000, rng.randrange(3), rng.randrange(3)) for _ in range(200)]
+        latest |= {r[:2]: r[2] for r in rows if r[0] > mark * 1000}
+        frames = [pd.DataFrame([(7, None, *r) for r in some]) for some in (rows[:90], rows[90:])]
+        assert not list(state.handleInputRows((7,), iter(frames), times()))
+        mark = 300 * (k + 1) - 150
+        while handle.timers and min(handle.timers) <= mark:
+            at = min(handle.timers)
+            due = type("D", (), {"getExpiryTimeInMs": lambda self: at})()
+            got += [r for frame in state.handleExpiredTimer((7,), times(), due) for r in frame.itertuples(index=False)]
+            handle.timers.discard(at)
+    want, before = [], None
+    for (ts, tie), pred in sorted(latest.items()):
+        if ts <= mark * 1000 and pred != before:
+            want.append((7, ts, tie, before, pred))
+        before = pred
+    assert [(r[0], r[1], r[2], None if pd.isna(r[3]) else r[3], r[4]) for r in got] == want
+    if part > 200:
+        assert sum(s.calls for s in handle.stores.values()) < 40
