@@ -107,7 +107,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = full.withColumnRenamed("sketch", "hashes").dropDuplicates(["doc_id", *key])
     sets = stage(full.selectExpr("doc_id", "n_shingles", f"slice(hashes, 1, {k}) as sketch", "hashes"), "sets")
 
-    links, heads, lists_ = None, 1, _lists(sets, cfg)
+    # Lists are read several times, so each state of them is written: they are ranked once, and plans stay small for the driver.
+    links, heads, lists_ = None, 1, stage(_lists(sets, cfg), "lists")
     while True:
         lists_ = _open_lists(lists_, cfg)
         if lists_.isEmpty():
@@ -119,7 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links, "roots")
         rest = lists_.join(chosen.selectExpr("v", "head as doc"), ["v", "doc"], "left_anti")
         rest = rest.drop("comp").join(roots, F.col("doc") == F.col("node"), "left")
-        lists_ = rest.select("v", "doc", "n", "nth", F.coalesce("root", "doc").alias("comp"))
+        lists_ = stage(rest.select("v", "doc", "n", "nth", F.coalesce("root", "doc").alias("comp")), "lists")
         heads *= cfg.heads_factor
 
     edges = copies if links is None else copies.unionByName(links)
@@ -150,7 +151,7 @@ def _listed(sketches: DataFrame, cfg: NearDupConfig) -> DataFrame:
     posts = sketches.selectExpr("doc_id as doc", "n_shingles as n", "size(sketch) as size", "explode(sketch) as v")
     # A set smaller than the sketch may meet a truncated one: five points below the wanted overlap cover that.
     floor = f"case when n > {cfg.sketch_size} then {cfg.floor_percent} else {cfg.percent - 5} end"
-    index = _rarest(posts, f"size - ceil(size * ({floor}) / 100) + 1")
+    index = stage(_rarest(posts, f"size - ceil(size * ({floor}) / 100) + 1").select("v", "doc"), "index")
     met = index.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("v")
     return index.join(met, "v").select("doc").distinct()
 

@@ -44,7 +44,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """(node, root) for every node of the undirected ``edges`` (a, b): root is the smallest node reachable.
 
     Alternates two star contractions: every node points its larger neighbours, then its smaller ones, at the
-    smallest neighbour. Each round ends in a written table; rounds grow with the logarithm of the diameter.
+    smallest neighbour. Each contraction ends in a written table; rounds grow with the logarithm of the diameter.
     """
 
     def stars(e: DataFrame, larger: bool) -> DataFrame:
@@ -63,7 +63,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     now = stage(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").where("a <> b").distinct(), name)
     before = state(now)
     for _ in range(rounds):
-        now = stage(stars(stars(now, True), False), name)
+        # Each contraction reads its edges several times, so it gets a table of its own: plans stay small for the driver.
+        now = stage(stars(stage(stars(now, True), name), False), name)
         after = state(now)
         if after == before:
             break

@@ -573,3 +573,23 @@ def test_a_stem_is_a_family_that_toxic_texts_hold_often():
         sample.append((" ".join(own), y))
     words, stems = toxicity.learn_lexicon(sample, toxicity.ToxicityConfig())
     assert words == ["vexling"] and stems == ["zorbak"]
+
+
+def test_near_duplicate_plans_read_few_tables(spark, monkeypatch):
+    """The driver plans every query anew as its stages end, so no single one may hold the work of several steps."""
+    from riskspark.llm import minhash_dedup, tables
+
+    written, read = minhash_dedup.stage, []
+
+    def counted(df, name):
+        read.append((df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["), name))
+        return written(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "stage", counted)
+    monkeypatch.setattr(tables, "stage", counted)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*words[:40], *(f"{i}x{k}" for k in range(i % 4))])) for i in range(8)] + [(9, " ".join(words[30:]))]
+    rows = minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {**dict.fromkeys(range(8), 0), 9: 9}
+    assert {"lists", "open", "index", "members"} <= {name for _, name in read}
+    assert max(read)[0] <= 8, max(read)
