@@ -13,7 +13,8 @@ sketch is its ``sketch_size`` smallest hashes, so the sketch of a union is the s
 4. Lists are compared in rounds. A round takes a few heads of each list, those nearest to the common core
    first, and pairs them with its other members. Members that one component joins already need no pairing with
    each other, so a group of n near copies costs about n pairs. Heads per list grow by a factor each round
-   until no list spans two components. No list is capped.
+   until no list spans two components. No list is capped. Components are joined up anew only after a round that
+   found a link, from its links and the components before it.
 5. A pair survives if the union sketch estimates a similarity above the floor, and is a link if the full sets
    have it exactly.
 """
@@ -108,23 +109,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage(full.selectExpr("doc_id", "n_shingles", f"slice(hashes, 1, {k}) as sketch", "hashes"), "sets")
 
     # Lists are read several times, so each state of them is written: they are ranked once, and plans stay small for the driver.
-    links, heads, lists_ = None, 1, stage(_lists(sets, cfg), "lists")
+    roots, heads, lists_ = None, 1, stage(_lists(sets, cfg), "lists")
     while True:
         lists_ = _open_lists(lists_, cfg)
         if lists_.isEmpty():
             break
         chosen = _heads(lists_, heads)
-        found = _linked(stage(_pairs(lists_, chosen, cfg), "pairs"), sets, cfg)
-        found = found if links is None else links.unionByName(found).distinct()
-        links = stage(found, "links")
-        roots = components(links, "roots")
-        rest = lists_.join(chosen.selectExpr("v", "head as doc"), ["v", "doc"], "left_anti")
-        rest = rest.drop("comp").join(roots, F.col("doc") == F.col("node"), "left")
-        lists_ = stage(rest.select("v", "doc", "n", "nth", F.coalesce("root", "doc").alias("comp")), "lists")
+        pairs = stage(_pairs(lists_, chosen, cfg), "pairs")
+        links = None if pairs.isEmpty() else stage(_linked(pairs, sets, cfg), "links")
+        lists_ = lists_.join(chosen.selectExpr("v", "head as doc"), ["v", "doc"], "left_anti").drop("lead")
+        if links is not None and not links.isEmpty():
+            # Links of this round join components of the last one, so those stand for the links of all rounds before.
+            roots = components(links if roots is None else links.unionByName(roots.selectExpr("node as a", "root as b")), "roots")
+            lists_ = lists_.drop("comp").join(roots, F.col("doc") == F.col("node"), "left")
+            lists_ = lists_.select("v", "doc", "n", "nth", F.coalesce("root", "doc").alias("comp"))
+        lists_ = stage(lists_, "lists")
         heads *= cfg.heads_factor
 
-    edges = copies if links is None else copies.unionByName(links)
-    roots = components(edges, "members")
+    roots = components(copies if roots is None else copies.unionByName(roots.selectExpr("node as a", "root as b")), "members")
     out = rows.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")
     return out.select(
         "doc_id",

@@ -10,6 +10,12 @@ from ..sources.staging import stage
 BROADCAST_ROWS = 1_000_000
 """Tables of ids are sent to every executor up to this many counted rows, about 16 MB; larger ones are shuffled."""
 
+PART_EDGES = 100_000
+"""Edges of a graph in one partition, about 1.6 MB; small graphs are held in a partition for each core."""
+
+HELD_EDGES = 50_000
+"""The smallest neighbours in a graph of at most so many edges are sent to every executor, at most 1.6 MB."""
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,30 +51,33 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 
     Alternates two star contractions: every node points its larger neighbours, then its smaller ones, at the
     smallest neighbour. Each contraction ends in a written table; rounds grow with the logarithm of the diameter.
+    Neither makes more edges than it gets, so the partitions that edges are written in follow their first count.
     """
 
-    def stars(e: DataFrame, larger: bool) -> DataFrame:
+    def contracted(e: DataFrame, larger: bool) -> DataFrame:
         both = e if not larger else e.unionByName(e.selectExpr("b as a", "a as b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        hung = both.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(parts)
+        hung = both.join(F.broadcast(low) if rows <= HELD_EDGES else low, "a")
         if larger:
             hung = hung.where("b > a").selectExpr("b as a", "m as b")
         else:
             hung = hung.where("b <> m").selectExpr("b as a", "m as b").unionByName(low.selectExpr("a", "m as b"))
-        return hung.where("a <> b").distinct()
+        return hung.where("a <> b").distinct().coalesce(parts)
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) as decimal(38,0))"))).first())
+    def is_stars(e: DataFrame) -> bool:
+        """Every larger end has one smaller end, which is no larger end itself: contractions would change nothing."""
+        ends = e.selectExpr("a as node", "1 as up").unionByName(e.selectExpr("b as node", "0 as up"))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).coalesce(parts)
+        return ends.where("ups > 1 or ups = 1 and least = 0").isEmpty()
 
     now = stage(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").where("a <> b").distinct(), name)
-    before = state(now)
+    rows = now.count()
+    parts = max(now.sparkSession.sparkContext.defaultParallelism, rows // PART_EDGES + 1)
     for _ in range(rounds):
-        # Each contraction reads its edges several times, so it gets a table of its own: plans stay small for the driver.
-        now = stage(stars(stage(stars(now, True), name), False), name)
-        after = state(now)
-        if after == before:
+        if is_stars(now):
             break
-        before = after
+        # Each contraction reads its edges several times, so it gets a table of its own: plans stay small for the driver.
+        now = stage(contracted(stage(contracted(now, True), name), False), name)
     else:
         raise RuntimeError("components did not converge")
     return now.selectExpr("a as node", "b as root").unionByName(

@@ -593,3 +593,48 @@ def test_near_duplicate_plans_read_few_tables(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == {**dict.fromkeys(range(8), 0), 9: 9}
     assert {"lists", "open", "index", "members"} <= {name for _, name in read}
     assert max(read)[0] <= 8, max(read)
+
+
+def counted_stages(monkeypatch, *modules):
+    names = []
+    for module in modules:
+        monkeypatch.setattr(module, "stage", lambda df, name, written=module.stage: names.append(name) or written(df, name))
+    return names
+
+
+def test_components_write_small_stars_once(spark, monkeypatch):
+    """A graph of stars needs no contraction, and a small graph no more partitions than there are cores."""
+    from riskspark.llm import tables
+
+    names = counted_stages(monkeypatch, tables)
+    stars = [(5, 1), (1, 6), (9, 2), (9, 2), (7, 7)]
+    rows = tables.components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted(map(tuple, rows)) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)]
+    assert len(names) == 1
+    odd = [(i, i + 1) for i in range(30)] + [(100 + i, 100 + (i * 7 + 3) % 20) for i in range(20)] + [(205, 201), (205, 202), (203, 202)]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = tables.components(spark.createDataFrame(odd, "a long, b long"))
+        assert len({f.rsplit("/", 1)[-1] for f in found.inputFiles()}) <= spark.sparkContext.defaultParallelism
+        got = {r.node: r.root for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    links = [(a, b) for a, b in odd if a != b]
+    assert got == roots_of({x for e in links for x in e}, links)
+
+
+def test_near_duplicate_rounds_without_a_link_keep_their_components(spark, monkeypatch):
+    """Documents that meet in lists for several rounds and are never linked cost no contraction of components."""
+    from riskspark.llm import tables
+
+    words = [f"w{i}" for i in range(94)]
+    docs = [(i, " ".join([*words[: 4 + 5 * i], f"own{i}", *words[5 + 5 * i :]])) for i in range(18)]
+    docs += [(100 + i, " ".join([*(f"z{k}" for k in range(60)), *(["end"] * i)])) for i in range(2)]
+    names = counted_stages(monkeypatch, minhash_dedup, tables)
+    rows = minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {**{i: i for i in range(18)}, 100: 100, 101: 100}
+    assert names.count("pairs") >= 2
+    assert names.count("roots") == 1
