@@ -24,10 +24,11 @@ from ..sources.staging import stage
 from .tables import col, free_name
 
 # The base patterns. A run is entered at its first character or where the last match ended, which gives
-# the same matches as the plain patterns without trying every place of a long run.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# the same matches as the plain patterns without trying every place of a long run. A repeated group gives nothing back
+# (``++``): there is one way to read it, and otherwise every repeat takes stack, whose overflow ends the executor.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "contact", "address")
 
@@ -35,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone", "secret", "number", "contact", "address
 GENERATORS = (
     ("secret", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}", "[0-9]|AKIA|gh[pousr]_|sk-|xox[abpr]-"),
     ("secret", r"(?<=[=:][\x20]?[\"']?)[A-Za-z0-9_+/-]{6,}", "[=:][\\x20]?[\"']?[A-Za-z0-9_+/-]{6}"),
-    ("number", r"(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,}", "[0-9]"),
+    ("number", r"(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,}+", "[0-9]"),
     ("contact", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9.-]{2,}", "@|[(\\[]at[)\\]]"),
     ("address", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}", "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
 )
@@ -85,17 +86,24 @@ def _lit(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def _found(text: str, pattern: str, item: str, kind: str, must: str) -> str:
+def _found(text: str, pattern: str, item: str, kind: str, must: str, context: int = 1) -> str:
     """SQL for an array of ``item`` over all matches of ``pattern``: leftmost, not overlapping, code points.
 
-    The pieces between the matches give the places. In ``item``, ``x.m`` is the match, ``a.at + length(x.p)`` its start;
-    a null item is left out.
+    The pieces between the matches give the places. In ``item``, ``x.m`` is the match, ``a.at + length(x.p)`` its start,
+    ``x.left`` at least the last ``context`` characters before it and ``x.right`` what follows up to the next match, or that
+    match; a null item is left out. What stands around a match is taken from the pieces, not sought from the start of the text.
     """
     quoted = _lit(pattern)
-    pieces = f"arrays_zip(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0))"
-    step = f"named_struct('at', a.at + length(x.p) + length(x.m), 'out', if({must}, array_append(a.out, {item}), a.out))"
-    step = step.replace("x.p", "x.`0`").replace("x.m", "x.`1`")
-    return f"aggregate({pieces}, named_struct('at', 0, 'out', cast(array() as array<{kind}>)), (a, x) -> if(x.`1` is null, a, {step}), a -> a.out)"
+    both = f"named_struct('p', split({text}, {quoted}, -1), 'm', regexp_extract_all({text}, {quoted}, 0))"
+    rest = "if(x.`2` = '', x.`3`, x.`2`)"
+    step = (
+        f"named_struct('at', a.at + length(x.p) + length(x.m), 'tail', right(concat(a.tail, x.p, x.m), {context}), "
+        f"'out', if({must}, array_append(a.out, {item}), a.out))"
+    )
+    step = step.replace("x.left", "concat(a.tail, x.p)").replace("x.right", rest)
+    pieces = "arrays_zip(t.p, t.m, slice(t.p, 2, size(t.m)), slice(t.m, 2, size(t.m)))"
+    found = f"aggregate({pieces}, named_struct('at', 0, 'tail', '', 'out', cast(array() as array<{kind}>)), (a, x) -> if(x.m is null, a, {step}), a -> a.out)"
+    return f"transform(array({both}), t -> {found})[0]"
 
 
 _LUHN = (
@@ -126,9 +134,7 @@ def candidates(text: str, cfg: PiiConfig) -> str:
     """SQL for the proposed spans with their features. Spans of one generator do not overlap, others may."""
     fields = ["kind:string", "gen:int", "start:int", "end:int", "known:boolean", *(f"{n}:double" for n in NUMBERS)]
     kind = f"struct<{','.join(fields)}>"
-    left = f"substring({text}, greatest(a.at + length(x.p) - {cfg.context}, 0) + 1, least(a.at + length(x.p), {cfg.context}))"
-    before = f"substring({text}, a.at + length(x.p), if(a.at + length(x.p) > 0, 1, 0))"
-    after = f"substring({text}, a.at + length(x.p) + length(x.m) + 1, 1)"
+    left, before, after = f"right(x.left, {cfg.context})", "right(x.left, 1)", "left(x.right, 1)"
     parts = []
     for g, (name, pattern, must) in enumerate(GENERATORS):
         number = {
@@ -149,7 +155,7 @@ def candidates(text: str, cfg: PiiConfig) -> str:
         names = [f.split(":")[0] for f in fields]
         item = f"named_struct({', '.join(f'{n!r}, {v}' for n, v in zip(names, values, strict=True))})"
         wanted = f"x.m rlike '[0-9]' or x.m rlike {_lit(CREDENTIAL)}" if name == "secret" else "true"
-        parts.append(f"if({text} rlike {_lit(must)}, {_found(text, pattern, item, kind, wanted)}, cast(array() as array<{kind}>))")
+        parts.append(f"if({text} rlike {_lit(must)}, {_found(text, pattern, item, kind, wanted, max(cfg.context, 1))}, cast(array() as array<{kind}>))")
     return f"concat({', '.join(parts)})"
 
 
