@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from riskspark import STUDENT, Override
 from riskspark.operators import boosting, cohort, evaluate, explain, score, train
+from riskspark.plans import model_queries  # noqa: F401  (registers the queries)
 from riskspark.plans.binding import ENTITY, entity_table, fixed_scorer, labelled, table
+from riskspark.plans.registry import QUERIES
 from riskspark.sources import model_store
 from riskspark.sources.staging import work_path
 from riskspark.sources.tables import csv_export, csv_ingest
@@ -256,6 +258,21 @@ def test_fixed_scorer_is_evaluated_once(spark):
     assert "Filter" in plan.split("Generate inline", 1)[0]
 
 
+@pytest.mark.parametrize("together", [train.TOGETHER_ROWS, 0])
+def test_the_boosted_query_has_the_full_settings(spark, monkeypatch, together):
+    """Every class gets the rounds and the depth of the library. Only the test cuts them short, after noting them."""
+    noted, fit = [], train.GBTClassifier.fit
+
+    def short(self, data):
+        noted.append([self.getOrDefault(p) for p in ("maxIter", "maxDepth", "stepSize", "maxBins")])
+        return fit(self.setMaxIter(1).setMaxDepth(2), data)
+
+    monkeypatch.setattr(train.GBTClassifier, "fit", short)
+    monkeypatch.setattr(train, "TOGETHER_ROWS", together)
+    rows = QUERIES["train_boosted"](spark, SF_DIR).collect()
+    assert len(rows) == 1 and noted == [[200, 6, 0.1, 128]] * 3
+
+
 # --- joint boosting -----------------------------------------------------------------------------------
 
 
