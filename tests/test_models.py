@@ -338,3 +338,18 @@ def test_joint_boosting_makes_the_vectors_of_a_round_once(spark, monkeypatch):
         found.append(boosting.fit_joint(rows, ENTITY, ["a", "b"], {"maxIter": 2, "maxDepth": 2}))
     assert len(plans) == 12 and all("InMemoryRelation" in p for p in plans)
     assert found[0].losses == pytest.approx(found[1].losses) and found[0].losses[-1] < found[0].losses[0]
+
+
+def test_joint_boosting_sends_no_row_to_python(spark, monkeypatch):
+    """Leaves come from Spark's models; the numbers that they give are the leaves which the arrays of a tree find."""
+    rows = spark.range(200).selectExpr("cast(id % 7 as double) as a", "cast(id * id % 11 as double) as b", "cast(id % 3 + id % 2 as int) % 3 as label")
+
+    def refused(*_):
+        raise AssertionError("rows go to Python")
+
+    monkeypatch.setattr(type(rows), "mapInArrow", refused)
+    model = boosting.fit_joint(rows, ENTITY, ["a", "b"], {"maxIter": 3, "maxDepth": 3})
+    found = rows.collect()
+    margins, label = model.margins(np.array([[r["a"], r["b"]] for r in found])), np.array([r["label"] for r in found])
+    loss = np.log(np.exp(margins).sum(axis=1)) - margins[np.arange(len(label)), label]
+    assert loss.mean() == pytest.approx(model.losses[-1], rel=1e-9) and model.losses[-1] < model.losses[0]
